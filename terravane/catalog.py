@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from terravane.plans import queries as queries_
+
+MODULES = [queries_]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
