@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -85,10 +87,11 @@ def duplicate_pairs(df: DataFrame, id_: str, text: Column, block: list[Column],
     return rows.groupBy("block", "chunk").applyInPandas(pairs, f"a {kind}, b {kind}, cosine double")
 
 
-def groups_of(pairs: DataFrame, checkpoint: bool = True) -> DataFrame:
+def groups_of(pairs: DataFrame) -> DataFrame:
     """(id, group) of connected ids, the group being the smallest id: labels spread along the pairs and along the labels
     themselves (pointer jumping) until nothing changes."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pairs = _cut(pairs.select("a", "b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = _cut(both)
     labels = _cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("group")))
     while True:
@@ -103,13 +106,15 @@ def groups_of(pairs: DataFrame, checkpoint: bool = True) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint; sessions without a folder for it get one."""
+    """Write a table to the folder that the cluster shares (a new one where none is set) and read it back: lineage ends there."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terravane-"))
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="terravane-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root}/listings-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def survivors(df: DataFrame, groups: DataFrame, id_: str, newest: Column, longest: Column) -> DataFrame:
