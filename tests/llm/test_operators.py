@@ -223,11 +223,13 @@ IBAN DE89 3704 0044 0532 0130 00."""
 def test_surrogates():
     text, found = pii.replace_entities(PRIVATE, b"key")
     assert pii.replace_entities(PRIVATE, b"key") == (text, found) and pii.replace_entities(PRIVATE, b"other")[0] != text
+    # octets and given names have lengths of their own; names keep their number of words
+    assert all(len(s.split()) == len(PRIVATE[a:b].split()) for a, b, k, s in found if k == "name")
     kinds = Counter(k for _, _, k, _ in found)
     assert kinds == {"phone": 3, "card": 1, "email": 2, "ip": 2, "access_key": 1, "secret": 2, "name": 3, "ssn": 1, "iban": 1}
     new = defaultdict(list)
     for start, end, kind, surrogate in found:
-        assert surrogate != PRIVATE[start:end] and (kind == "ip" or len(surrogate) == len(PRIVATE[start:end]))
+        assert surrogate != PRIVATE[start:end] and (kind in ("ip", "name") or len(surrogate) == len(PRIVATE[start:end]))
         new[kind].append(surrogate)
         if kind != "name":
             assert PRIVATE[start:end] not in text
