@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from terravane.operators import shared
 
 MAX_BLOCK, AREA_WIDTH, COSINE, PRICE_GAP, MIN_TEXT = 400, 5, 0.85, 0.03, 30
 #: N-grams that are compared at once.
@@ -60,11 +60,9 @@ def chunks(df: DataFrame, id_: str, block: list[Column], price: Column, max_bloc
     """Columns block and chunk: a block beyond ``max_block`` rows is cut into equal runs by price (nulls first), then id. So a group
     that one task sees is bounded, whatever its block's size."""
     rows = df.withColumn("block", F.concat_ws("|", *(F.coalesce(b.cast("string"), F.lit("")) for b in block)))
-    sizes = rows.groupBy("block").agg(F.count("*").alias("block_rows"))
-    order = Window.partitionBy("block").orderBy(price.asc_nulls_first(), F.col(id_))
-    rows = rows.join(sizes, "block").withColumn("place", F.row_number().over(order) - 1)
+    rows = shared.placed(rows, ["block"], [price.asc_nulls_first(), F.col(id_).asc()], "place", "block_rows")
     n = F.greatest(F.lit(2), F.ceil(F.col("block_rows") / max_block))
-    chunk = F.when(F.col("block_rows") > max_block, F.floor(F.col("place") / F.ceil(F.col("block_rows") / n))).otherwise(0)
+    chunk = F.when(F.col("block_rows") > max_block, F.floor((F.col("place") - 1) / F.ceil(F.col("block_rows") / n))).otherwise(0)
     return rows.withColumn("chunk", chunk.cast("int"))
 
 
@@ -73,7 +71,7 @@ def duplicate_pairs(df: DataFrame, id_: str, text: Column, block: list[Column],
     kind = df.schema[id_].dataType.simpleString()
     rows = chunks(df.select(F.col(id_).alias("id"), F.coalesce(text, F.lit("")).alias("text"), price.cast("double").alias("price"), *(b.alias(f"b{i}") for i, b in enumerate(block))), "id", [F.col(f"b{i}") for i in range(len(block))], F.col("price"), max_block)
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+    def pairs(g: pd.DataFrame) -> list[tuple]:
         g = g.sort_values("id")
         ids, p = g["id"].tolist(), g["price"].to_numpy(float)
         out = []
@@ -81,45 +79,41 @@ def duplicate_pairs(df: DataFrame, id_: str, text: Column, block: list[Column],
             a, b = p[i], p[j]
             if np.isnan(a) or np.isnan(b) or max(a, b) <= 0 or abs(a - b) / max(a, b) <= gap:
                 out.append((ids[i], ids[j], cos))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks are runs of sorted rows; a batch's last one may go on in the next."""
+        held = None
+        for b in batches:
+            if b.empty:
+                continue
+            rows = b if held is None else pd.concat([held, b], ignore_index=True)
+            goes_on = (rows["block"] == rows["block"].iloc[-1]) & (rows["chunk"] == rows["chunk"].iloc[-1])
+            held = rows[goes_on]
+            yield found(rows[~goes_on])
+        if held is not None:
+            yield found(held)
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [x for _, g in rows.groupby(["block", "chunk"], sort=False) if len(g) > 1 for x in pairs(g)]
         return pd.DataFrame(out, columns=["a", "b", "cosine"])
 
     rows = rows.filter("block_rows > 1").select("block", "chunk", "id", "text", "price")
-    return rows.groupBy("block", "chunk").applyInPandas(pairs, f"a {kind}, b {kind}, cosine double")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes are much work here
+    return rows.repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk").mapInPandas(run, f"a {kind}, b {kind}, cosine double")
 
 
 def groups_of(pairs: DataFrame) -> DataFrame:
-    """(id, group) of connected ids, the group being the smallest id: labels spread along the pairs and along the labels
-    themselves (pointer jumping) until nothing changes."""
-    pairs = _cut(pairs.select("a", "b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("group")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("of")).agg(F.min("group").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("of"), "left").select("id", F.least("group", F.coalesce("near", "group")).alias("group"))
-        jump = step.select(F.col("id").alias("at"), F.col("group").alias("further"))
-        new = _cut(step.join(jump, F.col("group") == F.col("at"), "left").select("id", F.least("group", F.coalesce("further", "group")).alias("group")))
-        old = labels.select(F.col("id").alias("i"), F.col("group").alias("was"))
-        if new.join(old, F.col("id") == F.col("i")).filter("group <> was").isEmpty():
-            return new
-        labels = new
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write a table to the folder that the cluster shares (a new one where none is set) and read it back: lineage ends there."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="terravane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/listings-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """(id, group) of connected ids, the group being the smallest id."""
+    return shared.components(pairs.select("a", "b"))
 
 
 def survivors(df: DataFrame, groups: DataFrame, id_: str, newest: Column, longest: Column) -> DataFrame:
-    """One row per group: the newest (null is oldest), then the longest, then the smallest id. Adds duplicate_group."""
-    joined = df.join(groups.withColumnRenamed("id", "of"), F.col(id_) == F.col("of"), "left").drop("of")
-    joined = joined.withColumn("duplicate_group", F.coalesce(F.col("group"), F.col(id_))).drop("group")
-    order = Window.partitionBy("duplicate_group").orderBy(newest.desc_nulls_last(), longest.desc(), F.col(id_))
-    return joined.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+    """One row per group: the newest (null is oldest), then the longest, then the smallest id. Adds duplicate_group. Ids are unique.
+    The best of a group is a partial minimum; all joins are on ids, so large groups meet in no task."""
+    own = groups.select(F.col("id").alias("_of"), F.col("group").alias("_group"))
+    rank = F.struct(newest.isNull().alias("undated"), (-F.unix_micros(newest)).alias("age"), (-longest).alias("length"), F.col(id_).alias("id"))
+    best = df.select(F.col(id_).alias("_id"), rank.alias("_rank")).join(own, F.col("_id") == F.col("_of")).groupBy("_group").agg(F.min("_rank").alias("_rank"))
+    joined = df.join(own, F.col(id_) == F.col("_of"), "left").join(best.select(F.col("_rank.id").alias("_best")), F.col(id_) == F.col("_best"), "left")
+    kept = joined.filter("_group IS NULL OR _best IS NOT NULL").withColumn("duplicate_group", F.coalesce("_group", F.col(id_)))
+    return kept.drop("_of", "_group", "_best")

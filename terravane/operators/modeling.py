@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.functions.text import UNKNOWN
+from terravane.operators.shared import placed
 
 WEAK_SHARE, FOLDS, TEST_SHARE, SEED = 0.60, 5, 0.20, 42
 #: Columns that hold the label.
@@ -106,8 +107,7 @@ def split_groups(df: DataFrame, group: str, id_: str, folds: int = FOLDS, test_s
     """(group, stratum, role, fold): groups are ranked by md5 in the stratum of their first row; the first fifth is the test set, the
     rest is dealt to folds. A group never straddles."""
     first = df.groupBy(F.col(group).alias("grp")).agg(F.min_by("stratum", id_).alias("stratum"))
-    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("grp").cast("string"))), "grp")
-    ranked = first.withColumns({"place": F.row_number().over(order), "groups": F.count("*").over(Window.partitionBy("stratum"))})
+    ranked = placed(first, ["stratum"], [F.md5(F.concat(F.lit(f"{seed}|"), F.col("grp").cast("string"))), F.col("grp").asc()], "place", "groups")
     tests = F.bround(F.col("groups") * test_share, 0)
     test = F.col("place") <= tests
     return ranked.select("grp", "stratum", F.when(test, "test").otherwise("train").alias("role"), F.when(~test, F.pmod((F.col("place") - tests - 1).cast("int"), F.lit(folds))).alias("fold"))
@@ -115,11 +115,11 @@ def split_groups(df: DataFrame, group: str, id_: str, folds: int = FOLDS, test_s
 
 def capped_sample(df: DataFrame, place: str, id_: str, max_rows: int, seed: int = SEED) -> DataFrame:
     """About ``max_rows`` rows, in proportion to each place and at least one of it, by md5 order."""
-    order = Window.partitionBy(place).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_).cast("string"))), id_)
-    every = df.agg(F.count("*").alias("all_rows"))
-    ranked = df.withColumns({"at": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy(place))}).join(F.broadcast(every))  # one row
-    take = F.greatest(F.lit(1), F.bround(F.col("of") * max_rows / F.col("all_rows"), 0))
-    return ranked.filter((F.col("all_rows") <= max_rows) | (F.col("at") <= take)).select(*df.columns)
+    order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_).cast("string"))), F.col(id_).asc()]
+    every = df.agg(F.count("*").alias("_all"))
+    ranked = placed(df, [place], order, "_place", "_rows").join(F.broadcast(every))  # one row
+    take = F.greatest(F.lit(1), F.bround(F.col("_rows") * max_rows / F.col("_all"), 0))
+    return ranked.filter((F.col("_all") <= max_rows) | (F.col("_place") <= take)).select(*df.columns)
 
 
 def fingerprint(df: DataFrame, id_: str) -> DataFrame:

@@ -336,10 +336,10 @@ def incremental_ids(spark, sf):
     return e.groupBy("user_id").agg(F.min("day").alias("day")).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("new_users"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-15') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 12:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 12:00:00') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
 def new_ids_only(spark, sf):
     e = read(spark, sf, "events").select("event_id", "user_id", "ts")
-    seen, later = e.filter("ts < TIMESTAMP '2024-01-15'"), e.filter("ts >= TIMESTAMP '2024-01-15'")
+    seen, later = e.filter("ts < TIMESTAMP '2024-01-01 12:00:00'"), e.filter("ts >= TIMESTAMP '2024-01-01 12:00:00'")
     first = later.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     fresh = store.new_records(first, seen, "user_id")
     return fresh.select("event_id", F.col("user_id").cast("long").alias("user_id"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terravane.operators.shared import placed
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records of JSON lines under a schema; blank and malformed lines are left out, absent keys are null."""
@@ -47,14 +49,18 @@ def append(records: DataFrame, path: str, id_: str, source: str, url: Column | N
 
 
 def stop_after_known(rows: DataFrame, seen: DataFrame, id_: str, order: str, limit: int = 120) -> DataFrame:
-    """Rows of a listing in its order up to the point where ``limit`` consecutive ones are known; only the new ones."""
-    from pyspark.sql.window import Window
-
-    marked = rows.join(seen.select(F.col(id_).alias("seen_id")).distinct(), F.col(id_) == F.col("seen_id"), "left")
-    w = Window.orderBy(order)
-    run = F.count_if(F.col("seen_id").isNotNull()).over(w.rowsBetween(-(limit - 1), 0))
-    stopped = F.max((run >= limit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("stopped", stopped).filter("stopped = 0 AND seen_id IS NULL").select(*rows.columns)
+    """Rows of a listing in its order up to the point where ``limit`` consecutive ones are known; only the new ones.
+
+    A known row's place among all rows less its place among known ones is the number of new rows before it: rows of one run
+    of known ones share it. So runs are counted by partial sums, and no window orders the whole listing in one task.
+    """
+    own = seen.select(F.col(id_).alias("_seen")).distinct()
+    by = [F.col(order).asc(), F.col(id_).asc()]
+    marked = placed(rows.join(own, F.col(id_) == F.col("_seen"), "left"), [], by, "_place", "_rows")
+    known = placed(marked.filter("_seen IS NOT NULL").select("_place"), [], [F.col("_place").asc()], "_known", "_rows")
+    runs = known.groupBy((F.col("_place") - F.col("_known")).alias("run")).agg(F.count("*").alias("n"), F.min("_place").alias("start"))
+    stop = runs.filter(F.col("n") >= limit).agg(F.min("start").alias("_stop"))
+    return marked.join(F.broadcast(stop)).filter("_seen IS NULL AND (_stop IS NULL OR _place < _stop)").select(*rows.columns)  # one row
 
 
 class _Page(InputPartition):
