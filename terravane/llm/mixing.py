@@ -19,6 +19,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEATS = 1.5, 2
 #: Words of a block; output shards; hash buckets a source is ordered by.
 BLOCK_WORDS, SHARDS, BUCKETS = 256, 64, 4096
+#: Words of a run of a shard: rows of a run lie in one task and one file.
+RUN_WORDS = 1 << 22
 #: Sources that the driver holds a number or two of. More are refused: a source is a name for a collection, not a key.
 MAX_SOURCES = 100_000
 
@@ -176,14 +178,21 @@ def taken_by_document(rows: DataFrame, mixed: DataFrame) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce(F.bit_count("bits"), F.lit(0)).alias("shards"))
 
 
-def mix_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", run_words: int = RUN_WORDS, **options) -> DataFrame:
     """The mix as rows of whole documents with the columns of ``docs``: a document comes once for each pass that takes it. Each
-    shard's rows lie together in their random order. Rows are numbered in a written copy, so repeated ids do no harm."""
+    shard's rows come in their random order, cut into runs of about ``run_words`` words, so a task's part does not grow with
+    the corpus; the partitions are the runs of shard 0, then of shard 1 and so on. Rows are numbered in a written copy, so
+    repeated ids do no harm."""
     name = "row_number"
     while name in docs.columns:
         name += "_"
     copy, _ = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     _, mixed = mix_sources(copy, id_column=name, text_column=text_column, source_column=source_column, block_words=None, **options)
-    places = mixed.select(F.col("doc_id").alias(name), F.col("shard").alias(name + "s"), F.col("order").alias(name + "o"))
+    shards = options.get("shards", SHARDS)
+    words = mixed.agg(F.sum("words")).first()[0] or 0
+    runs = max(1, -(-words // (shards * run_words)))
+    share = F.col("order") / F.lit(2.0**64) + 0.5  # the order is a 64-bit hash: equal parts of its range hold like numbers of rows
+    run = F.col("shard") * runs + F.least(F.floor(share * runs), F.lit(runs - 1)).cast("int")
+    places = mixed.select(F.col("doc_id").alias(name), run.alias(name + "s"), F.col("order").alias(name + "o"))
     joined = copy.join(places, name)
-    return joined.repartition(name + "s").sortWithinPartitions(name + "s", name + "o").select(*docs.columns)
+    return joined.repartitionById(shards * runs, F.col(name + "s")).sortWithinPartitions(name + "o").select(*docs.columns)

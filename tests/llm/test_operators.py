@@ -136,6 +136,13 @@ def test_whole_documents_are_mixed(documents):
     assert max(Counter(r["doc_id"] for r in out.collect()).values()) <= 2
 
 
+def test_runs_cut_shards_and_keep_their_order(documents):
+    whole = mixing.mix_documents(documents, shards=2).collect()
+    cut = mixing.mix_documents(documents, shards=2, run_words=2000)
+    assert cut.rdd.getNumPartitions() > 20
+    assert [r["doc_id"] for r in cut.collect()] == [r["doc_id"] for r in whole]
+
+
 def test_splitting_tree():
     quotas = [1000, 0, 7, 123456, 1]
     tree = mixing.splitting_tree(quotas, 13, 5)
