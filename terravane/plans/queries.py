@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from terravane.functions import address, extract, money, phones, price
 from terravane.functions.text import flat
-from terravane.operators import cleaning, dedup, modeling
+from terravane.operators import cleaning, dedup, experiments, modeling
 from terravane.plans import pipeline
 from terravane.sources import html, store
 from terravane.streaming import ingest
@@ -495,6 +495,73 @@ def model_errors(spark, sf):
     return out
 
 
+def _dated_listings(spark, sf):
+    line = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    part = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("fold", (F.col("l_orderkey") % 5).cast("int"))
+
+
+_ERRORS = """count(*) AS n, round(sqrt(avg((p - l_extendedprice) ** 2)), 4) AS rmse, round(avg(abs(p - l_extendedprice)), 4) AS mae,
+  round(median(abs(p - l_extendedprice) / l_extendedprice) * 100, 6) AS mdape"""
+#: Training rows by case k, as table t; test rows as table e; predictions by the back-off median as table x.
+_CASES = """, d AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_shipdate, p_brand, p_type, l_extendedprice / l_quantity AS u FROM lineitem JOIN part ON l_partkey = p_partkey),
+t AS (SELECT k.*, d.* FROM d JOIN k ON {train}), e AS (SELECT k.*, d.* FROM d JOIN k ON {test}),
+m2 AS (SELECT k, p_brand, p_type, median(u) AS m2 FROM t GROUP BY ALL), m1 AS (SELECT k, p_brand, median(u) AS m1 FROM t GROUP BY ALL), m0 AS (SELECT k, median(u) AS m0 FROM t GROUP BY ALL),
+x AS (SELECT e.*, coalesce(m2, m1, m0) * l_quantity AS p FROM e LEFT JOIN m2 USING (k, p_brand, p_type) LEFT JOIN m1 USING (k, p_brand) LEFT JOIN m0 USING (k))
+"""
+_BROKER = experiments.backoff(GROUPS, "l_extendedprice", "l_quantity")
+
+
+def _rounded(df, *by):
+    return df.select(*by, "n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mdape", 6).alias("mdape"))
+
+
+@query("WITH k AS (SELECT CAST(range AS INTEGER) AS k FROM range(5))" + _CASES.format(train="l_orderkey % 5 <> k", test="l_orderkey % 5 = k") + f"SELECT k AS fold, {_ERRORS} FROM x GROUP BY ALL")
+def broker_cross_validation(spark, sf):
+    return _rounded(experiments.cross_validate(_BROKER, _dated_listings(spark, sf), "l_extendedprice"), "fold")
+
+
+@query(
+    "WITH k AS (SELECT 'later' AS k)" + _CASES.format(train="l_shipdate < TIMESTAMP '1996-01-01'", test="l_shipdate >= TIMESTAMP '1996-01-01'") + f"SELECT k AS period, {_ERRORS} FROM x GROUP BY ALL"
+)
+def temporal_transfer(spark, sf):
+    d = _dated_listings(spark, sf)
+    later = _BROKER(d.filter("l_shipdate < TIMESTAMP '1996-01-01'"), d.filter("l_shipdate >= TIMESTAMP '1996-01-01'"))
+    return _rounded(experiments.errors({"later": later}, "l_extendedprice", "period"), "period")
+
+
+@query(
+    "WITH k AS (SELECT p_brand AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL ORDER BY count(*) DESC, p_brand LIMIT 5)"
+    + _CASES.format(train="p_brand <> k", test="p_brand = k")
+    + f"SELECT k AS p_brand, {_ERRORS} FROM x GROUP BY ALL"
+)
+def broker_leave_one_out(spark, sf):
+    return _rounded(experiments.leave_one_out(_BROKER, _dated_listings(spark, sf), "p_brand", "l_extendedprice"), "p_brand")
+
+
+def _ridge(categorical):
+    return experiments.estimator(modeling.feature_pipeline(["l_quantity"], categorical), modeling.registry(fast=True)["ridge"], "l_extendedprice")
+
+
+@query()
+def feature_ablation(spark, sf):
+    models = {"quantity": _ridge([]), "quantity, brand": _ridge(["p_brand"]), "broker": _BROKER, "broker in fences": experiments.fenced(_BROKER, "p_brand", F.log(F.col("l_extendedprice") / F.col("l_quantity")))}
+    return experiments.catalogue(models, _dated_listings(spark, sf), "l_extendedprice")
+
+
+@query()
+def learning_curve(spark, sf):
+    d = _dated_listings(spark, sf)
+    return experiments.learning_curve(_BROKER, d.filter("fold > 0"), d.filter("fold = 0"), "l_orderkey", "l_extendedprice")
+
+
+@query()
+def permutation_importance(spark, sf):
+    d = _dated_listings(spark, sf).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    test = d.filter("fold = 0")
+    return experiments.permutation_importance(lambda t: _BROKER(d.filter("fold > 0"), t), test, ["l_quantity", "p_brand", "p_type"], "id", "l_extendedprice", repeats=2)
+
+
 @query()
 def prepared_listings(spark, sf):
     d = listings(spark, sf).select(
