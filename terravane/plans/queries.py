@@ -15,6 +15,7 @@ from terravane.functions.text import flat
 from terravane.operators import cleaning, dedup, experiments, modeling
 from terravane.plans import pipeline
 from terravane.sources import html, store
+from terravane.sources import listings as sources
 from terravane.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -584,3 +585,24 @@ def prepared_listings(spark, sf):
 @query("SELECT c_custkey, lower(c_name) AS key FROM customer")
 def accent_free(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", flat(F.translate(F.col("c_name"), "aeu", "áếữ")).alias("key"))
+
+
+@query(
+    """SELECT 'g-' || p_partkey AS listing_id, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER)), '%Y-%m-%d') AS day,
+  CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice * 1000000 ELSE 5000000000 END AS total, CASE WHEN p_partkey % 3 <> 0 THEN 'structured' ELSE 'total' END AS price_kind,
+  CASE WHEN p_partkey % 2 = 0 THEN CAST(20 + p_size AS DOUBLE) END AS area_m2, CAST(p_size % 5 + 1 AS DOUBLE) AS bedrooms, true AS bedrooms_from_text,
+  ['mặt tiền', 'hẻm', 'không rõ', 'không rõ'][p_partkey % 4 + 1] AS position, ['không rõ', 'sổ hồng', 'hợp đồng mua bán', 'giấy tay'][p_size % 4 + 1] AS legal_status,
+  ['không rõ', 'Đông', 'Tây', 'Nam', 'Bắc', 'Đông Bắc', 'Đông Nam', 'Tây Bắc', 'Tây Nam'][p_size % 9 + 1] AS direction, CASE p_partkey % 4 WHEN 3 THEN 'Biệt thự' ELSE 'Nhà phố' END AS property_type,
+  'Phường ' || p_size AS ward, 'Quận ' || (p_size % 5 + 3) AS district, 'old' AS ward_frame FROM part"""
+)
+def gateway_listings(spark, sf):
+    records = read(spark, sf, "part").selectExpr(
+        "p_partkey AS list_id", "1704067200000 + p_partkey % 365 * 86400000 AS list_time", "'Bán nhà' AS subject", "concat(p_size % 5 + 1, ' phòng ngủ') AS body",
+        "CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice * 1000000 END AS price", "'5 tỷ' AS price_string", "CAST(NULL AS DOUBLE) AS price_million_per_m2", "CASE WHEN p_partkey % 2 = 0 THEN 20 + p_size END AS size",
+        "CAST(NULL AS INT) AS rooms", "CAST(NULL AS INT) AS floors", "CAST(NULL AS INT) AS toilets", "CAST(NULL AS DOUBLE) AS width", "p_partkey % 4 + 1 AS house_type", "p_size % 4 AS property_legal_document",
+        "p_size % 9 AS direction", "'Nhà' AS category_name", "'' AS street_name", "concat('P.', p_size) AS ward_name", "CAST(NULL AS STRING) AS ward_name_v3", "concat('Q.', p_size % 5 + 3) AS area_name",
+        "CAST(NULL AS DOUBLE) AS latitude", "CAST(NULL AS DOUBLE) AS longitude", "CAST(NULL AS TIMESTAMP) AS _collected_at",
+    )
+    mapping = _mapping(spark, sf).withColumn("new_ward", F.col("new_ward").cast("string"))
+    out = sources.unified([sources.from_gateway(records, mapping, "g")]).withColumns({"day": F.date_format("published_at", "yyyy-MM-dd"), "total": F.col("total_price_vnd")})
+    return out.select("listing_id", "day", "total", "price_kind", "area_m2", "bedrooms", "bedrooms_from_text", "position", "legal_status", "direction", "property_type", "ward", "district", "ward_frame")
