@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terravane.functions.text import first_matching, flat, group
+from terravane.functions.text import first_matching, flat, group, let
 
 #: Patterns on accent-free lower-case text.
 NUMBER = r"(\d+(?:[.,]\d+)?)"
@@ -127,14 +127,15 @@ def alley_width(t: Column) -> Column:
 def extract_all(title: Column, body: Column) -> dict[str, Column]:
     """All attributes of a listing by name."""
     t = flat(F.concat_ws("\n", title, body))
-    return {
-        "area_m2": area(t),
-        "bedrooms": bedrooms(t),
-        "bathrooms": bathrooms(t),
-        "floors": floors(t),
-        "frontage_m": frontage(t),
-        "alley_width_m": alley_width(t),
-        "position": first_matching(t, POSITION),
-        "legal_status": first_matching(t, LEGAL),
-        "direction": first_matching(t, DIRECTION),
+    own = {
+        "area_m2": area,
+        "bedrooms": bedrooms,
+        "bathrooms": bathrooms,
+        "floors": floors,
+        "frontage_m": frontage,
+        "alley_width_m": alley_width,
+        "position": lambda t: first_matching(t, POSITION),
+        "legal_status": lambda t: first_matching(t, LEGAL),
+        "direction": lambda t: first_matching(t, DIRECTION),
     }
+    return {name: let(t, read) for name, read in own.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terravane.functions.text import deaccent, flat, group
+from terravane.functions.text import deaccent, flat, group, let
 
 BILLION, MILLION = 1e9, 1e6
 
@@ -24,6 +24,10 @@ LEAST_SALE = 3e8
 def number(token: Column, billions: bool = False) -> Column:
     """A number under either locale. With both separators the last is the decimal one; a separator before exactly three digits
     groups thousands, but a single one before a unit of billions is decimal."""
+    return let(token, lambda x: _read_number(x, billions))
+
+
+def _read_number(token: Column, billions: bool) -> Column:
     comma_last = F.instr(F.reverse(token), ",") < F.instr(F.reverse(token), ".")
     grouped = token.rlike(r"^\d{1,3}([.,]\d{3})+$")
     if billions:
@@ -35,7 +39,7 @@ def number(token: Column, billions: bool = False) -> Column:
         .when(grouped, F.regexp_replace(token, "[.,]", ""))
         .otherwise(F.replace(token, F.lit(","), F.lit(".")))
     )
-    return F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.try_cast("double"))
+    return let(plain, lambda p: F.when(p.rlike(r"^\d+(\.\d+)?$"), p.try_cast("double")))
 
 
 def round_vnd(c: Column) -> Column:
@@ -45,8 +49,11 @@ def round_vnd(c: Column) -> Column:
 
 def parse_price(text: Column, area: Column | None = None) -> Column:
     """Struct (total, unit, kind). Kinds: missing, negotiable, unit, total. A unit price gives a total only with an area."""
-    t = flat(text)
     area = F.lit(None).cast("double") if area is None else area.cast("double")
+    return let(flat(text), lambda t: _read_price(t, area))
+
+
+def _read_price(t: Column, area: Column) -> Column:
     none = F.lit(None).cast("double")
 
     def reading(kind: str, total: Column, unit: Column = none) -> Column:

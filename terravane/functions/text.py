@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -41,6 +42,11 @@ def flat(c: Column) -> Column:
     return squeeze(deaccent(F.coalesce(c, F.lit(""))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once per row, which branches of a condition otherwise do each for themselves."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(c: Column) -> Column:
     """Accent-free words joined by hyphens."""
     return F.regexp_replace(F.regexp_replace(deaccent(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
