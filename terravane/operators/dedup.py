@@ -15,6 +15,8 @@ from terravane.operators import shared
 MAX_BLOCK, AREA_WIDTH, COSINE, PRICE_GAP, MIN_TEXT = 400, 5, 0.85, 0.03, 30
 #: N-grams that are compared at once.
 COLUMNS = 4096
+#: Columns that n-grams are folded into, and characters of the texts whose n-grams are held at once.
+FOLD, PART = 16384, 1 << 20
 
 
 def area_bucket(area: Column, width: float = AREA_WIDTH) -> Column:
@@ -34,26 +36,73 @@ def grams(text: str, low: int = 3, high: int = 5) -> Counter:
     return out
 
 
+def _dense(counts: list[Counter], known: dict[str, int], width: int, low: int = 0, kind: type = float) -> np.ndarray:
+    """Counts over their norms. N-grams from number ``low`` on have a column each; without ``low`` all are folded into ``width`` columns."""
+    out = np.zeros((len(counts), width), dtype=kind)
+    for i, c in enumerate(counts):
+        at, v = np.fromiter((known[g] for g in c), np.int64, len(c)), np.fromiter(c.values(), float, len(c))
+        v /= max((v * v).sum(), 1) ** 0.5
+        if low >= 0:
+            own = (at >= low) & (at < low + width)
+            out[i, at[own] - low] = v[own]
+        else:
+            out[i] = np.bincount(at % width, v, width)
+    return out
+
+
+def _cosines(x: list[Counter], y: list[Counter], threshold: float) -> list[tuple[int, int, float]]:
+    """Pairs (place in x, place in y) of at least the threshold. Folding n-grams into fewer columns only adds to a product of
+    counts, so pairs below the threshold by folded columns are none; the others are computed exactly."""
+    known: dict[str, int] = {}
+    for c in (*x, *y):
+        for g in c:
+            known.setdefault(g, len(known))
+    if len(known) > 2 * FOLD:
+        able = _dense(x, known, FOLD, -1, np.float32) @ _dense(y, known, FOLD, -1, np.float32).T >= threshold - 1e-3
+        some = list(zip(*np.nonzero(able), strict=True))
+        if len(some) * 10 < able.size:
+            out = []
+            for i, j in some:
+                a, b = sorted((x[i], y[j]), key=len)
+                cos = sum(v * b[g] for g, v in a.items() if g in b) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+                if cos >= threshold:
+                    out.append((int(i), int(j), cos))
+            return out
+    cos = np.zeros((len(x), len(y)))
+    for low in range(0, len(known), COLUMNS):  # a slice of the n-grams at a time bounds memory
+        cos += _dense(x, known, COLUMNS, low) @ _dense(y, known, COLUMNS, low).T
+    return [(int(i), int(j), float(cos[i, j])) for i, j in zip(*np.nonzero(cos >= threshold), strict=True)]
+
+
+def _parts(texts: list[str]) -> list[tuple[int, int]]:
+    """Runs of places of at most PART characters, or one text."""
+    out, begin, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > PART:
+            out.append((begin, i))
+            begin, size = i, 0
+        size += len(t)
+    return [*out, (begin, len(texts))] if texts else []
+
+
+def text_pairs(x: list[str], y: list[str] | None, threshold: float) -> list[tuple[int, int, float]]:
+    """Pairs (i, j, cosine) of x and y, or i < j of x alone, whose n-gram counts have at least the threshold's cosine."""
+    out = []
+    for a, b in _parts(x):
+        left = [grams(t) for t in x[a:b]]
+        for c, d in _parts(x if y is None else y):
+            if y is None and c < a:
+                continue
+            right = left if y is None and c == a else [grams(t) for t in (x if y is None else y)[c:d]]
+            out += [(a + i, c + j, cos) for i, j, cos in _cosines(left, right, threshold) if y is not None or a + i < c + j]
+    return out
+
+
 def chunk_pairs(texts: list[str], threshold: float) -> list[tuple[int, int, float]]:
     """Pairs of texts (places i < j) with a cosine of n-gram counts of at least the threshold."""
     if not any(len(t.strip()) > MIN_TEXT for t in texts):
         return []
-    counts, known = [grams(t) for t in texts], {}
-    for c in counts:
-        for g in c:
-            known.setdefault(g, len(known))
-    row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    col = np.array([known[g] for c in counts for g in c], dtype=np.int64)
-    norm = np.array([max(sum(v * v for v in c.values()), 1) ** 0.5 for c in counts])
-    val = np.array([v for c in counts for v in c.values()], dtype=float) / norm[row]
-    order = np.argsort(col, kind="stable")
-    row, col, val = row[order], col[order], val[order]
-    cos, edges = np.zeros((len(texts), len(texts))), np.searchsorted(col, np.arange(0, len(known) + COLUMNS, COLUMNS))
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):  # a slice of the n-grams at a time bounds memory
-        m = np.zeros((len(texts), COLUMNS))
-        m[row[a:b], col[a:b] - k * COLUMNS] = val[a:b]
-        cos += m @ m.T
-    return [(int(i), int(j), float(cos[i, j])) for i, j in zip(*np.nonzero(np.triu(cos, 1) >= threshold), strict=True)]
+    return sorted(text_pairs(texts, None, threshold))
 
 
 def chunks(df: DataFrame, id_: str, block: list[Column], price: Column, max_block: int = MAX_BLOCK) -> DataFrame:
@@ -66,41 +115,98 @@ def chunks(df: DataFrame, id_: str, block: list[Column], price: Column, max_bloc
     return rows.withColumn("chunk", chunk.cast("int"))
 
 
-def duplicate_pairs(df: DataFrame, id_: str, text: Column, block: list[Column], price: Column, threshold: float = COSINE, gap: float = PRICE_GAP, max_block: int = MAX_BLOCK) -> DataFrame:
-    """(a, b, cosine) of likely duplicates in a chunk: cosine and price agree (a missing price agrees with any)."""
-    kind = df.schema[id_].dataType.simpleString()
-    rows = chunks(df.select(F.col(id_).alias("id"), F.coalesce(text, F.lit("")).alias("text"), price.cast("double").alias("price"), *(b.alias(f"b{i}") for i, b in enumerate(block))), "id", [F.col(f"b{i}") for i in range(len(block))], F.col("price"), max_block)
+def _classes(df: DataFrame, id_: str, text: Column, block: list[Column], price: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text, price, b) of one of each class of equal block, text and price, and the members (id, rep) of all classes. Blocks
+    of one row or without a text beyond MIN_TEXT, and texts without words, have no pair."""
+    key = F.concat_ws("|", *(F.coalesce(b.cast("string"), F.lit("")) for b in block))
+    number = price.cast("double")
+    rows = df.select(F.col(id_).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.when(~F.isnan(number), number).alias("price"), key.alias("b")).filter("id IS NOT NULL")
+    digests = shared.cut(rows.select("id", "b", "price", F.sha2("text", 256).alias("digest"), F.col("text").rlike(rf"(?sU)\S.{{{MIN_TEXT - 1},}}\S").alias("long"), F.col("text").rlike(r"(?U)\S").alias("words")))
+    blocks = digests.groupBy("b").agg(F.bool_or("long").alias("any_long"), F.count("*").alias("n")).filter("any_long AND n > 1").select(F.col("b").alias("_b"))
+    able = digests.filter("words").join(blocks, F.col("b") == F.col("_b"), "left_semi")
+    least = able.groupBy("b", "digest", "price").agg(F.min("id").alias("rep")).select(F.col("b").alias("_b"), F.col("digest").alias("_d"), F.col("price").alias("_p"), "rep")
+    members = able.join(least, (F.col("b") == F.col("_b")) & (F.col("digest") == F.col("_d")) & F.col("price").eqNullSafe(F.col("_p"))).select("id", "rep")
+    members = shared.cut(members)
+    return rows.join(members.filter("id = rep").select("id"), "id", "left_semi"), members
+
+
+def _class_pairs(reps: DataFrame, threshold: float, gap: float, max_block: int, forest: bool) -> DataFrame:
+    """(a, b, cosine) of likely duplicates among classes. A block's runs by price are compared with themselves and with each
+    following run that reaches into the price gap, so no pair is lost and a task holds two runs at a time. ``forest``: only as many
+    of a task's pairs as connect the same ids."""
+    kind = reps.schema["id"].dataType.simpleString()
+    rows = chunks(reps, "id", [F.col("b")], F.col("price"), max_block).filter("block_rows > 1").select("block", "chunk", "id", "text", "price")
+    runs = rows.groupBy("block", "chunk").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.bool_or(F.col("price").isNull()).alias("missing"))
+    one = runs.select("block", F.col("chunk").alias("c1"), "high", "missing")
+    two = runs.select(F.col("block").alias("_block"), F.col("chunk").alias("c2"), "low")
+    reach = F.col("missing") | (F.col("low") <= 0) | (F.col("low") * (1 - gap) * (1 - 1e-9) <= F.col("high"))  # nulls are first; prices of 0 and less agree
+    work = shared.cut(one.join(two, (F.col("block") == F.col("_block")) & (F.col("c1") <= F.col("c2")) & ((F.col("c1") == F.col("c2")) | reach)).select("block", "c1", "c2"))
+    legs = work.select("block", F.col("c1").alias("chunk"), "c1", "c2").unionByName(work.filter("c1 < c2").select("block", F.col("c2").alias("chunk"), "c1", "c2"))
 
     def pairs(g: pd.DataFrame) -> list[tuple]:
-        g = g.sort_values("id")
-        ids, p = g["id"].tolist(), g["price"].to_numpy(float)
-        out = []
-        for i, j, cos in chunk_pairs(g["text"].tolist(), threshold):
-            a, b = p[i], p[j]
+        first = g["chunk"] == g["c1"]
+        x, y = g[first], g[~first]
+        alone = not len(y)
+        y = x if alone else y
+        found = text_pairs(x["text"].tolist(), None if alone else y["text"].tolist(), threshold)
+        ids, others, p, q, out, root = x["id"].tolist(), y["id"].tolist(), x["price"].to_numpy(float), y["price"].to_numpy(float), [], {}
+
+        def find(v: object) -> object:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        for i, j, cos in found:
+            a, b = p[i], q[j]
             if np.isnan(a) or np.isnan(b) or max(a, b) <= 0 or abs(a - b) / max(a, b) <= gap:
-                out.append((ids[i], ids[j], cos))
+                if forest:
+                    u, v = find(ids[i]), find(others[j])
+                    if u == v:
+                        continue
+                    root[u] = v
+                out.append((*sorted((ids[i], others[j])), cos))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Chunks are runs of sorted rows; a batch's last one may go on in the next."""
+        """Pairs of runs are runs of sorted rows; a batch's last one may go on in the next."""
         held = None
         for b in batches:
             if b.empty:
                 continue
             rows = b if held is None else pd.concat([held, b], ignore_index=True)
-            goes_on = (rows["block"] == rows["block"].iloc[-1]) & (rows["chunk"] == rows["chunk"].iloc[-1])
+            last = rows.iloc[-1]
+            goes_on = (rows["block"] == last["block"]) & (rows["c1"] == last["c1"]) & (rows["c2"] == last["c2"])
             held = rows[goes_on]
             yield found(rows[~goes_on])
         if held is not None:
             yield found(held)
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [x for _, g in rows.groupby(["block", "chunk"], sort=False) if len(g) > 1 for x in pairs(g)]
+        out = [x for _, g in rows.groupby(["block", "c1", "c2"], sort=False) if len(g) > 1 for x in pairs(g)]
         return pd.DataFrame(out, columns=["a", "b", "cosine"])
 
-    rows = rows.filter("block_rows > 1").select("block", "chunk", "id", "text", "price")
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes are much work here
-    return rows.repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk").mapInPandas(run, f"a {kind}, b {kind}, cosine double")
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes are much work here
+    both = rows.join(legs, ["block", "chunk"]).repartition(tasks, "block", "c1", "c2").sortWithinPartitions("block", "c1", "c2")
+    return both.mapInPandas(run, f"a {kind}, b {kind}, cosine double")
+
+
+def duplicate_pairs(df: DataFrame, id_: str, text: Column, block: list[Column], price: Column, threshold: float = COSINE, gap: float = PRICE_GAP, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(a, b, cosine) of all likely duplicates in a block: cosine and price agree (a missing price agrees with any). Copies give all
+    their pairs, so the result grows with the square of a group; ``duplicate_links`` does not."""
+    reps, members = _classes(df, id_, text, block, price)
+    between = shared.cut(_class_pairs(reps, threshold, gap, max_block, False))
+    x, y = members.select(F.col("id").alias("x"), F.col("rep").alias("rx")), members.select(F.col("id").alias("y"), F.col("rep").alias("ry"))
+    within = x.join(y, (F.col("rx") == F.col("ry")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("cosine"))
+    across = between.join(x, F.col("a") == F.col("rx")).join(y, F.col("b") == F.col("ry"))
+    return within.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine"))
+
+
+def duplicate_links(df: DataFrame, id_: str, text: Column, block: list[Column], price: Column, threshold: float = COSINE, gap: float = PRICE_GAP, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(a, b) that connect ids exactly as all ``duplicate_pairs`` would: each copy with its class, and classes with each other."""
+    reps, members = _classes(df, id_, text, block, price)
+    between = _class_pairs(reps, threshold, gap, max_block, True).select("a", "b")
+    return members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(between)
 
 
 def groups_of(pairs: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def prepare(listings: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]
     labelled = cleaning.drop_missing(listings, ["total_price_vnd", "area_m2"])
     ruled = cleaning.apply_rules(labelled, cleaning.hard_rules()).filter("reason IS NULL").drop("reason")
     text = F.concat_ws(" ", "title", "description")
-    pairs = dedup.duplicate_pairs(ruled, "listing_id", text, [F.col("district"), F.col("ward"), dedup.area_bucket(F.col("area_m2"))], F.col("total_price_vnd"))
+    pairs = dedup.duplicate_links(ruled, "listing_id", text, [F.col("district"), F.col("ward"), dedup.area_bucket(F.col("area_m2"))], F.col("total_price_vnd"))
     one = dedup.survivors(ruled, dedup.groups_of(pairs), "listing_id", F.col("published_at"), F.length(F.coalesce("description", F.lit(""))))
     numeric = [c for c in ("bedrooms", "bathrooms", "floors", "frontage_m", "alley_width_m") if c in one.columns]
     marked = cleaning.mark_missing(one, numeric, ["legal_status", "direction", "position"])

@@ -85,3 +85,35 @@ def test_capped_sample_keeps_shares(spark):
     df = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(1000)], "id int, p string")
     out = modeling.capped_sample(df, "p", "id", 100)
     assert {r["p"]: r["count"] for r in out.groupBy("p").count().collect()} == {"a": 90, "b": 10} and out.columns == df.columns
+
+
+def test_pairs_and_copies_across_the_runs_of_a_block(spark):
+    base = "a flat with a view of the river and two rooms near the market number"
+    rng = random.Random(11)
+    prices = [100.0 + i % 7 for i in range(40)] + [None, None, 0.0, -5.0] + [300.0] * 12
+    rows = [(i, base + f" {rng.randrange(4)}", p) for i, p in enumerate(prices)]
+    df = spark.createDataFrame(rows, "id int, text string, price double").withColumn("place", F.lit("x"))
+    args = (df, "id", F.col("text"), [F.col("place")], F.col("price"))
+    want = set()
+    for i, r in enumerate(rows):
+        for s in rows[i + 1 :]:
+            close = r[2] is None or s[2] is None or max(r[2], s[2]) <= 0 or abs(r[2] - s[2]) / max(r[2], s[2]) <= 0.03
+            if close and dedup.chunk_pairs([r[1], s[1]], 0.85):
+                want.add((r[0], s[0]))
+    got = [(r["a"], r["b"]) for r in dedup.duplicate_pairs(*args, max_block=5).collect()]
+    assert set(got) == want and len(got) == len(want)
+    sides = lambda p: {(r["id"], r["group"]) for r in dedup.groups_of(p).collect()}
+    assert sides(dedup.duplicate_links(*args, max_block=5)) == sides(spark.createDataFrame(sorted(want), "a int, b int"))
+
+
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_folded_cosines_lose_no_pair(limit, monkeypatch):
+    rng = random.Random(4)
+    base = [" ".join(f"{rng.randrange(10**6):06}" for _ in range(40)) for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.03 else "other" for w in b.split()) for b in base for _ in range(3)]
+    monkeypatch.setattr(dedup, "PART", limit)
+    exact = dedup.chunk_pairs(texts, 0.85)
+    monkeypatch.setattr(dedup, "FOLD", 512)
+    folded = dedup.chunk_pairs(texts, 0.85)
+    assert [p[:2] for p in folded] == [p[:2] for p in exact] and len(exact) > 10
+    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(folded, exact, strict=True))
