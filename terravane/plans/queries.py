@@ -298,9 +298,10 @@ def text_flags(spark, sf):
     return read(spark, sf, "part").select("p_partkey", text.alias("t")).select("p_partkey", *(own[k].alias(k) for k in ("co_mat_tien", "ban_gap", "thang_may")))
 
 
-def _document_pairs(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars").filter("n_chars BETWEEN 100 AND 4000")
-    return d, dedup.duplicate_pairs(d, "doc_id", F.col("text"), [F.col("lang"), dedup.area_bucket(F.col("n_chars"), 200)], F.col("n_chars"))
+def _documents(spark, sf):
+    """Documents, and how near-duplicates compare them: text, block and price."""
+    d = read(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    return d, ("doc_id", F.col("text"), [F.col("lang"), dedup.area_bucket(F.col("n_chars"), 200)], F.col("n_chars"))
 
 
 @query(
@@ -315,13 +316,15 @@ SELECT a, b, round(dot / (u.q * v.q), 5) AS cosine FROM p JOIN q u ON u.doc_id =
 WHERE dot / (u.q * v.q) >= 0.85 AND abs(da.n_chars - db.n_chars) / greatest(da.n_chars, db.n_chars) <= 0.03"""
 )
 def near_dup_pairs(spark, sf):
-    return _document_pairs(spark, sf)[1].select("a", "b", F.round("cosine", 5).alias("cosine"))
+    d, how = _documents(spark, sf)
+    pairs = dedup.duplicate_pairs(d.filter("n_chars BETWEEN 100 AND 4000"), *how)  # as its SQL
+    return pairs.select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 @query()
 def near_dup_survivors(spark, sf):
-    d, pairs = _document_pairs(spark, sf)
-    return dedup.survivors(d, dedup.groups_of(pairs), "doc_id", F.lit(None).cast("timestamp"), F.col("n_chars")).select("doc_id", "duplicate_group")
+    d, how = _documents(spark, sf)
+    return dedup.survivors(d, dedup.groups_of(dedup.duplicate_links(d, *how)), "doc_id", F.lit(None).cast("timestamp"), F.col("n_chars")).select("doc_id", "duplicate_group")
 
 
 @query(r"""SELECT page_id, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '<a\s')) AS INTEGER) AS links FROM pages""")

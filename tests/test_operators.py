@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravane.operators import dedup, modeling, shared
+from terravane.plans import queries
 from terravane.sources import store
 
 
@@ -117,3 +118,13 @@ def test_folded_cosines_lose_no_pair(limit, monkeypatch):
     folded = dedup.chunk_pairs(texts, 0.85)
     assert [p[:2] for p in folded] == [p[:2] for p in exact] and len(exact) > 10
     assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(folded, exact, strict=True))
+
+
+def test_survivors_of_documents_of_all_lengths(spark, tmp_path):
+    short, rng = "a short text of some fifty characters, no more", random.Random(8)
+    long = [" ".join("".join(rng.choices(letters, k=5)) for _ in range(1200))[:5000] for letters in ("abcdefgh", "rstuvwxyz")]
+    texts = [short, short, "another text that is short, too, and no copy", long[0], long[0], long[0] + " end", long[1], "", ""]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["duplicate_group"]) for r in queries.QUERIES["near_dup_survivors"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0), (2, 2), (5, 3), (6, 6), (7, 7), (8, 8)}
