@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravane.operators import experiments as e
+from terravane.operators import modeling
+from terravane.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +57,8 @@ def test_fences_are_learnt_on_training_rows(rows):
     test = rows.filter("fold = 0").withColumn("price", F.when(F.col("id") == 0, 1e9).otherwise(F.col("price")))
     out = e.fenced(e.backoff([], "price", "area"), "place", F.log(F.col("price") / F.col("area")))(train, test)
     assert out.filter("price = 1e9").count() == 0 and out.count() >= 90
+
+
+def test_all_models_are_compared(spark):
+    got = queries.QUERIES["model_errors"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["model"] for r in got} == set(modeling.registry()) and len(got) == 6
