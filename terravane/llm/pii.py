@@ -140,10 +140,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: Country codes of one and two digits, and the first two digits of those of three. No code begins another one.
+_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9]")
+
+
+def _country(value: str) -> str:
+    """The country code after a plus sign: up to the first separator, else by the table; nothing if there is none."""
+    m = re.match(r"\+([0-9]{1,3})(?=[ .(-])", value)
+    if m:
+        return m[1]
+    known = _CODES.match(digits_of(value)) if value[0] == "+" else None
+    return known[0] if known else ""
+
+
 def _phone(value: str, key: bytes) -> str:
     """The country code stays; the rest is the same number for all ways to write it, and as valid as before."""
-    own, m = digits_of(value), re.match(r"\+([0-9]{1,3})(?=[ .(-])", value)
-    code = m[1] if m else own[: len(own) == 11 and own[0] == "1"]
+    own = digits_of(value)
+    code = _country(value) or own[: len(own) == 11 and own[0] == "1"]
     own = own[len(code) :]
     north = len(own) == 10 and code in ("", "1")
     valid = lambda s: (s[0] > "1" and s[3] > "1") if north else s[0] != "0"
@@ -230,6 +243,7 @@ class Kind:
 
 
 _DIGIT = re.compile("[0-9]")
+_PLUS = re.compile(r"\+[0-9]").search
 _LETTER = r"[^\W\d_]"
 _WORD_NAME = rf"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]{_LETTER}+(?:-[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]{_LETTER}+)?"
 TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra)"
@@ -253,10 +267,11 @@ KINDS = [
     Kind("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w])(?!\.[0-9])"), _DIGIT.search, _ip),
     Kind("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _DIGIT.search, lambda v, k: fill(v, spelled(digits_of(v), k + b"|ssn"))),
     Kind("phone", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"), _DIGIT.search, _phone),
-    Kind(
-        "phone", re.compile(r"(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)"), lambda t: "+" in t and _DIGIT.search(t), _phone, lambda v: 8 <= len(digits_of(v)) <= 15 and re.match(r"\+[0-9]{1,3}[ .(-]", v) is not None
-    ),
-    Kind("name", re.compile(rf"(?<!\w){TITLES}\.? (?P<v>{_WORD_NAME}(?: {_WORD_NAME})?)(?!\w)"), re.compile(rf"(?<!\w){TITLES}\.? ").search, _name),
+    # without separators: a whole number of the country code 1, or digits that do not go on; then with separators, then the digits before others
+    Kind("phone", re.compile(r"(?<![\w+])\+(?:1[2-9][0-9]{9}|[0-9]{8,15}(?![ .-]?\(?[0-9]))(?!\w)"), _PLUS, _phone, lambda v: _country(v) != ""),
+    Kind("phone", re.compile(r"(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)"), _PLUS, _phone, lambda v: 8 <= len(digits_of(v)) <= 15 and _country(v) != ""),
+    Kind("phone", re.compile(r"(?<![\w+])\+[0-9]{8,15}(?!\w)"), _PLUS, _phone, lambda v: _country(v) != ""),
+    Kind("name", re.compile(rf"(?<!\w){TITLES}\.? (?P<v>{_WORD_NAME}(?: {_WORD_NAME})*)(?!\w)"), re.compile(rf"(?<!\w){TITLES}\.? ").search, _name),
 ]
 
 Entity = tuple[int, int, str, str]
@@ -280,7 +295,7 @@ def find_entities(text: str) -> list[tuple[int, int, Kind]]:
             start, end = m.span("v" if "v" in kind.pattern.groupindex else 0)
             if kind.valid(text[start:end]):
                 take(start, end, kind)
-                names.add(text[start:end])
+                names.update((text[start:end], " ".join(text[start:end].split(" ")[:2])))  # other capitalised words may follow a name
         if kind.name == "name" and names:
             for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
                 take(*m.span(), kind)

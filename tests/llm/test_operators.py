@@ -250,6 +250,22 @@ def test_surrogates():
     assert re.fullmatch("[0-9a-f]{18}", new["secret"][0])
 
 
+def test_numbers_without_separators_and_long_names():
+    old = "Call +442079460958 or +44 20 7946 0958, +4915112345678, +17435553824 10 times, +1 (743) 555-3824, +352621123456; x +12 and a+442079460958"
+    text, found = pii.replace_entities(old, b"key")
+    values = [old[a:b] for a, b, _, _ in found]
+    assert values == ["+442079460958", "+44 20 7946 0958", "+4915112345678", "+17435553824", "+1 (743) 555-3824", "+352621123456"] and {k for _, _, k, _ in found} == {"phone"}
+    new = [s for _, _, _, s in found]
+    assert pii.digits_of(new[0]) == pii.digits_of(new[1]) and pii.digits_of(new[3]) == pii.digits_of(new[4])
+    assert [s[:n] for s, n in zip(new, (3, 3, 3, 2, 2, 4))] == ["+44", "+44", "+49", "+1", "+1", "+352"] and not set(new) & set(values)
+    assert text.endswith("; x +12 and a+442079460958")
+
+    old = "Dr Martin Luther King spoke; Martin Luther King left. Mrs Anna Berg Monday came, Anna Berg left"
+    text, found = pii.replace_entities(old, b"key")
+    assert [old[a:b] for a, b, _, _ in found] == ["Martin Luther King", "Martin Luther King", "Anna Berg Monday", "Anna Berg"]
+    assert "King" not in text and "Berg" not in text
+
+
 def test_permutation_is_one_cycle():
     for n in (2, 3, 10, 37):
         shift, x, seen = pii.Shift(b"k", n), 0, []
