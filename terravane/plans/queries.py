@@ -563,7 +563,7 @@ def learning_curve(spark, sf):
 def permutation_importance(spark, sf):
     d = _dated_listings(spark, sf).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     test = d.filter("fold = 0")
-    return experiments.permutation_importance(lambda t: _BROKER(d.filter("fold > 0"), t), test, ["l_quantity", "p_brand", "p_type"], "id", "l_extendedprice", repeats=2)
+    return experiments.permutation_importance(lambda t: _BROKER(d.filter("fold > 0"), t), test, ["l_quantity", "p_brand", "p_type"], "id", "l_extendedprice")
 
 
 @query()

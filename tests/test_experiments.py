@@ -62,3 +62,10 @@ def test_fences_are_learnt_on_training_rows(rows):
 def test_all_models_are_compared(spark):
     got = queries.QUERIES["model_errors"](spark, "/root/testdata/sf0.001").collect()
     assert {r["model"] for r in got} == set(modeling.registry()) and len(got) == 6
+
+
+def test_importance_rests_on_the_operators_repeats(spark, monkeypatch):
+    own, seen = e.permutation_importance, []
+    monkeypatch.setattr(e, "permutation_importance", lambda *a, repeats=5, **k: (seen.append(repeats), own(*a, repeats=1, **k))[1])
+    queries.QUERIES["permutation_importance"](spark, "/root/testdata/sf0.001")
+    assert seen == [5]
