@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the folder that the cluster shares (a new one where none is set) and read it back: lineage ends there."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by the cluster in ``spark.checkpoint.dir``. Where none is set, a session on one
+    machine gets a new one; on a cluster that is an error, as no local folder is seen by all."""
+    root = spark.conf.get(SETTING, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="terravane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/listings-{uuid.uuid4().hex}"
+        spark.conf.set(SETTING, root)
+    return root.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file systems; absent folders and stopped sessions are ignored."""
+    if spark.sparkContext._jsc is None:
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends: a result may read it until then."""
+
+    def late() -> None:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may be gone already
+            pass
+
+    atexit.register(late)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there. It is removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/listings-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql.window import Window
 
 from terravane.functions import address, extract, money, phones, price
 from terravane.functions.text import flat
-from terravane.operators import cleaning, dedup, experiments, modeling
+from terravane.operators import cleaning, dedup, experiments, modeling, shared
 from terravane.plans import pipeline
 from terravane.sources import html, store
 from terravane.sources import listings as sources
@@ -478,8 +477,8 @@ def schema_profile(spark, sf):
 
 @query("SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, sf):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='terravane-')}"
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared.shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    shared.remove_at_exit(spark, at)
     one = read(spark, sf, "events").select("event_id", "user_id")
     one.unionByName(one).write.parquet(f"{at}/raw")
     for _ in range(2):  # the second run finds nothing new
