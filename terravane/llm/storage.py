@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-SETTING = "spark.checkpoint.dir"
+from terravane.operators.shared import remove, remove_at_exit, shared_root
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests, local mode) a new one, which is then kept in the setting."""
-    root = spark.conf.get(SETTING, None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="terravane-")
-        spark.conf.set(SETTING, root)
-    return root.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file systems; absent folders and stopped sessions are ignored."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["remove", "shared_root", "written"]
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -38,12 +20,5 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     spark = df.sparkSession
     path = f"{shared_root(spark)}/terravane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove_late, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
-
-
-def _remove_late(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the JVM may be gone already
-        pass
