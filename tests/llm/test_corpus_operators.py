@@ -154,6 +154,29 @@ def test_splitting_tree():
     assert big.sum(axis=1).tolist() == [3 * 10**9, 10**9]
 
 
+def test_large_draws_follow_the_hypergeometric_law(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(3))
+    own = [mixing._hypergeometric(3 * 10**10, 10**10, 10**6, rng) for _ in range(4000)]  # close to the binomial law of 10^6 and 0.75
+    sd = (10**6 * 0.75 * 0.25) ** 0.5
+    assert abs(np.mean(own) - 750_000) < 5 * sd / 4000**0.5 and abs(np.std(own) / sd - 1) < 0.06
+    for good, bad, n in ((40, 25, 30), (7, 100, 50), (90_000, 160_000, 120_000)):  # where the generator's own law can be counted
+        monkeypatch.setattr(mixing, "SMALL", 0)
+        ours = np.array([mixing._hypergeometric(good, bad, n, rng) for _ in range(4000)])
+        theirs = rng.hypergeometric(good, bad, n, 4000)
+        assert abs(ours.mean() - theirs.mean()) < 6 * theirs.std() / 4000**0.5 and abs(ours.std() / theirs.std() - 1) < 0.08
+        assert ours.min() >= max(0, n - bad) and ours.max() <= min(good, n)
+    exact = sum(np.log(np.arange(70_001, 70_101)))
+    assert abs(mixing._log_rising(70_000, 100) - exact) < 1e-8 and abs(mixing._log_rising(70_100, -100) + exact) < 1e-8
+
+
+def test_null_ids_spread_and_shards_beyond_64_count(spark):
+    docs = spark.createDataFrame([(None, "w " * 700, "s") for _ in range(1000)], "doc_id long, text string, source string")
+    rows, mixed = mixing.mix_sources(docs, shards=200)
+    got = mixing.taken_by_document(rows, mixed).toPandas()
+    assert len(got) == 1000 and got["taken"].sum() == round(1.5 * 700_000) and got["shards"].max() <= 6 and got["shards"].sum() > 3500
+    assert mixed.select("shard").distinct().count() == 200 and mixed.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+
+
 def plain_simhash(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     w = WORD.findall(w)
