@@ -64,27 +64,32 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 # --- links ------------------------------------------------------------------------------------------------------------
 
 
-def _references(n: int = 8) -> np.ndarray:
-    """Reference fingerprints: 0, and alternating runs of 1, 2, 4 .. 32 bits, which are pairwise 32 bits apart."""
-    out = [0] + [sum(1 << b for b in range(64) if b >> k & 1) for k in range(6)]
-    return np.array((out + [out[1] ^ out[6]])[:n], dtype=np.uint64)
-
-
-PIVOTS = _references()
+#: Reference fingerprints: bit b of the i-th is the parity of i & b (rows of the Hadamard matrix of order 64, its first half), so any
+#: two differ in 32 bits. Over the whole matrix the distances of two fingerprints that differ in h bits differ by the root of
+#: h on a quadratic mean, so unrelated ones are 5 to 6 apart at a typical reference and far apart at some.
+PIVOTS = np.array([sum(1 << b for b in range(64) if (i & b).bit_count() % 2) for i in range(32)], dtype=np.uint64)
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distance of each fingerprint to each reference fingerprint."""
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    """Hamming distance of each fingerprint to each reference fingerprint: one row per fingerprint, one byte per reference."""
+    out = np.empty((len(fps), len(PIVOTS)), dtype=np.int8)
+    for i, p in enumerate(PIVOTS):
+        out[:, i] = np.bitwise_count(fps ^ p)
+    return out
 
 
 def _near(fps: np.ndarray, table: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) link: by the triangle inequality none whose tables differ by over RADIUS anywhere can; the
-    survivors are verified."""
-    able = np.abs(table[j] - table[i]).max(axis=1) <= RADIUS
-    at = np.flatnonzero(able)
-    x = fps[i] if np.isscalar(i) or np.ndim(i) == 0 else fps[i[at]]
-    able[at] = np.bitwise_count(fps[j[at]] ^ x) <= RADIUS
+    survivors are verified. References go in blocks, each for those pairs alone that the blocks before left."""
+    at = np.arange(len(j))
+    one = np.ndim(i) == 0
+    for low, high in ((0, 8), (8, 24), (24, len(PIVOTS))):
+        x = table[i, low:high] if one else table[i[at], low:high]
+        at = at[(np.abs(table[j[at], low:high] - x) <= RADIUS).all(axis=1)]
+        if not len(at):
+            break
+    able = np.zeros(len(j), dtype=bool)
+    able[at] = np.bitwise_count(fps[j[at]] ^ (fps[i] if one else fps[i[at]])) <= RADIUS
     return able
 
 
@@ -95,87 +100,115 @@ def segment_masks(free: int, segments: int = SEGMENTS) -> list[int]:
     return [sum(c) for c in combinations(parts, segments - RADIUS)]
 
 
-def link_group(fps: np.ndarray, free: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect a group's distinct fingerprints as all their links would. All agree outside the bits ``free``."""
+def link_group(fps: np.ndarray, table: np.ndarray, free: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links, as places, that connect a group's distinct fingerprints as all their links would. All agree outside the bits ``free``;
+    ``table`` has their pivot distances."""
     if len(fps) > DIVIDE and free.bit_count() >= 2 * SEGMENTS:
         out = []
         for mask in segment_masks(free):
             key = fps & _U(mask)
             order = np.argsort(key, kind="stable")
-            out += link_sorted(key[order], fps[order], free & ~mask)
+            out += [(order[u], order[v]) for u, v in link_sorted(key[order], fps[order], table[order], free & ~mask)]
         return out
-    table, alive, out = pivot_table(fps), np.arange(len(fps)), []
+    alive, out = np.arange(len(fps)), []
     while len(alive) > 1:
-        root, queue, alive = alive[0], [alive[0]], alive[1:]
+        queue, alive = [alive[0]], alive[1:]
         while queue and len(alive):
-            near = _near(fps, table, queue.pop(), alive)
-            found, alive = alive[near], alive[~near]
+            near = _near(fps, table, queue[-1], alive)
+            found, alive, last = alive[near], alive[~near], queue.pop()
             queue += found.tolist()
             if len(found):
-                out.append((np.full(len(found), fps[root]), fps[found]))
+                out.append((np.concatenate(([last], found[:-1])), found))  # a chain, so that no fingerprint has all the links
     return out
 
 
-def link_sorted(key: np.ndarray, fps: np.ndarray, free: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within runs of equal keys."""
+def link_sorted(key: np.ndarray, fps: np.ndarray, table: np.ndarray, free: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links, as places, within runs of equal keys."""
     if len(fps) < 2:
         return []
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     out = []
     for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        out += link_group(fps[s : s + n], free)
-    keep = np.repeat((size > 1) & (size <= SMALL), size)
-    f, run = fps[keep], np.repeat(np.arange(len(size)), size)[keep]
-    table = pivot_table(f)
-    for lag in range(1, min(SMALL, len(f))):
+        out += [(s + u, s + v) for u, v in link_group(fps[s : s + n], table[s : s + n], free)]
+    at = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+    run = np.repeat(np.arange(len(size)), size)[at]
+    for lag in range(1, min(SMALL, len(at))):
         i = np.flatnonzero(run[lag:] == run[:-lag])
         if not len(i):
             break
-        i = i[_near(f, table, i, i + lag)]
-        out.append((f[i], f[i + lag]))
+        i = i[_near(fps, table, at[i], at[i + lag])]
+        out.append((at[i], at[i + lag]))
     return out
 
 
 def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (table, key, fp), sorted: each run of a key is a group; the last run of a batch waits for the next batch."""
+    """Rows (choice, key, fp, unnamed, least, table), sorted: each run of a key is a group; the last run of a batch waits for the
+    next batch. Links come with the names of both sides."""
     masks = segment_masks((1 << 64) - 1)
+    names = ["u_unnamed", "u_least", "u", "v_unnamed", "v_least", "v"]
 
-    def links(choice: np.ndarray, key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        choice, key, fps = (rows.column(i).to_numpy() for i in range(3))
+        key, fps, table = key.view(np.uint64), fps.view(np.uint64), _tables(rows.column(5))
+        named = [rows.column(i).combine_chunks() for i in (3, 4, 2)]
         for c in np.unique(choice):
-            own = choice == c
-            found = link_sorted(key[own], fps[own], ((1 << 64) - 1) & ~masks[c])
-            u, v = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.uint64) for s in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            own = np.flatnonzero(choice == c)
+            for u, v in link_sorted(key[own], fps[own], table[own], ((1 << 64) - 1) & ~masks[c]):
+                yield pa.RecordBatch.from_arrays([n.take(pa.array(own[x])) for x in (u, v) for n in named], names)
 
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().view(np.uint64)))
-        first, last = held[0], held[-1]
-        if (first[0][0], first[1][0]) == (last[0][-1], last[1][-1]):
+        held.append(b)
+        ends = [(x.column(0)[i].as_py(), x.column(1)[i].as_py()) for x, i in ((held[0], 0), (b, b.num_rows - 1))]
+        if ends[0] == ends[1]:
             continue  # still one group
-        choice, key, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows = pa.Table.from_batches(held)
+        choice, key = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         cut = int(np.flatnonzero((choice != choice[-1]) | (key != key[-1]))[-1]) + 1
-        yield from links(choice[:cut], key[:cut], fps[:cut])
-        held = [(choice[cut:], key[cut:], fps[cut:])]
+        yield from links(rows.slice(0, cut))
+        held = rows.slice(cut).combine_chunks().to_batches()
     if held:
-        yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from links(pa.Table.from_batches(held))
+
+
+def _tables(column: pa.ChunkedArray) -> np.ndarray:
+    """Binaries of one byte per reference as a matrix."""
+    column = pa.concat_arrays(column.chunks)
+    width, (_, offsets, data) = "<i8" if pa.types.is_large_binary(column.type) else "<i4", column.buffers()
+    first = int(np.frombuffer(offsets, width)[column.offset])
+    return np.frombuffer(data, np.int8, len(column) * len(PIVOTS), first).reshape(-1, len(PIVOTS))
+
+
+def with_tables(classes: DataFrame) -> DataFrame:
+    """The column ``table``: the pivot distances of ``fp``, one byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pivot_table(b.column("fp").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in rows], pa.binary())], [*b.schema.names, "table"])
+
+    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("table", T.BinaryType())]))
 
 
-def links_between(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) that connect distinct fingerprints ``fp`` exactly as all pairs within RADIUS would.
+def links_between(classes: DataFrame) -> DataFrame:
+    """Links (u, v) between classes (fp, least) that connect them exactly as all pairs within RADIUS would. u and v are nodes: structs
+    (unnamed, least, fp), which are ordered by the smallest id of a class, null last.
 
-    Pivot tables alone bound no candidates in a cluster (each reference discards under half of unrelated pairs), so pairs
-    come from groups that agree in two of six segments, which every linked pair does for one of the 15 choices. In a
-    group, pairs are discarded by their pivot tables and the rest verified. Large groups are walked from member to member,
-    so a group of n near copies gives n - 1 links, not all its pairs.
+    No choice of references fetches few candidates: unrelated fingerprints are all about 32 bits from each of them. So
+    pairs come from groups that agree in two of six segments, which every linked pair does for one of the 15 choices. In a
+    group, pairs are discarded by their pivot tables, which are computed once for each class and come with its rows, and the
+    rest verified. Large groups are walked from member to member, so a group of n near copies gives n - 1 links.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in segment_masks((1 << 64) - 1)]
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
-    rows = distinct.select("fp", keys.alias("k")).select("k.choice", "k.key", "fp")
-    return rows.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_link_partition, "u long, v long")
+    rows = with_tables(classes).select("fp", F.col("least").isNull().alias("unnamed"), "least", "table", keys.alias("k")).select("k.choice", "k.key", "fp", "unnamed", "least", "table")
+    kind = classes.schema["least"].dataType.simpleString()
+    found = rows.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_link_partition, f"u_unnamed boolean, u_least {kind}, u long, v_unnamed boolean, v_least {kind}, v long")
+    node = lambda x: F.struct(F.col(f"{x}_unnamed").alias("unnamed"), F.col(f"{x}_least").alias("least"), F.col(x).alias("fp"))
+    return found.select(node("u").alias("u"), node("v").alias("v"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -213,17 +246,16 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach.
 
     Each text is read once; from then on only (id, fingerprint) rows move. Equal fingerprints are one class, so copies
-    neither meet in a join of pairs nor in one task. Null and wordless texts have fingerprint 0 and link like any other;
+    neither meet in a join of pairs nor in one task; a component is named by its root. Null and wordless texts have fingerprint 0 and link like any other;
     null ids have the component of their class and are never its name while another id is there; rows with equal ids stay;
     other columns are ignored; an empty table gives no row.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     prints, _ = written(fingerprints(rows), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = connected_components(links_between(classes.select("fp")))
-    rooted = classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    nodes = connected_components(links_between(classes)).select(F.col("node.fp").alias("of"), F.col("root.least").alias("root"), F.lit(True).alias("found"))
+    joined = classes.join(nodes, F.col("fp") == F.col("of"), "left")  # the root is the node of the smallest id, so it is the name
+    named = joined.select("fp", F.when(F.col("found"), F.col("root")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

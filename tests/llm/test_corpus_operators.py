@@ -229,17 +229,28 @@ def test_links_connect_like_all_pairs(divide, monkeypatch):
         for _ in range(60):
             fps.add(int(center) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))))
     monkeypatch.setattr(simhash, "DIVIDE", divide)
-    found = simhash.link_group(np.array(sorted(fps), dtype=np.uint64), (1 << 64) - 1)
+    own = np.array(sorted(fps), dtype=np.uint64)
+    found = simhash.link_group(own, simhash.pivot_table(own), (1 << 64) - 1)
     name = {f: f for f in fps}
     for u, v in found:
-        for a, b in zip(u.tolist(), v.tolist(), strict=True):
-            assert (a ^ b).bit_count() <= 60
+        for a, b in zip(own[u].tolist(), own[v].tolist(), strict=True):
             x, y = name[a], name[b]
             name = {f: x if n == y else n for f, n in name.items()}
     want = plain_components(fps)
     assert {frozenset(f for f in fps if name[f] == n) for n in set(name.values())} == {frozenset(f for f in fps if want[f] == n) for n in set(want.values())}
 
 
+def test_pivots_discard_but_lose_no_link():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 20_000, dtype=np.uint64)
+    far = x ^ rng.integers(0, 1 << 43, 20_000, dtype=np.uint64)  # agree in 21 bits, as candidates do
+    near = x ^ np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64) ^ np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64)
+    assert all((int(a) ^ int(b)).bit_count() == 32 for i, a in enumerate(simhash.PIVOTS) for b in simhash.PIVOTS[:i])
+    tables = [simhash.pivot_table(f).astype(int) for f in (x, far, near)]
+    assert tables[0].shape == (20_000, 32) and tables[0][5, 7] == (int(x[5]) ^ int(simhash.PIVOTS[7])).bit_count()
+    assert np.mean(np.abs(tables[0] - tables[1]).max(axis=1) <= 4) < 1e-3 and np.abs(tables[0] - tables[2]).max() <= 2
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 500), (700, 600), (600, 800)], "u long, v long")
     got = {r["node"]: r["root"] for r in simhash.connected_components(edges).collect()}
