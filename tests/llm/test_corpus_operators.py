@@ -418,6 +418,17 @@ def test_order_of_rules_changes_no_verdict(documents):
     assert verdicts[0] == verdicts[1] and len({k for _, k in verdicts[0]}) == 2
 
 
+def test_rules_are_ordered_by_rejections_that_reach_them_per_cost(spark, documents):
+    sample = rules.base_columns(rules.sample_of(documents, 100)).withColumn("n", F.col("n_words") % 10)
+    assert 60 < sample.count() < 150 and rules.sample_of(documents, 10_000).count() == documents.count()
+    cheap = [rules.Rule(f"below {k}", F.col("n") < k) for k in (2, 9, 5)]
+    slow = rules.Rule("slow", F.size(F.array_distinct(F.split(F.repeat("text", 40), "a"))) > 0)
+    runs = [[(e.rule.name, e.rejected) for e in rules.estimate(sample, [slow, *cheap])] for _ in range(4)]
+    assert [n for n, _ in runs[0][:2]] == ["below 9", "slow"] and runs[0][1][1] == 1.0 and all(share == 0 for _, share in runs[0][2:])
+    assert all(r == runs[0] for r in runs)
+    assert rules.estimate(sample.filter("false"), cheap)[0].rejected == 0
+
+
 def test_patience_alignment():
     assert licenses.longest_increasing([5, 1, 4, 2, 3, 9, 0]) in ([1, 3, 4, 5],)
     a, b = "x the cat sat on the mat y".split(), "the cat lay on the mat".split()
