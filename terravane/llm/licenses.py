@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -16,7 +17,7 @@ from terravane.llm.tokens import rows_of
 
 #: Share of a template's words that must be aligned.
 COVERAGE = 0.8
-#: Words without any template word that end a passage.
+#: Other words that a passage may hold among the template's: so many, or a quarter of the template's words if that is more.
 GAP = 6
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -111,11 +112,16 @@ class Template:
         self.license, self.form = name
         self.words = tokens(text)
         self.count = Counter(self.words)
-        need, keys = len(self.words) * (1 - COVERAGE), []
+        #: Aligned words that make the coverage, and the most words of a passage.
+        self.need = math.ceil(COVERAGE * len(self.words) - 1e-9)
+        self.reach = len(self.words) + max(GAP, len(self.words) // 4)
+        lost, keys = len(self.words) - self.need, []
+        #: One of these words begins each passage: no more words than ``lost`` can be missing before it.
+        self.first = frozenset(self.words[: lost + 1])
         for w in sorted(self.count, key=lambda w: (common[w], -len(w), w)):  # from the rarest among templates
             keys.append(w)
-            need -= self.count[w]
-            if need < 0:
+            lost -= self.count[w]
+            if lost < 0:
                 break
         #: Without any of these words, too few are left for the coverage.
         self.keys = keys
@@ -128,44 +134,62 @@ def _templates(texts: dict[tuple[str, str], str]) -> list[Template]:
     return [Template(n, t, common) for n, t in texts.items()]
 
 
-def passages(words: list[str], template: Template) -> Iterator[tuple[int, int]]:
-    """Stretches [start, end) of the text that may hold the template: its words with at most GAP others between them, with
-    enough of it in them. A stretch of several copies is cut where the template's first word
-    comes more often than in one."""
-    places = [i for i, w in enumerate(words) if w in template.count]
-    first = template.words[0]
-    run: list[int] = []
-    for i in [*places, None]:
-        again = i is not None and words[i] == first and sum(words[p] == first for p in run) >= template.count[first]
-        if run and (i is None or i - run[-1] > GAP + 1 or again):
-            have = Counter(words[p] for p in run)
-            if sum(min(n, template.count[w]) for w, n in have.items()) >= COVERAGE * len(template.words):
-                yield run[0], run[-1] + 1
-            run = []
-        if i is not None:
-            run.append(i)
-
-
-def scan(text: str, templates: list[Template], low: str | None = None) -> list[tuple[str, str, float, int, int]]:
-    """License passages (license, form, coverage, first word, word after the last), ascending; of overlapping ones the one with
-    more aligned words, then more coverage."""
-    low = text.lower() if low is None else low
+def starts(words: list[str], template: Template) -> Iterator[int]:
+    """Places of one of the template's first words from which the next ``reach`` words hold enough of the template, counted as sets
+    with repeats: no passage starts anywhere else. One pass with a sliding window."""
+    have: Counter = Counter()
+    shared, end = 0, 0
+    for i, w in enumerate(words):
+        while end < min(len(words), i + template.reach):
+            new = words[end]
+            have[new] += 1
+            shared += have[new] <= template.count[new]
+            end += 1
+        if shared >= template.need and w in template.first:
+            yield i
+        shared -= have[w] <= template.count[w]
+        have[w] -= 1
+
+
+Found = tuple[int, float, Template, int, int]
+
+
+def passages(words: list[str], template: Template) -> list[Found]:
+    """Alignments (aligned words, coverage, template, first word, word after the last) with enough coverage, from every start; the
+    window is the template's length or the whole reach, whichever aligns more (then the former). After a passage that has
+    all of the template's words and no others, starts inside it are passed over: none could take its place."""
+    out, done = [], 0
+    for i in starts(words, template):
+        if i < done:
+            continue
+        tried = (align(words[i : i + n], template.words) for n in (len(template.words), template.reach))
+        pairs = max(tried, key=len)
+        if len(pairs) >= template.need:
+            first, last = i + pairs[0][0], i + pairs[-1][0] + 1
+            out.append((len(pairs), len(pairs) / len(template.words), template, first, last))
+            if len(pairs) == len(template.words) == last - first:
+                done = last
+    return out
+
+
+def best_apart(found: list[Found]) -> list[tuple[str, str, float, int, int]]:
+    """Passages that don't overlap, in order: the one with more aligned words goes first, then more coverage, then the earlier."""
+    kept: list[tuple[int, int, Found]] = []
+    for f in sorted(found, key=lambda f: (-f[0], -f[1], f[3], f[2].license, f[2].form)):
+        at = bisect_left(kept, (f[3],))
+        if (at == len(kept) or f[4] <= kept[at][0]) and (at == 0 or kept[at - 1][1] <= f[3]):
+            kept.insert(at, (f[3], f[4], f))
+    return [(f[2].license, f[2].form, round(f[1], 6), a, b) for a, b, f in kept]
+
+
+def scan(text: str, templates: list[Template]) -> list[tuple[str, str, float, int, int]]:
+    """License passages (license, form, coverage, first word, word after the last), ascending and apart."""
+    low = text.lower()
     able = [t for t in templates if any(k in low for k in t.keys)]
     if not able:
         return []
-    words = tokens(text)
-    found = []
-    for t in able:
-        for start, end in passages(words, t):
-            pairs = align(words[start:end], t.words)
-            if len(pairs) >= COVERAGE * len(t.words):
-                found.append((len(pairs), len(pairs) / len(t.words), t, start + pairs[0][0], start + pairs[-1][0] + 1))
-    found.sort(key=lambda f: (-f[0], -f[1], f[3], f[2].license, f[2].form))
-    kept: list[tuple] = []
-    for f in found:
-        if all(f[4] <= k[3] or k[4] <= f[3] for k in kept):
-            kept.append(f)
-    return [(t.license, t.form, round(c, 6), a, b) for _, c, t, a, b in sorted(kept, key=lambda k: k[3])]
+    words = _TOKEN.findall(low)
+    return best_apart([f for t in able for f in passages(words, t)])
 
 
 PASSAGE = T.ArrayType(
@@ -175,12 +199,12 @@ _ARROW = pa.list_(pa.struct([("license", pa.string()), ("form", pa.string()), ("
 
 
 def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", templates: dict[tuple[str, str], str] | None = None) -> DataFrame:
-    """Per document: the id, passages (license, form, coverage, start and end in words), licenses (distinct, sorted), best (of the
-    passage with most aligned words over its template; ties: the first) and coverage (its share, 0 without).
+    """Per document: the id, passages (license, form, coverage, start and end in words), licenses (distinct, sorted), best (the license
+    of the passage with the greatest coverage; ties: the first) and coverage (its share, 0 without).
 
     Each task aligns its own texts: no shuffle. A template is tried only where one of its key words stands, without which
-    the coverage can't be reached, so nothing is missed. Null texts have no passage; null and repeated ids stay; other
-    columns are ignored.
+    the coverage can't be reached, and aligned from every place where a passage could begin. Null and empty texts have no
+    passage; null and repeated ids stay; other columns are ignored; an empty table gives no row.
     """
     texts = TEMPLATES if templates is None else templates
 

@@ -447,15 +447,71 @@ def test_license_scan(docs, spark):
     assert licenses.scan("Permission to license this work is a version of the public.", known) == []
     out = licenses.scan_licenses(docs).collect()
     assert Counter((r["doc_id"], r["best"], r["coverage"]) for r in out) == Counter(
-        (d, max(f, key=lambda p: p[2])[0] if f else None, max((p[2] for p in f), default=0.0)) for d, t in pairs(docs) for f in [_slow_scan(t, known)]
+        (d, max(f, key=lambda p: p[2])[0] if f else None, max((p[2] for p in f), default=0.0)) for d, t in pairs(docs) for f in [plain_scan(t)]
     )
 
 
-def _slow_scan(text, known):
-    """Without the test for key words."""
-    for t in known:
-        t.keys = [""]
-    return licenses.scan(text, known)
+def plain_align(a, b):
+    """Recursive patience alignment of lists of words, written from its definition."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_align(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return plain_align(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    if not once:
+        return []
+    best = [[] for _ in once]  # longest increasing run that ends at each pair
+    for k, (_, j) in enumerate(once):
+        best[k] = max((best[m] for m in range(k) if once[m][1] < j), key=len, default=[]) + [once[k]]
+    out, i0, j0 = [], 0, 0
+    for i, j in [*max(best, key=len), (len(a), len(b))]:
+        out += [(i0 + x, j0 + y) for x, y in plain_align(a[i0:i], b[j0:j])]
+        out += [(i, j)] if i < len(a) else []
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def plain_scan(text):
+    """Every place of one of a template's first words as a start; then the best passages that don't overlap."""
+    words, found = re.findall(r"[^\W_]+", text.lower()), []
+    for (name, form), template in licenses.TEMPLATES.items():
+        t = re.findall(r"[^\W_]+", template.lower())
+        lost = int(len(t) * 0.2 + 1e-9)
+        if not any(w in words for w in t):
+            continue
+        for i, w in enumerate(words):
+            if w not in t[: lost + 1] or sum((Counter(words[i : i + len(t) + max(6, len(t) // 4)]) & Counter(t)).values()) < len(t) / 2:
+                continue
+            got = max((plain_align(words[i : i + n], t) for n in (len(t), len(t) + max(6, len(t) // 4))), key=len)
+            if len(got) >= len(t) - lost:
+                found.append((-len(got), -len(got) / len(t), i + got[0][0], name, form, i + got[-1][0] + 1))
+    kept = []
+    for f in sorted(found):
+        if all(f[5] <= k[2] or k[5] <= f[2] for k in kept):
+            kept.append(f)
+    return [(f[3], f[4], round(-f[1], 6), f[2], f[5]) for f in sorted(kept, key=lambda k: k[2])]
+
+
+def test_passages_by_brute_force():
+    known, rng = licenses._templates(licenses.TEMPLATES), np.random.default_rng(2)
+    mit, isc = licenses.TEMPLATES["MIT", "grant"], licenses.TEMPLATES["ISC", "grant"]
+    assert [f[:3] for f in licenses.scan("The permission of the Software: " + mit, known)] == [("MIT", "grant", 1.0)]
+    assert [f[:3] for f in licenses.scan("The permission to use: " + isc + " " + mit, known)] == [("ISC", "grant", 1.0), ("MIT", "grant", 1.0)]
+    assert [f[:3] for f in licenses.scan(f"{mit} {mit}", known)] == [("MIT", "grant", 1.0)] * 2
+    texts = ["permission " * 300, "the software and the license " * 50]
+    templates = list(licenses.TEMPLATES.values())
+    for _ in range(60):
+        words = []
+        for k in rng.integers(0, len(templates), rng.integers(1, 4)):
+            words += "once the software of permission and notice".split()[: rng.integers(0, 8)]
+            for w in templates[k].split():
+                change = rng.random()
+                words += [] if change < 0.03 else [w, "other"] if change < 0.06 else ["changed"] if change < 0.09 else [w]
+        texts.append(" ".join(words))
+    for t in texts:
+        assert licenses.scan(t, known) == plain_scan(t), t
 
 
 def test_classifier(spark):
