@@ -160,9 +160,17 @@ def fit_rules(features: dict[str, np.ndarray], y: np.ndarray) -> RuleModel:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> RuleModel:
     """Fit on labelled documents outside the held-out fold: at most ``rows`` labels, those with the least hash of their id (null
-    labels don't count; a repeated id counts with its greatest label). Only their statistics reach the driver."""
+    labels don't count; a repeated id counts with its greatest label). Only their statistics reach the driver.
+
+    Where there are more labels, a bound on the hash, a tenth above the wanted share, keeps all others out of the sort. Null
+    texts count as empty; documents without label and other columns don't matter; no labels give a constant model.
+    """
     known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(id_column))).groupBy(id_column).agg(F.max(label).alias("label"))
-    known = known.orderBy(F.xxhash64(id_column), id_column).limit(rows).select(F.col(id_column).alias("known"), "label")
+    known = known.withColumn("at", F.xxhash64(id_column))
+    share = (1.1 * rows + 1000) / max(known.count(), 1)
+    if share < 1:
+        known = known.filter(F.col("at") < F.lit(int((share - 0.5) * 2.0**64)))
+    known = known.orderBy("at", id_column).limit(rows).select(F.col(id_column).alias("known"), "label")
     texts = docs.select(F.col(id_column).alias("id"), S.text_of(text_column).alias("text"))
     joined = texts.join(F.broadcast(known), F.col("id") == F.col("known"))  # at most ``rows`` rows
     stats = statistics(F.col("text"))
@@ -171,19 +179,25 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     return fit_rules({k: found[k].to_numpy(float) for k in stats}, found["label"].to_numpy())
 
 
-def score_quality(docs: DataFrame, model: RuleModel, *, id_column: str = "doc_id", text_column: str = "text", keep: bool = False) -> DataFrame:
-    """The id, held_out, score and predicted of every document, or (``keep``) its own columns and the last two as ``_score`` and
-    ``_predicted``. One pass without shuffle or Python; null texts count as empty, other columns never enter a score."""
-    names = {c: f"own__{c}" for c in docs.columns} if keep else {id_column: "id__"}
+def _scored(docs: DataFrame, model: RuleModel, names: dict[str, str], text_column: str) -> DataFrame:
+    """Columns by new names, then score and predicted. The statistics pass through a generator of one row: an optimizer that moves
+    a later filter down stops there, so no statistic is evaluated again for each condition that uses it."""
     stats = statistics(F.col("text__"))
-    rows = docs.select(*(F.col(c).alias(a) for c, a in names.items()), S.text_of(text_column).alias("text__"))
-    rows = rows.select(*names.values(), *(c.alias(k) for k, c in stats.items()))
-    rows = rows.withColumn("score", model.score()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-    if keep:
-        return rows.select(*(F.col(a).alias(c) for c, a in names.items()), F.col("score").alias("_score"), F.col("predicted").alias("_predicted"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), S.text_of(f"`{text_column}`").alias("text__"))
+    rows = rows.select(*names.values(), *(c.alias(f"{k}__") for k, c in stats.items()))
+    rows = rows.select(*names.values(), F.inline(F.array(F.struct(*(F.col(f"{k}__").alias(k) for k in stats)))))
+    return rows.withColumn("score", model.score()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def score_quality(docs: DataFrame, model: RuleModel, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The id, held_out, score and predicted of every document. One pass without shuffle or Python; null texts count as empty, null
+    and repeated ids stay, other columns never enter a score, an empty table gives no row."""
+    rows = _scored(docs, model, {id_column: "id__"}, text_column)
     return rows.select(F.col("id__").alias(id_column), held_out(F.col("id__")).alias("held_out"), "score", "predicted")
 
 
 def keep_quality(docs: DataFrame, model: RuleModel, *, text_column: str = "text") -> DataFrame:
-    """The documents predicted 1, with their own columns."""
-    return score_quality(docs, model, id_column=docs.columns[0], text_column=text_column, keep=True).filter("_predicted = 1").drop("_score", "_predicted").select(*docs.columns)
+    """The documents predicted 1, with their own columns, whatever their names. Null texts count as empty for the score and stay null;
+    repeated rows stay or go together; an empty table gives no row."""
+    names = {c: f"own__{i}" for i, c in enumerate(docs.columns)}
+    return _scored(docs, model, names, text_column).filter("predicted = 1").select(*(F.col(a).alias(c) for c, a in names.items()))

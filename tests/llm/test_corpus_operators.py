@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from ipaddress import IPv6Address
@@ -524,6 +525,40 @@ def test_classifier(spark):
     assert np.mean([r["predicted"] == q for r, q in rows]) > 0.95
 
 
+def test_scores_row_by_row(spark):
+    """The learned rules applied to statistics that are computed from the texts in plain Python."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")))
+
+    def plain(t):
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        n, chars, count = max(len(w), 1), max(sum(map(len, w)), 1), lambda cs: sum(t.count(c) for c in cs)
+        return {
+            "words": np.log1p(len(w)), "word_length": sum(map(len, w)) / n, "longest_word": np.log1p(max(map(len, w), default=0)), "symbols": count("#*$%&|<>") / n,
+            "exclamations": count("!?") / n, "stops": count(".,;:") / n, "digits": count("0123456789") / chars, "upper": sum(unicodedata.category(c) == "Lu" for c in t) / chars,
+            "distinct_words": len(set(w)) / n, "duplicate_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "words_a_line": np.log1p(len(w) / max(len(lines), 1)),
+        }
+
+    assert model.rules
+    for r in docs.join(quality.score_quality(docs, model), "doc_id").collect():
+        x = plain(r["text"])
+        z = model.intercept + sum(v for rule, v in model.rules if all((x[c.feature] > c.value) == c.above for c in rule))
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN repeat('good words here. ', 9) ELSE 'BAD!!' END AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 = 0 AS INT) AS quality")
+    seen, own = [], quality.fit_rules
+    quality.fit_rules = lambda x, y: (seen.append(len(y)), own(x, y))[1]
+    try:
+        model = quality.train(docs, labels, rows=300)
+    finally:
+        quality.fit_rules = own
+    assert seen == [300] and quality.score_quality(docs, model).filter("predicted = 1").count() == 2000
+
+
 def test_compiled_rules_score_as_the_model(odd, documents):
     rng = np.random.default_rng(3)
     names = list(quality.statistics(odd["text"]))
@@ -540,7 +575,10 @@ def test_compiled_rules_score_as_the_model(odd, documents):
 def test_classifier_of_odd_rows(odd, empty, spark):
     model = quality.RuleModel(0.5, ())
     assert quality.score_quality(empty, model).count() == 0 and quality.score_quality(odd, model).count() == odd.count()
+    clashing = odd.withColumns({n: F.lit(3) for n in ("_score", "_predicted", "predicted", "Score", "own__text", "text__", "a.b")})
     assert quality.keep_quality(odd, model).columns == odd.columns
+    assert quality.keep_quality(clashing, model).columns == clashing.columns and quality.keep_quality(clashing, model).count() == odd.count()
+    assert quality.keep_quality(clashing, quality.RuleModel(-9.0, ())).count() == 0
     labels = spark.createDataFrame([(1, None), (None, 1), (777, 0)], "doc_id long, quality int")
     assert quality.train(odd, labels).rules == () and quality.train(empty, labels).intercept == 0.0
 
