@@ -200,7 +200,7 @@ def compare_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
     One range sort by id puts neighbours together, and each text is hashed where it lies. Only the first and last
     document of every range meet again, by range number. Null texts count as empty, null ids sort first, equal ids are
-    ordered by text, other columns are ignored; a single document follows itself.
+    ordered by a hash of their texts, other columns are ignored; a single document follows itself.
     """
     rows = by_id(docs, id_column, text_column, ranges)
     rows = rows.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -267,7 +267,8 @@ RANGE_BYTES = 16 << 20
 
 
 def ranges_for(docs: DataFrame, target: int = RANGE_BYTES) -> int:
-    """Partitions for a range sort: input bytes over ``target``, and at least the session's shuffle partitions."""
+    """Partitions for a range sort: input bytes over ``target``, and at least the session's shuffle partitions. Beyond 200,000, as
+    each is a file of every map task, ranges grow instead: they are sorted with spill and read as streams."""
     spark = docs.sparkSession
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -275,9 +276,12 @@ def ranges_for(docs: DataFrame, target: int = RANGE_BYTES) -> int:
 
 
 def by_id(docs: DataFrame, id_column: str, text_column: str, ranges: int | None = None) -> DataFrame:
-    """(doc_id, text) dealt into ascending ranges of ids and sorted in each; null ids first, equal ids by text."""
+    """(doc_id, text) dealt into ascending ranges of ids and sorted in each; null ids first, rows of equal id by a hash of the text and
+    then as they were read. So rows of one id, or of none, and copies of one row are dealt to as many ranges as others."""
     cols = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return cols.repartitionByRange(ranges or ranges_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    cols = cols.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("read"))
+    order = ["doc_id", "hash", "read"]
+    return cols.repartitionByRange(ranges or ranges_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 SHARD_SCHEMA = T.StructType(

@@ -30,7 +30,14 @@ def pairs(docs):
 
 
 def in_order(docs):
-    return sorted(pairs(docs), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")).collect()
+    return [(r["doc_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["hash"]))]
+
+
+def test_rows_of_one_id_are_dealt_to_many_ranges(spark):
+    docs = spark.createDataFrame([(None, "copy")] * 2000 + [(5, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    sizes = [r["n"] for r in tokens.by_id(docs, "doc_id", "text", 8).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 900 and sum(sizes) == 4000
 
 
 def ids_of(text, end):
