@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from terravane.llm.storage import written
 
 #: Entries a worker keeps of each of its two caches, and the longest piece that it keeps, in bytes.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 CACHE_BYTES = 48
 #: Rows that are turned into Python strings at once.
 SLICE_ROWS = 64
