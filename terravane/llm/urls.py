@@ -10,8 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.storage import written
-
 TOKEN = "[A-Za-z0-9]+"
 
 
@@ -68,12 +66,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, string.ascii_uppercase, string.ascii_lowercase), F.regexp_extract(some, "://[^/?#]*([^?#]*)", 1)
 
 
-def rarest_tokens(urls: DataFrame, rules: Sequence[PatternRule]) -> dict[str, str | None]:
-    """For each rule the token of it that the fewest urls have (``tokens`` holds a url's distinct tokens); None for a rule
-    without tokens, which every url has to try. Only counts of the rules' own tokens reach the driver."""
-    known = urls.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
-    seen = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(known), "token")  # as many rows as rule tokens
-    counts = {r["token"]: r["count"] for r in seen.groupBy("token").count().collect()}
+def url_tokens(line: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"({TOKEN})"), 1))
+
+
+def rarest_tokens(lines: DataFrame, rules: Sequence[PatternRule]) -> dict[str, str | None]:
+    """For each rule the token of it that the fewest urls (column ``line``) have; None for a rule without tokens, which every url has
+    to try. Only counts of the rules' own tokens leave a task."""
+    known = sorted({t for r in rules for t in r.tokens})
+    counts = {}
+    if known:
+        seen = lines.select(F.explode(F.array_intersect(url_tokens(F.col("line")), F.array(*map(F.lit, known)))).alias("token"))
+        counts = {r["token"]: r["count"] for r in seen.groupBy("token").count().collect()}
     return {r.name: min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=None) for r in rules}
 
 
@@ -88,31 +92,36 @@ def judge_urls(
     """Per page: the id, host, path, rule (the longest listed rule that fits, else null), verdict and pattern (the first other
     rule that fits, if no listed one does).
 
-    A url's tokens are joined with the index from rarest token to rule (a broadcast: one row per rule), and only the rules
-    that this yields run their expression. Listed rules go before others, longer before shorter, block before allow. Null
-    urls have empty host and path and the default verdict; null and repeated ids stay; other columns are ignored.
+    The index from rarest token to rules is a literal map, one entry per token of the rules: a url's tokens fetch its rules
+    inside the row, and only these run their expression, in order, until one fits. Listed rules go before others, longer
+    before shorter, block before allow. So pages are judged in one pass without shuffle, after a pass over the urls alone
+    that counts the rules' tokens. Null urls have empty host and path and the default verdict; null and repeated ids stay;
+    other columns are ignored; an empty table gives no row, and without rules all urls have the default verdict.
     """
     host, path = host_and_path(F.col(url_column))
-    urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
-    urls, _ = written(urls, "urls")  # settles the row numbers
-    line = F.concat("host", "path")
-    tokens = F.array_distinct(F.regexp_extract_all(line, F.lit(f"({TOKEN})"), 1))
-    index = rarest_tokens(urls.select(tokens.alias("tokens")), rules)
-    rows = [(index[r.name] or "", r.name, r.verdict, r.pattern, r.listed, len(r.name), i) for i, r in enumerate(rules)]
-    table = pages.sparkSession.createDataFrame(rows, "token string, name string, then string, pattern string, listed boolean, size int, place int")
-    tried = urls.select("row", line.alias("line"), F.explode(F.array_append(tokens, F.lit(""))).alias("token"))  # '' fetches rules without tokens
-    fits = tried.join(F.broadcast(table), "token").filter(F.expr("line rlike pattern"))
-    better = F.struct("listed", F.when(F.col("listed"), F.col("size")).otherwise(0).alias("size"), (F.col("then") == "block").alias("block"), (-F.col("place")).alias("place"), "name", "then")
-    best = fits.groupBy("row").agg(F.max(better).alias("best"))
-    joined = urls.join(best, "row", "left")
-    listed = F.coalesce(F.col("best.listed"), F.lit(False))
-    return joined.select(
+    index = rarest_tokens(pages.select(F.concat(host, path).alias("line")), rules)
+    ranked = sorted(rules, key=lambda r: (not r.listed, -len(r.name) if r.listed else 0, r.verdict != "block"))
+    by_token: dict[str, list[int]] = {}
+    for i, r in enumerate(ranked, 1):
+        by_token.setdefault(index[r.name] or "", []).append(i)  # '' fetches rules without tokens
+    urls = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path")).withColumn("line", F.concat("host", "path"))
+    first = F.lit(None).cast("int")
+    if ranked:
+        fetches = F.create_map(*(x for t, own in by_token.items() for x in (F.lit(t), F.array(*map(F.lit, own)))))
+        patterns = F.array(*(F.lit(r.pattern) for r in ranked))
+        tokens = F.array_append(F.array_intersect(url_tokens(F.col("line")), F.array(*map(F.lit, by_token))), F.lit(""))
+        fetched = F.sort_array(F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(fetches, t), F.array().cast("array<int>")))))
+        first = F.aggregate(fetched, first, lambda found, i: F.coalesce(found, F.when(F.rlike(F.col("line"), F.element_at(patterns, i)), i)))
+    judged = urls.select("id", "host", "path", first.alias("first"))
+    of = lambda values: F.try_element_at(F.array(*(F.lit(v) for v in values)), F.col("first")) if ranked else F.lit(None).cast("string")
+    listed = F.col("first") <= sum(r.listed for r in ranked)
+    return judged.select(
         F.col("id").alias(id_column),
         "host",
         "path",
-        F.when(listed, F.col("best.name")).alias("rule"),
-        F.coalesce(F.col("best.then"), F.lit(default)).alias("verdict"),
-        F.when(~listed, F.col("best.name")).alias("pattern"),
+        F.when(listed, of(r.name for r in ranked)).alias("rule"),
+        F.coalesce(of(r.verdict for r in ranked), F.lit(default)).alias("verdict"),
+        F.when(~listed, of(r.name for r in ranked)).alias("pattern"),
     )
 
 

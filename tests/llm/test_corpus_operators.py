@@ -632,6 +632,17 @@ def test_urls(spark, small):
         assert Counter(tuple(r)[:5] for r in out) == want
 
 
+def test_index_by_rarest_token_and_rules_without_tokens(spark):
+    rows = [(i, f"http://{h}/a") for i, h in enumerate(["ads.example.org"] * 5 + ["casino.org", "x.ads.casino.net", "plain.org"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    own = [urls.PatternRule("ads casino", "block", r"ads.*casino", ("ads", "casino")), urls.PatternRule("plain", "block", r"^pl..n\.org", ())]
+    lines = pages.select(F.substring("url", 8, 99).alias("line"))
+    assert urls.rarest_tokens(lines, own) == {"ads casino": "casino", "plain": None}
+    got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in urls.judge_urls(pages, own).collect()}
+    assert got == {i: ("block", "ads casino") if i == 6 else ("block", "plain") if i == 7 else ("allow", None) for i in range(8)}
+    assert {r["verdict"] for r in urls.judge_urls(pages, []).collect()} == {"allow"}
+
+
 def test_queries_and_sql_have_the_same_rows(spark, small):
     duckdb = pytest.importorskip("duckdb")
     for name, sql in queries.oracle_sql().items():
