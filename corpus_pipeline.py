@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terravane.llm import mixing, packing, pii, quality, simhash
 from terravane.llm.queries import PII_KEY, VOCABULARY, table
-from terravane.llm.storage import shared_root
+from terravane.operators.shared import remove, remove_at_exit, shared_root
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents; one row per piece of a packed document.
+
+    Each stage's table goes as soon as the next one is written, the last when the driver ends. Null texts count as empty
+    and fail the classifier or not as an empty text does; null and repeated ids stay separate documents; sources may be
+    null; extra columns go along up to packing; an empty table, or one of which the classifier keeps nothing, gives no row.
+    """
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_root(spark)}/terravane/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_root(spark)}/terravane/pipeline-{uuid.uuid4().hex}", None
+    remove_at_exit(spark, base)
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if before is not None:
+            remove(spark, before)
+        before = f"{base}/{i}"
     return docs
