@@ -656,8 +656,58 @@ def test_queries_and_sql_have_the_same_rows(spark, small):
         assert Counter(map(tuple, got.select(*cols).collect())) == Counter(rel.fetchall())
 
 
-def test_pipeline(spark, small):
+@pytest.fixture(scope="module", params=["documents", "odd", "empty"])
+def corpus(request, spark, small, tmp_path_factory):
+    """A folder with the tables documents and labels."""
+    if request.param == "documents":
+        return small
+    at = str(tmp_path_factory.mktemp("corpus"))
+    request.getfixturevalue(request.param).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def test_pipeline_stage_by_stage(spark, corpus):
+    """Each stage's decisions by a plain version of them, on what the stage before kept."""
+    import corpus_pipeline
+
+    docs, tables = spark.read.parquet(f"{corpus}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, corpus)
+        assert i == 4 or out.columns == docs.columns
+        tables.append((docs.collect(), out.collect()))
+        docs = spark.createDataFrame(tables[-1][1], out.schema)
+    rows = lambda t: Counter(map(str, t))
+    text = lambda r: r["text"] or ""
+    (all_, good), (_, single), (_, clean), (_, mixed), (_, packed) = tables
+    table = lambda name: spark.read.parquet(f"{corpus}/{name}.parquet")
+    scores = quality.score_quality(table("documents"), quality.train(table("documents"), table("labels")))
+    assert scores.filter("predicted = 1").count() == len(good) and rows(good) <= rows(all_)
+    groups = plain_components({plain_simhash(text(r)) for r in good})
+    assert rows(single) <= rows(good) and Counter(groups[plain_simhash(text(r))] for r in single) == Counter(set(groups.values()))
+    least = {}
+    for r in good:
+        if r["doc_id"] is not None:
+            g = groups[plain_simhash(text(r))]
+            least[g] = min(r["doc_id"], least.get(g, r["doc_id"]))
+    assert all(r["doc_id"] == least.get(groups[plain_simhash(text(r))]) for r in single)
+    want = Counter((r["doc_id"], r["text"] if r["text"] is None else pii.replace_entities(r["text"], corpus_pipeline.PII_KEY.encode())[0]) for r in single)
+    assert Counter((r["doc_id"], r["text"]) for r in clean) == want
+    size = lambda t: sum(len(WORD.findall(text(r))) for r in t)
+    copies = rows(mixed)
+    assert copies.keys() <= rows(clean).keys() and all(n <= 2 * rows(clean)[k] for k, n in copies.items())
+    if len(clean) > 50:
+        assert abs(size(mixed) / size(clean) - 1.5) < 0.1
+    tokenizer, pieces = Tokenizer.from_file(PATH), Counter()
+    for r in mixed:
+        ids = [*tokenizer.encode(text(r), add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            pieces[r["doc_id"], k, crc(ids[at : at + 2048])] += 1
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed) == pieces
+
+
+def test_pipeline_runs(spark, corpus):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, small)
-    assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+    out = corpus_pipeline.run(spark, corpus)
+    assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and (out.count() > 0) == ("sf0.001" in corpus or spark.read.parquet(f"{corpus}/documents.parquet").count() > 0)
