@@ -231,5 +231,5 @@ def mix_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     share = F.col("order") / F.lit(2.0**64) + 0.5  # the order is a 64-bit hash: equal parts of its range hold like numbers of rows
     run = F.col("shard") * runs + F.least(F.floor(share * runs), F.lit(runs - 1)).cast("int")
     places = mixed.select(F.col("row").alias(name), run.alias(name + "s"), F.col("order").alias(name + "o"))
-    joined = copy.join(places, name)
+    joined = copy.join(places.hint("merge"), name)  # the places grow with the corpus, so they are never sent to all tasks
     return joined.repartitionById(shards * runs, F.col(name + "s")).sortWithinPartitions(name + "o").select(*docs.columns)
