@@ -181,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
 
 def _scored(docs: DataFrame, model: RuleModel, names: dict[str, str], text_column: str) -> DataFrame:
     """Columns by new names, then score and predicted. The statistics pass through a generator of one row: an optimizer that moves
-    a later filter down stops there, so no statistic is evaluated again for each condition that uses it."""
-    stats = statistics(F.col("text__"))
+    a later filter down stops there, so no statistic is evaluated again for each condition that uses it. Only statistics that a rule uses are there."""
+    used = {c.feature for rule, _ in model.rules for c in rule} or {"words"}
+    stats = {k: c for k, c in statistics(F.col("text__")).items() if k in used}
     rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), S.text_of(f"`{text_column}`").alias("text__"))
     rows = rows.select(*names.values(), *(c.alias(f"{k}__") for k, c in stats.items()))
     rows = rows.select(*names.values(), F.inline(F.array(F.struct(*(F.col(f"{k}__").alias(k) for k in stats)))))
