@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,31 +242,39 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _named_classes(prints: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, name) of each class of equal fingerprints in ``prints``: its smallest ``least`` and that of its component,
+    written down. Classes are partial minima, so a class of many copies meets in no task."""
+    classes = prints.groupBy("fp").agg(F.min(least).alias("least"))
+    nodes = connected_components(links_between(classes)).select(F.col("node.fp").alias("of"), F.col("root.least").alias("root"), F.lit(True).alias("found"))
+    joined = classes.join(nodes, F.col("fp") == F.col("of"), "left")  # the root is the node of the smallest id, so it is the name
+    return written(joined.select("fp", "least", F.when(F.col("found"), F.col("root")).otherwise(F.col("least")).alias("name")), "classes")[0]
+
+
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach.
 
     Each text is read once; from then on only (id, fingerprint) rows move. Equal fingerprints are one class, so copies
-    neither meet in a join of pairs nor in one task; a component is named by its root. Null and wordless texts have fingerprint 0 and link like any other;
-    null ids have the component of their class and are never its name while another id is there; rows with equal ids stay;
-    other columns are ignored; an empty table gives no row.
+    neither meet in a join of pairs nor in one task; a component is named by its root. The last join is of two written
+    tables, whose skewed partitions Spark splits. Null and wordless texts have fingerprint 0 and link like any other; null
+    ids have the component of their class and are never its name while another id is there; rows with equal ids stay; other
+    columns are ignored; an empty table gives no row.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     prints, _ = written(fingerprints(rows), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = connected_components(links_between(classes)).select(F.col("node.fp").alias("of"), F.col("root.least").alias("root"), F.lit(True).alias("found"))
-    joined = classes.join(nodes, F.col("fp") == F.col("of"), "left")  # the root is the node of the smallest id, so it is the name
-    named = joined.select("fp", F.when(F.col("found"), F.col("root")).otherwise(F.col("least")).alias("component_id"))
+    named = _named_classes(prints, F.col("doc_id")).select("fp", F.col("name").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays (null ids last, then the
-    first row), with all its columns. Rows are numbered in a written copy, so null and repeated ids do no harm."""
+    first row), with all its columns. Rows are numbered in a written copy, so null and repeated ids do no harm; a class's best
+    row is a partial minimum and components are named by it, so no join is on fingerprints of all rows."""
     name = "row_number"
     while name in docs.columns:
         name += "_"
     rows, _ = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(rows, id_column=name, text_column=text_column).select(F.col("doc_id").alias(name), "component_id")
-    ids = rows.select(name, F.struct(F.col(id_column).isNull(), F.col(id_column), F.col(name).alias("row")).alias("rank"))
-    best = groups.join(ids, name).groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(name))
+    texts = rows.select(F.struct(F.col(id_column).isNull().alias("unnamed"), F.col(id_column).alias("id"), F.col(name).alias("row")).alias("rank"), F.col(text_column).alias("text"))
+    prints, _ = written(fingerprints(texts, id_column="rank"), "simhash")
+    best = _named_classes(prints, F.col("rank")).filter("least = name").select(F.col("least.row").alias(name))
     return rows.join(best, name, "left_semi").select(*docs.columns)
