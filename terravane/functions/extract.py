@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terravane.functions.text import first_matching, flat, group, let
+from terravane.functions.text import contexts, first_matching, flat, group, let
 
 #: Patterns on accent-free lower-case text.
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 DIMENSIONS = NUMBER + r"\s*m?\s*[x*×]\s*" + NUMBER + r"\s*m?\b"
-WIDTH_LENGTH = "ngang\\s*" + NUMBER + r"\s*m?\D{0,12}?(?:dai|sau)\s*" + NUMBER + r"\s*m?\b"
+WIDTH_LENGTH = r"ngang\s*" + NUMBER + r"\s*m?\D{0,12}?(?:dai|sau)\s*" + NUMBER + r"\s*m?\b"
 AREA = NUMBER + r"\s*(?:m2|mv|m)\b"
 AREA_LABEL = r"dt|dtcn|dtsd|dien\s*tich|cong\s*nhan|\bcn\b|so\s*do|shr"
 CERTIFIED = r"cong\s*nhan|dtcn|\bcn\b"
@@ -68,22 +68,17 @@ def dimensions(t: Column) -> Column:
 def area(t: Column) -> Column:
     """The number with an area unit whose surroundings speak most for an area (certified 2, labelled 1, bare 0; the first of
     equals), within 10 to 1,000; a bare ``m`` needs a label; parts of ``W x L`` don't count. Else width times length."""
-    found = F.regexp_extract_all(t, F.lit(AREA), 0)
-
-    def step(acc: Column, m: Column) -> Column:
-        at = acc["at"] + F.instr(F.substring(t, acc["at"] + 1, F.length(t)), m)
-        left = F.substring(t, F.greatest(at - CONTEXT, F.lit(1)), F.least(F.lit(CONTEXT), at - 1))
-        right = F.substring(t, at + F.length(m), F.lit(CONTEXT))
-        v = value(F.regexp_extract(m, NUMBER, 1))
-        score = F.when(F.concat(left, F.lit(" "), right).rlike(CERTIFIED), 2).when(left.rlike(AREA_LABEL), 1).otherwise(0)
-        able = v.between(10, 1000) & ~(m.rlike(r"m$") & (score == 0)) & ~left.rlike(r"[x*×]\s*$") & ~right.rlike(r"^\s*[x*×]")
-        better = F.coalesce(able & (score > acc["score"]), F.lit(False))
-        return F.struct(
-            (at + F.length(m) - 1).alias("at"), F.when(better, score).otherwise(acc["score"]).alias("score"), F.when(better, v).otherwise(acc["value"]).alias("value")
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("score"), F.lit(None).cast("double").alias("value"))
-    best = F.aggregate(found, begin, step, lambda a: a["value"])
+
+    def better(acc: Column, c: Column) -> Column:
+        v = value(F.regexp_extract(c["match"], NUMBER, 1))
+        score = F.when(F.concat(c["left"], F.lit(" "), c["right"]).rlike(CERTIFIED), 2).when(c["left"].rlike(AREA_LABEL), 1).otherwise(0)
+        part = c["left"].rlike(r"[x*×]\s*$") | c["right"].rlike(r"^\s*[x*×]")
+        able = v.between(10, 1000) & ~(c["match"].rlike(r"m$") & (score == 0)) & ~part
+        wins = F.coalesce(able & (score > acc["score"]), F.lit(False))
+        return F.when(wins, F.struct(score.alias("score"), v.alias("value"))).otherwise(acc)
+
+    begin = F.struct(F.lit(-1).alias("score"), F.lit(None).cast("double").alias("value"))
+    best = F.aggregate(contexts(t, AREA, CONTEXT), begin, better, lambda a: a["value"])
     d = dimensions(t)
     return F.coalesce(best, within(F.bround(d["width"] * d["length"], 1), 10, 1000))
 

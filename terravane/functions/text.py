@@ -57,6 +57,27 @@ def group(c: Column, pattern: str, i: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
 
+#: Stands between the parts of a text that is cut at its matches; flat text has no control characters.
+CUT = "\x01"
+
+
+def contexts(t: Column, pattern: str | Column, reach: int) -> Column:
+    """Array of (match, left, right): each match of a pattern and up to ``reach`` characters before and after it. The text is cut at its
+    matches, so the k-th part, the k-th match and what follows stand at one place and no match is sought a second time."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    parts, found = F.split(F.regexp_replace(t, pattern, F.lit(CUT)), CUT), F.regexp_extract_all(t, pattern, F.lit(0))
+
+    def step(acc: Column, m: Column) -> Column:
+        at = acc["at"] + F.length(F.element_at(parts, acc["k"]))
+        left = F.substring(t, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)))
+        right = F.substring(t, at + F.length(m) + 1, F.lit(reach))
+        one = F.struct(m.alias("match"), left.alias("left"), right.alias("right"))
+        return F.struct((acc["k"] + 1).alias("k"), (at + F.length(m)).alias("at"), F.array_append(acc["out"], one).alias("out"))
+
+    none = F.array().cast("array<struct<match:string,left:string,right:string>>")
+    return F.aggregate(found, F.struct(F.lit(1).alias("k"), F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+
 def first_matching(c: Column, labelled: list[tuple[str, str]], default: str = UNKNOWN) -> Column:
     """The label of the first pattern that is found."""
     out = F.lit(default)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,65 +12,72 @@ from pyspark.sql import functions as F
 from terravane.operators import shared
 
 MAX_BLOCK, AREA_WIDTH, COSINE, PRICE_GAP, MIN_TEXT = 400, 5, 0.85, 0.03, 30
-#: N-grams that are compared at once.
-COLUMNS = 4096
 #: Columns that n-grams are folded into, and characters of the texts whose n-grams are held at once.
-FOLD, PART = 16384, 1 << 20
+FOLD, PART = 8192, 1 << 20
 
 
 def area_bucket(area: Column, width: float = AREA_WIDTH) -> Column:
     return F.coalesce(F.floor(area / width), F.lit(-1))
 
 
-def grams(text: str, low: int = 3, high: int = 5) -> Counter:
-    """Character n-grams inside words padded by a space on either side; a padded word no longer than n counts once."""
-    out: Counter = Counter()
-    for word in text.lower().split():
-        w = f" {word} "
-        for n in range(low, high + 1):
-            if len(w) <= n:
-                out[w] += 1
-                break
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
+_SPACE, _U = ord(" "), np.uint64
+_MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
+#: N-grams of a text: their 64-bit hashes, ascending, and how often each occurs.
+Grams = tuple[np.ndarray, np.ndarray]
 
-def _dense(counts: list[Counter], known: dict[str, int], width: int, low: int = 0, kind: type = float) -> np.ndarray:
-    """Counts over their norms. N-grams from number ``low`` on have a column each; without ``low`` all are folded into ``width`` columns."""
-    out = np.zeros((len(counts), width), dtype=kind)
-    for i, c in enumerate(counts):
-        at, v = np.fromiter((known[g] for g in c), np.int64, len(c)), np.fromiter(c.values(), float, len(c))
-        v /= max((v * v).sum(), 1) ** 0.5
-        if low >= 0:
-            own = (at >= low) & (at < low + width)
-            out[i, at[own] - low] = v[own]
-        else:
-            out[i] = np.bincount(at % width, v, width)
-    return out
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _MIX[1]
+    x = (x ^ (x >> _U(27))) * _MIX[2]
+    return x ^ (x >> _U(31))
+
+
+def grams(text: str, low: int = 3, high: int = 5) -> Grams:
+    """Character n-grams inside words padded by a space on either side, lower-cased; a padded word of fewer than n characters has none
+    of that n. All windows of the text with single spaces are hashed at once; those with a space inside span two words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    code = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    inner, found, value = code == _SPACE, [], code + _U(1)
+    for n in range(2, high + 1):
+        size = len(code) - n + 1
+        if size <= 0:
+            break
+        value = _mixed(value[:size] * _MIX[0] + code[n - 1 :])
+        if n >= low:
+            crosses = np.zeros(size, dtype=bool)
+            for k in range(1, n - 1):
+                crosses |= inner[k : k + size]
+            found.append(value[~crosses] ^ _U(n))
+    hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+    return hashes, counts.astype(float)
 
 
-def _cosines(x: list[Counter], y: list[Counter], threshold: float) -> list[tuple[int, int, float]]:
+def _cosines(x: list[Grams], y: list[Grams], threshold: float) -> list[tuple[int, int, float]]:
     """Pairs (place in x, place in y) of at least the threshold. Folding n-grams into fewer columns only adds to a product of
     counts, so pairs below the threshold by folded columns are none; the others are computed exactly."""
-    known: dict[str, int] = {}
-    for c in (*x, *y):
-        for g in c:
-            known.setdefault(g, len(known))
-    if len(known) > 2 * FOLD:
-        able = _dense(x, known, FOLD, -1, np.float32) @ _dense(y, known, FOLD, -1, np.float32).T >= threshold - 1e-3
-        some = list(zip(*np.nonzero(able), strict=True))
-        if len(some) * 10 < able.size:
-            out = []
-            for i, j in some:
-                a, b = sorted((x[i], y[j]), key=len)
-                cos = sum(v * b[g] for g, v in a.items() if g in b) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
-                if cos >= threshold:
-                    out.append((int(i), int(j), cos))
-            return out
-    cos = np.zeros((len(x), len(y)))
-    for low in range(0, len(known), COLUMNS):  # a slice of the n-grams at a time bounds memory
-        cos += _dense(x, known, COLUMNS, low) @ _dense(y, known, COLUMNS, low).T
-    return [(int(i), int(j), float(cos[i, j])) for i, j in zip(*np.nonzero(cos >= threshold), strict=True)]
+
+    def folded(rows: list[Grams]) -> np.ndarray:
+        out = np.zeros((len(rows), FOLD), dtype=np.float32)
+        for i, (h, c) in enumerate(rows):
+            out[i] = np.bincount((h % _U(FOLD)).astype(np.int64), c, FOLD) / max((c * c).sum(), 1) ** 0.5
+        return out
+
+    able, out = folded(x) @ folded(y).T >= threshold - 1e-3, []
+    for i in np.flatnonzero(able.any(axis=1)):
+        h, c = x[i]
+        own = (c * c).sum()
+        for j in np.flatnonzero(able[i]):
+            g, d = y[j]
+            at = np.searchsorted(h, g)
+            at[at == len(h)] = 0
+            same = h[at] == g if len(h) else np.zeros(len(g), dtype=bool)
+            cos = float((c[at[same]] * d[same]).sum() / max(own * (d * d).sum(), 1) ** 0.5)
+            if cos >= threshold:
+                out.append((int(i), int(j), cos))
+    return out
 
 
 def _parts(texts: list[str]) -> list[tuple[int, int]]:

@@ -78,6 +78,13 @@ def formatted(c: Column, digits: int = 0) -> Column:
     return F.when(F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")), F.lit("tràn số")).otherwise(text)
 
 
+def formatted_number(value: float | None, digits: int = 0) -> str:
+    """The same of one number."""
+    if value is None or value != value or value in (float("inf"), float("-inf")):
+        return "tràn số"
+    return f"{value:,.{digits}f}".translate(str.maketrans(",.", ".,"))
+
+
 def normal_key(c: Column) -> Column:
     """Accent-free key of a name."""
     return F.regexp_replace(deaccent(c), "[^a-z0-9]+", "_")
