@@ -20,8 +20,7 @@ from terravane.operators.shared import cut, placed
 
 Model = Callable[[DataFrame, DataFrame], DataFrame]
 #: The shares of the training rows that a learning curve takes.
-FRACTIONS = (0.1, 0.2, 0.35, 0.5, 0.7, 0.85, 1.0)
-STEPS = 1 << 20
+FRACTIONS = (0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
 METRICS = ("rmse", "mae", "mdape", "r2")
 
 
@@ -104,15 +103,15 @@ def leave_one_out(model: Model, rows: DataFrame, key: str, label: str, top: int
 def learning_curve(model: Model, train: DataFrame, test: DataFrame, id_: str, label: str, fractions: Sequence[float] = FRACTIONS, seed: int = modeling.SEED) -> DataFrame:
     """Metrics of one test set by the share of training rows; shares are nested, by a hash of the id. Column change is the step
     of the MdAPE to the share before."""
-    at = F.pmod(F.xxhash64(F.lit(seed), id_), F.lit(STEPS))
-    found = errors({f: model(train.filter(at < f * STEPS), test) for f in fractions}, label, "fraction")
+    at = modeling.hash_part(modeling.seeded(F.col(id_), seed)).cast("double") / 2.0**60
+    found = errors({f: model(train.filter(at < f), test) for f in fractions}, label, "fraction")
     return found.withColumn("change", F.col("mdape") - F.lag("mdape").over(Window.orderBy("fraction")))  # one row per share
 
 
 def shuffled(df: DataFrame, column: str, id_: str, seed: int) -> DataFrame:
     """The table with one column dealt anew: the row at a place in the ids' order takes the value of the row at that place in a hash
     order. Both places come from range partitionings, so rows never meet in one task."""
-    order = [F.xxhash64(F.lit(seed), id_).asc(), F.col(id_).asc()]
+    order = [F.md5(modeling.seeded(F.col(id_), seed)).asc(), F.col(id_).asc()]
     values = placed(df.select(id_, F.col(column).alias("_value")), [], order, "_at", "_all").select("_at", "_value")
     rows = placed(df, [], [F.col(id_).asc()], "_place", "_all")
     return rows.join(values, F.col("_place") == F.col("_at")).withColumn(column, F.col("_value")).select(*df.columns)

@@ -20,14 +20,14 @@ LABEL_COLUMNS = ("total_price_vnd", "price_per_m2", "price_kind", "price_mismatc
 
 
 def majority_mapping(df: DataFrame, key: str, targets: Sequence[str]) -> DataFrame:
-    """For each key the most frequent targets (ties by name), support, majority_share (3 digits) and alternatives by rank."""
+    """For each key the most frequent targets (ties by name), support (all rows), majority_share (3 digits) and alternatives by rank."""
     counts = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in (key, *targets))).groupBy(key, *targets).agg(F.count("*").alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), *targets)
     ranked = counts.withColumns({"place": F.row_number().over(order), "total": F.sum("n").over(Window.partitionBy(key))})
     rest = F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("place", *targets, "n"))))
     return ranked.groupBy(key).agg(
         *(F.max(F.when(F.col("place") == 1, F.col(t))).alias(t) for t in targets),
-        F.max(F.when(F.col("place") == 1, F.col("n"))).alias("support"),
+        F.max("total").alias("support"),
         F.round(F.max("n") / F.max("total"), 3).alias("majority_share"),
         rest.alias("alternatives"),
     )
@@ -107,7 +107,7 @@ def split_groups(df: DataFrame, group: str, id_: str, folds: int = FOLDS, test_s
     """(group, stratum, role, fold): groups are ranked by md5 in the stratum of their first row; the first fifth is the test set, the
     rest is dealt to folds. A group never straddles."""
     first = df.groupBy(F.col(group).alias("grp")).agg(F.min_by("stratum", id_).alias("stratum"))
-    ranked = placed(first, ["stratum"], [F.md5(F.concat(F.lit(f"{seed}|"), F.col("grp").cast("string"))), F.col("grp").asc()], "place", "groups")
+    ranked = placed(first, ["stratum"], [F.md5(seeded(F.col("grp"), seed)), F.col("grp").asc()], "place", "groups")
     tests = F.bround(F.col("groups") * test_share, 0)
     test = F.col("place") <= tests
     return ranked.select("grp", "stratum", F.when(test, "test").otherwise("train").alias("role"), F.when(~test, F.pmod((F.col("place") - tests - 1).cast("int"), F.lit(folds))).alias("fold"))
@@ -115,18 +115,27 @@ def split_groups(df: DataFrame, group: str, id_: str, folds: int = FOLDS, test_s
 
 def capped_sample(df: DataFrame, place: str, id_: str, max_rows: int, seed: int = SEED) -> DataFrame:
     """About ``max_rows`` rows, in proportion to each place and at least one of it, by md5 order."""
-    order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_).cast("string"))), F.col(id_).asc()]
+    order = [F.md5(seeded(F.col(id_), seed)), F.col(id_).asc()]
     every = df.agg(F.count("*").alias("_all"))
     ranked = placed(df, [place], order, "_place", "_rows").join(F.broadcast(every))  # one row
     take = F.greatest(F.lit(1), F.bround(F.col("_rows") * max_rows / F.col("_all"), 0))
     return ranked.filter((F.col("_all") <= max_rows) | (F.col("_place") <= take)).select(*df.columns)
 
 
+def seeded(id_: Column, seed: int) -> Column:
+    """The text whose md5 orders or draws rows at random."""
+    return F.concat(F.lit(f"{seed}|"), id_.cast("string"))
+
+
+def hash_part(c: Column, part: int = 0) -> Column:
+    """60 bits of the md5 of a value as text, a decimal number; ``part`` 0 or 1."""
+    return F.conv(F.substring(F.md5(c.cast("string")), 1 + 15 * part, 15), 16, 10).cast("decimal(38,0)")
+
+
 def fingerprint(df: DataFrame, id_: str) -> DataFrame:
-    """Sixteen hex digits that depend on the set of ids alone: SHA-256 over 4096 partial digests, each of one part of the sorted ids."""
-    part = F.conv(F.substring(F.md5(F.col(id_).cast("string")), 1, 3), 16, 10).cast("int")
-    parts = df.groupBy(part.alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id_).cast("string"))), "|"), 256).alias("d"))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "|"), 256), 1, 16).alias("fingerprint"))
+    """Sixteen hex digits that depend on the ids alone, not on their order: sums of hashes, which tasks add up, and the count."""
+    sums = df.agg(*(F.coalesce(F.sum(hash_part(F.col(id_), k)), F.lit(0)).cast("string").alias(f"s{k}") for k in (0, 1)), F.count(id_).cast("string").alias("n"))
+    return sums.select(F.substring(F.sha2(F.concat_ws("|", "s0", "s1", "n"), 256), 1, 16).alias("fingerprint"))
 
 
 def assert_no_leakage(df: DataFrame, banned: Sequence[str] = LABEL_COLUMNS) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 
 from terravane.functions import address, extract, money, phones, price
 from terravane.functions.text import flat
-from terravane.operators import cleaning, dedup, experiments, modeling, shared
-from terravane.plans import pipeline
-from terravane.sources import html, store
+from terravane.operators import cleaning, dedup, experiments, gold, modeling, shared
+from terravane.plans import gate, pipeline, tables
+from terravane.sources import html, store, wards
 from terravane.sources import listings as sources
 from terravane.streaming import ingest
 
@@ -159,7 +159,7 @@ def group_median_impute(spark, sf):
 _MAPPING = """
 WITH c AS (SELECT c_nationkey AS new_ward, c_mktsegment AS old_ward, c_mktsegment || '-d' AS old_district, count(*) AS n FROM customer GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY new_ward ORDER BY n DESC, old_ward) AS place, sum(n) OVER (PARTITION BY new_ward) AS total FROM c),
-m AS (SELECT new_ward, old_ward, old_district, n AS support, round(n / total, 3) AS majority_share FROM r WHERE place = 1)
+m AS (SELECT new_ward, old_ward, old_district, CAST(total AS BIGINT) AS support, round(n / total, 3) AS majority_share FROM r WHERE place = 1)
 """
 
 
@@ -178,11 +178,26 @@ def ward_mapping(spark, sf):
     + """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE coalesce(m.old_ward, 'không rõ') END AS ward,
   CASE WHEN s_suppkey % 2 = 0 THEN 'here' WHEN s_suppkey % 3 = 0 THEN 'không rõ' ELSE coalesce(m.old_district, 'không rõ') END AS district_resolved,
   CASE WHEN s_suppkey % 3 = 0 THEN 'old' WHEN m.old_ward IS NULL THEN 'unmapped' WHEN majority_share < 0.6 THEN 'mapped_weak' ELSE 'mapped' END AS ward_frame
-  FROM supplier LEFT JOIN m ON s_nationkey = new_ward"""
+  FROM supplier LEFT JOIN m ON s_nationkey = new_ward AND new_ward % 4 <> 0"""
 )
 def ward_resolution(spark, sf):
+    return _resolved(spark, sf).select("s_suppkey", "ward", "district_resolved", "ward_frame")
+
+
+def _resolved(spark, sf):
     s = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'own' END").alias("old"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN 'here' END").alias("dist"))
-    return modeling.resolve_wards(s, _mapping(spark, sf), "old", "s_nationkey", "dist").select("s_suppkey", "ward", "district_resolved", "ward_frame")
+    return modeling.resolve_wards(s, _mapping(spark, sf).filter("new_ward % 4 <> 0"), "old", "s_nationkey", "dist")
+
+
+@query(
+    _MAPPING
+    + """, f AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'old' WHEN m.old_ward IS NULL THEN 'unmapped' WHEN majority_share < 0.6 THEN 'mapped_weak' ELSE 'mapped' END AS f
+  FROM supplier LEFT JOIN m ON s_nationkey = new_ward AND new_ward % 4 <> 0)
+SELECT count(*) AS "rows", round(avg(CAST(f = 'unmapped' AS INTEGER)), 4) AS unmapped_rate, count(*) FILTER (f = 'old') AS old, count(*) FILTER (f = 'mapped') AS mapped,
+  count(*) FILTER (f = 'mapped_weak') AS mapped_weak, count(*) FILTER (f = 'unmapped') AS unmapped FROM f"""
+)
+def ward_quality(spark, sf):
+    return wards.quality(_resolved(spark, sf))
 
 
 @query(
@@ -196,12 +211,13 @@ def unify_sources(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 <> 0 THEN l_quantity WHEN l_suppkey % 2 = 0 AND l_suppkey <= 45 AND l_suppkey > 0 THEN CAST(l_suppkey AS DOUBLE) END AS v,
-  coalesce(l_partkey % 4 = 0 AND l_suppkey % 2 = 0 AND l_suppkey <= 45 AND l_suppkey > 0, false) AS from_text FROM lineitem WHERE l_quantity <= 45"""
+    """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 <> 0 AND l_quantity BETWEEN 1 AND 45 THEN l_quantity END AS a,
+  CASE WHEN l_suppkey % 2 = 0 AND l_suppkey BETWEEN 1 AND 45 THEN CAST(l_suppkey AS DOUBLE) END AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(a, b) AS v, a IS NULL AND b IS NOT NULL AS from_text FROM p"""
 )
 def provenance_pick(spark, sf):
     v, t = cleaning.pick(F.expr("CASE WHEN l_partkey % 4 <> 0 THEN l_quantity END"), F.expr("CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey AS STRING) ELSE 'none' END"), 1, 45)
-    return read(spark, sf, "lineitem").filter("l_quantity <= 45").select("l_orderkey", "l_linenumber", v.alias("v"), t.alias("from_text"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v"), t.alias("from_text"))
 
 
 @query(
@@ -232,18 +248,24 @@ def price_roundtrip(spark, sf):
 
 
 @query(
-    """SELECT p_partkey, CAST(CASE WHEN p_size % 9 = 0 THEN 1 ELSE p_size % 9 + 1 END AS INTEGER) AS floors, CAST(p_size % 10 + 3 AS DOUBLE) AS frontage_m,
-  CAST((p_size % 10 + 3) * (p_size % 20 + 10) AS DOUBLE) AS area_m2, CAST(p_size % 5 + 1 AS INTEGER) AS bedrooms, CAST(p_size % 3 + 1 AS INTEGER) AS bathrooms,
+    """SELECT p_partkey, CAST(CASE WHEN p_size % 9 = 0 THEN 1 ELSE p_size % 9 + 1 END AS INTEGER) AS floors, CASE WHEN p_partkey % 6 IN (0, 4) THEN CAST(p_size % 10 + 3 AS DOUBLE) WHEN p_partkey % 6 = 5 THEN p_size % 20 + 2.5 END AS frontage_m,
+  CASE p_partkey % 6 WHEN 0 THEN CAST((p_size % 10 + 3) * (p_size % 20 + 10) AS DOUBLE) WHEN 2 THEN p_size + 20.5 ELSE CAST(p_size + 20 AS DOUBLE) END AS area_m2,
+  CAST(p_size % 5 + 1 AS INTEGER) AS bedrooms, CAST(p_size % 3 + 1 AS INTEGER) AS bathrooms, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size % 6 + 2 AS DOUBLE) END AS alley_width_m,
+  CASE WHEN p_partkey % 6 = 5 THEN 'mặt tiền' WHEN p_partkey % 4 = 0 THEN 'hẻm' ELSE 'không rõ' END AS position,
   CASE p_size % 3 WHEN 0 THEN 'Đông Nam' WHEN 1 THEN 'Tây' ELSE 'không rõ' END AS direction, CASE p_size % 2 WHEN 0 THEN 'sổ hồng' ELSE 'giấy tay' END AS legal_status FROM part"""
 )
 def attributes_roundtrip(spark, sf):
+    """Areas as width by length, labelled, certified beside others, after a rejected token, bare, and with a frontage."""
     body = F.expr(
-        """concat('Nhà ', CASE WHEN p_size % 9 = 0 THEN 'cấp 4' ELSE concat('1 trệt ', p_size % 9, ' lầu') END, ', ', p_size % 10 + 3, 'm x ', p_size % 20 + 10, 'm, ',
-        p_size % 5 + 1, ' phòng ngủ, ', p_size % 3 + 1, ' WC', CASE p_size % 3 WHEN 0 THEN ', hướng Đông Nam' WHEN 1 THEN ', hướng Tây' ELSE '' END,
-        CASE p_size % 2 WHEN 0 THEN ', sổ hồng' ELSE ', giấy tay' END)"""
+        """concat('Nhà ', CASE WHEN p_size % 9 = 0 THEN 'cấp 4' ELSE concat('1 trệt ', p_size % 9, ' lầu') END, CASE p_partkey % 6
+        WHEN 0 THEN concat(', ', p_size % 10 + 3, 'm x ', p_size % 20 + 10, 'm, ') WHEN 1 THEN concat(' ', p_size + 20, 'mat, diện tích ', p_size + 20, 'm giá tốt, ')
+        WHEN 2 THEN concat(', xây ', p_size + 90, 'm2 rộng rãi thoáng mát sạch sẽ, công nhận ', p_size + 20, ',5 m2, ') WHEN 3 THEN concat(' ', p_size + 20, 'mx dt ', p_size + 20, 'm, ')
+        WHEN 4 THEN concat(', ', p_size + 20, 'm2 gồm ', p_size % 10 + 3, 'x', p_size % 20 + 10, ', ') ELSE concat(', mặt tiền ', p_size % 20 + 2, ',5m, DT: ', p_size + 20, ' mv, ') END,
+        p_size % 5 + 1, ' phòng ngủ, ', p_size % 3 + 1, ' WC', CASE WHEN p_partkey % 4 = 0 THEN concat(', hẻm ', p_size % 6 + 2, 'm') ELSE '' END,
+        CASE p_size % 3 WHEN 0 THEN ', hướng Đông Nam' WHEN 1 THEN ', hướng Tây' ELSE '' END, CASE p_size % 2 WHEN 0 THEN ', sổ hồng' ELSE ', giấy tay' END)"""
     )
     own = extract.extract_all(F.lit("Bán"), F.col("body"))
-    names = ["floors", "frontage_m", "area_m2", "bedrooms", "bathrooms", "direction", "legal_status"]
+    names = ["floors", "frontage_m", "area_m2", "bedrooms", "bathrooms", "alley_width_m", "position", "direction", "legal_status"]
     return read(spark, sf, "part").select("p_partkey", body.alias("body")).select("p_partkey", *(own[n].alias(n) for n in names))
 
 
@@ -260,16 +282,48 @@ def address_roundtrip(spark, sf):
     return c.select("c_custkey", address.parse_address(F.col("t")).alias("a")).select("c_custkey", "a.street", "a.ward", "a.district")
 
 
-@query()
+@query(r"""SELECT doc_id, regexp_replace(text, '1 \(\d{3}\) \d{3}-\d{4}', '[SDT_DA_XOA]', 'g') AS text, CAST(len(regexp_extract_all(text, '\+1 \(\d{3}\) \d{3}-\d{4}')) AS INTEGER) AS hits FROM documents WHERE regexp_matches(text, '\+1 \(\d{3}\)')""")
 def phone_scrub(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", phones.scrubbed(F.col("text"), "nanp").alias("s"))
+    d = read(spark, sf, "documents").filter(F.col("text").rlike(r"\+1 \(\d{3}\)")).select("doc_id", phones.scrubbed(F.col("text"), "plus1").alias("s"))
     return d.select("doc_id", "s.text", "s.hits")
 
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\+1 \(\d{3}\) \d{3}-\d{4}')) AS INTEGER) AS hits FROM documents WHERE regexp_matches(text, '\+1 \(\d{3}\) \d{3}-\d{4}')""")
 def phone_counts(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\+1 \(\d{3}\) \d{3}-\d{4}")).alias("hits"))
-    return d.filter("hits > 0")
+    """Numbers that the detector finds after a plus sign."""
+    d = read(spark, sf, "documents").select("doc_id", "text", phones.spans(F.col("text"), "plus1").alias("spans"))
+    plus = F.filter("spans", lambda x: F.substring("text", x["start"], F.lit(1)) == "+")
+    return d.select("doc_id", F.size(plus).alias("hits")).filter("hits > 0")
+
+
+_TEN, _MARK = "concat('09', lpad(cast(o_orderkey % 100000000 as string), 8, '0'))", phones.MARKER
+#: A text with a number in it, and the same with the number cut, by kind: plain, spaced, with country code, letters for digits, another
+#: script, words, beside a size, a price that stays, two numbers, invisible characters, after a contact word.
+_HIDDEN = [
+    ("concat('Liên hệ ', {n}, ' xem nhà')", "'Liên hệ {m} xem nhà'", 1),
+    ("concat('sđt ', substr({n}, 1, 4), '.', substr({n}, 5, 3), ' ', substr({n}, 8, 3))", "'sđt {m}'", 1),
+    ("concat('Zalo +84 ', substr({n}, 2, 3), '-', substr({n}, 5, 3), '*', substr({n}, 8, 3))", "'Zalo +{m}'", 1),
+    ("concat('LH ', replace(replace({n}, '0', 'O'), '1', 'l'), ' nhé')", "'LH {m} nhé'", 1),
+    ("concat('gọi ', translate({n}, '0123456789', '٠١٢٣٤٥٦٧٨٩'))", "'gọi {m}'", 1),
+    ("concat('liên hệ không chín', replace(replace({d}, '1', ' một'), '2', ' hai'))", "'liên hệ {m}'", 1),
+    ("concat('Bán đất 5x20 ', {n})", "'Bán đất 5x20 {m}'", 1),
+    ("concat('Giá ', o_orderkey % 900 + 100, '.000.000 đồng, ', o_orderkey % 9 + 1, ' tầng')", None, 0),
+    ("concat({n}, ' - ', {n}, ', chính chủ')", "'{m} - {m}, chính chủ'", 2),
+    ("concat('sdt ', substr({n}, 1, 3), '​', substr({n}, 4, 7))", "'sdt {m}'", 1),
+    ("concat('Mã tin ', o_orderkey % 900000000 + 100000000)", None, 0),
+    ("concat('hotline 1900 ', lpad(cast(o_orderkey % 10000 as string), 4, '0'))", "'hotline {m}'", 1),
+]
+
+
+def _hidden(part: str) -> str:
+    n, d = _TEN, "concat('1212121', o_orderkey % 2 + 1)"
+    return "CASE " + " ".join(f"WHEN o_orderkey % {len(_HIDDEN)} = {i} THEN {part_}" for i, (a, b, h) in enumerate(_HIDDEN) for part_ in [{"text": a, "clean": b or a, "hits": str(h)}[part].format(n=n, d=d, m=_MARK)]) + " END"
+
+
+@query(f"""SELECT o_orderkey, {_hidden("clean")} AS text, CAST({_hidden("hits")} AS INTEGER) AS hits FROM orders""")
+def phone_roundtrip(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", phones.scrubbed(F.expr(_hidden("text"))).alias("s"))
+    return o.select("o_orderkey", "s.text", "s.hits")
 
 
 @query("SELECT o_orderkey, trim('house on sale GIÁTIỀN ' || CASE WHEN o_orderkey % 2 = 0 THEN 'call me' ELSE '' END) AS text, 0 AS money_left FROM orders")
@@ -303,24 +357,31 @@ def _documents(spark, sf):
     return d, ("doc_id", F.col("text"), [F.col("lang"), dedup.area_bucket(F.col("n_chars"), 200)], F.col("n_chars"))
 
 
-@query(
-    """WITH d AS (SELECT doc_id, lower(text) AS t, lang, n_chars, n_chars // 200 AS bucket FROM documents WHERE n_chars BETWEEN 100 AND 4000),
-w AS (SELECT doc_id, lang, bucket, ' ' || unnest(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) || ' ' AS w FROM d),
-g AS (SELECT doc_id, lang, bucket, unnest(CASE WHEN length(w) <= 3 THEN [w] ELSE list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) END
-    || CASE WHEN length(w) <= 3 THEN [] WHEN length(w) = 4 THEN [w] ELSE list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) END
-    || CASE WHEN length(w) <= 4 THEN [] WHEN length(w) = 5 THEN [w] ELSE list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)) END) AS g FROM w),
+_NEAR = r"""
+WITH RECURSIVE o AS (SELECT doc_id, text, lower(text) AS t, coalesce(lang, '') AS lang, n_chars, n_chars // 200 AS bucket FROM documents),
+able AS (SELECT lang, bucket FROM o GROUP BY ALL HAVING count(*) > 1 AND bool_or(regexp_matches(text, '(?s)\S.{29,}\S'))),
+d AS (SELECT o.* FROM o JOIN able USING (lang, bucket)),
+w AS (SELECT doc_id, lang, bucket, ' ' || unnest(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) || ' ' AS w FROM d),
+g AS (SELECT doc_id, lang, bucket, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) || list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4))
+    || list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5))) AS g FROM w),
 c AS (SELECT doc_id, lang, bucket, g, count(*) AS n FROM g GROUP BY ALL), q AS (SELECT doc_id, sqrt(sum(n * n)) AS q FROM c GROUP BY ALL),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.n * y.n) AS dot FROM c x JOIN c y ON x.lang = y.lang AND x.bucket = y.bucket AND x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, round(dot / (u.q * v.q), 5) AS cosine FROM p JOIN q u ON u.doc_id = a JOIN q v ON v.doc_id = b JOIN d da ON da.doc_id = a JOIN d db ON db.doc_id = b
-WHERE dot / (u.q * v.q) >= 0.85 AND abs(da.n_chars - db.n_chars) / greatest(da.n_chars, db.n_chars) <= 0.03"""
-)
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.n * y.n) AS dot FROM c x JOIN c y ON x.lang = y.lang AND x.bucket = y.bucket AND x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b, round(dot / (u.q * v.q), 5) AS cosine FROM p JOIN q u ON u.doc_id = a JOIN q v ON v.doc_id = b JOIN d da ON da.doc_id = a JOIN d db ON db.doc_id = b
+  WHERE dot / (u.q * v.q) >= 0.85 AND abs(da.n_chars - db.n_chars) / greatest(da.n_chars, db.n_chars) <= 0.03)"""
+
+
+@query(_NEAR + " SELECT a, b, cosine FROM pairs")
 def near_dup_pairs(spark, sf):
     d, how = _documents(spark, sf)
-    pairs = dedup.duplicate_pairs(d.filter("n_chars BETWEEN 100 AND 4000"), *how)  # as its SQL
-    return pairs.select("a", "b", F.round("cosine", 5).alias("cosine"))
+    return dedup.duplicate_pairs(d, *how).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
-@query()
+@query(
+    _NEAR
+    + """, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), r(node, reached) AS (SELECT DISTINCT a, a FROM e UNION SELECT node, e.b FROM r JOIN e ON e.a = reached),
+k AS (SELECT node, min(reached) AS grp FROM r GROUP BY ALL), s AS (SELECT doc_id, n_chars, coalesce(grp, doc_id) AS grp FROM o LEFT JOIN k ON node = doc_id)
+SELECT doc_id, grp AS duplicate_group FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n_chars DESC, doc_id) = 1"""
+)
 def near_dup_survivors(spark, sf):
     d, how = _documents(spark, sf)
     return dedup.survivors(d, dedup.groups_of(dedup.duplicate_links(d, *how)), "doc_id", F.lit(None).cast("timestamp"), F.col("n_chars")).select("doc_id", "duplicate_group")
@@ -331,12 +392,44 @@ def html_fields(spark, sf):
     return read(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"), html.links(F.col("html")).alias("links"))
 
 
+@query(
+    """SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id, 'Nhà ' || p_name AS title, 'Lê Lợi, ' || p_brand AS address, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey + 1 AS VARCHAR) || '000000' ELSE p_size || ' tỷ' END AS price,
+  CASE WHEN p_partkey % 2 = 0 THEN 'House' END AS property_type, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'a much longer text than that of the page' ELSE 'short text' END AS description,
+  p_size || ' m2' AS area, CASE WHEN p_partkey % 5 = 0 THEN CAST(10.5 + p_size AS DOUBLE) END AS latitude, CASE WHEN p_partkey % 5 = 0 THEN 106.25::DOUBLE END AS longitude FROM part"""
+)
+def page_details(spark, sf):
+    """Detail pages with and without linked data and a map; a description stands in either place."""
+    page = F.expr(
+        """concat('<html><head><script type="application/ld+json">', CASE WHEN p_partkey % 2 = 0 THEN concat('[{"@type":"Person","name":"x","makesOffer":{"price":', p_partkey + 1, '000000,"itemOffered":{"@type":"House"}',
+        CASE WHEN p_partkey % 3 = 0 THEN ',"description":"a much longer text than that of the page"' ELSE '' END, '}}]') ELSE '{"@type":"Thing"}' END, '</script></head><body><h1> Nhà  ', p_name, '</h1>',
+        '<div class="address">Lê Lợi, ', p_brand, '</div>', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('<div class="price big">', p_size, ' tỷ</div>') END,
+        '<div class="info-attr"><span>Diện tích</span><span>', p_size, ' m2</span></div><div class="info-content-body">short<br>text</div>',
+        CASE WHEN p_partkey % 5 = 0 THEN concat('<iframe src="https://maps.example.org/?q=', 10.5 + p_size, ',106.25&amp;z=3"></iframe>') ELSE '' END, '</body></html>')"""
+    )
+    d = read(spark, sf, "part").select("p_partkey", html.detail_record(page, F.concat(F.lit("https://site.example.org/nha-id"), F.col("p_partkey").cast("string"))).alias("r"))
+    return d.select("p_partkey", "r.id", "r.title", "r.address", "r.price", "r.property_type", "r.description", F.col("r.attributes")["diện tích"].alias("area"), "r.latitude", "r.longitude")
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS id, 'Nhà ' || p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN p_size || ' tỷ' END AS price, p_brand AS address FROM part WHERE p_partkey % 4 <> 0"""
+)
+def page_lists(spark, sf):
+    """List pages of ten blocks; blocks without an id are passed over."""
+    block = F.expr(
+        """concat('<div class="prop-info"><a href="/ban-nha', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('-id', p_partkey) END, '"><h2 class="prop-title">Nhà ', p_name, '</h2></a><div class="prop-addr">', p_brand, '</div>',
+        CASE WHEN p_partkey % 3 = 0 THEN concat('<div class="price">', p_size, ' tỷ</div>') ELSE '' END, '</div>')"""
+    )
+    pages = read(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("page")).agg(F.concat_ws("", F.collect_list(block)).alias("html"))
+    rows = pages.select(F.explode(html.listing_blocks(F.col("html"))).alias("b"))
+    return rows.select(store.listing_id(F.col("b.url")).alias("id"), "b.title", "b.price", "b.address")
+
+
 @query(
     """SELECT CAST(first_day AS VARCHAR) AS day, count(*) AS new_users FROM (SELECT user_id, min(CAST(ts AS DATE)) AS first_day FROM events GROUP BY ALL) GROUP BY ALL"""
 )
 def incremental_ids(spark, sf):
-    e = read(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"))
-    return e.groupBy("user_id").agg(F.min("day").alias("day")).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("new_users"))
+    first = store.first_seen(read(spark, sf, "events").select("user_id", "ts"), "user_id", F.to_date("ts"))
+    return first.groupBy(F.col("first").cast("string").alias("day")).agg(F.count("*").alias("new_users"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 12:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 12:00:00') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
@@ -348,32 +441,69 @@ def new_ids_only(spark, sf):
     return fresh.select("event_id", F.col("user_id").cast("long").alias("user_id"))
 
 
+_GATE_ROWS = """WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 250 ELSE 50 END AS chars, c_custkey % 4 <> 0 AS priced, c_custkey % 5 < 3 AS placed, c_custkey % 6 IN (0, 1) AS target,
+  c_custkey % 50 = 7 AS called, c_custkey % 50 IN (7, 8) AS plain FROM customer)"""
+
+
 @query(
-    r"""WITH s AS (SELECT count(*) AS rows, avg(CAST(length(text) >= 200 AS INTEGER)) AS long_share, avg(CAST(quality = 1 AS INTEGER)) AS price_share,
-  avg(CAST(quality IS NOT NULL AS INTEGER)) AS place_share, count(*) FILTER (lang = 'en') AS target_rows, count(*) FILTER (regexp_matches(text, '\+1 \(\d{3}\)')) AS phones
-  FROM documents LEFT JOIN labels USING (doc_id))
-SELECT metric, value, threshold, CASE WHEN metric = 'phones' THEN value <= threshold ELSE value >= threshold END AS passed FROM (
-  SELECT 'rows' AS metric, CAST(rows AS DOUBLE) AS value, 8000.0::DOUBLE AS threshold FROM s UNION ALL SELECT 'long_share', round(long_share, 6), 0.9::DOUBLE FROM s UNION ALL SELECT 'price_share', round(price_share, 6), 0.8::DOUBLE FROM s
-  UNION ALL SELECT 'place_share', round(place_share, 6), 0.7::DOUBLE FROM s UNION ALL SELECT 'target_rows', target_rows, 3000.0::DOUBLE FROM s UNION ALL SELECT 'phones', phones, 0.0::DOUBLE FROM s)"""
+    _GATE_ROWS
+    + """, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(chars >= 200 AS INTEGER)) AS long, avg(CAST(priced AS INTEGER)) AS priced, avg(CAST(placed AS INTEGER)) AS placed,
+  CAST(count(*) FILTER (target) AS DOUBLE) AS target, CAST(count(*) FILTER (called) AS DOUBLE) AS called, CAST(count(*) FILTER (plain) AS DOUBLE) AS plain FROM r),
+c AS (SELECT 'rows' AS metric, n AS value, 8000.0::DOUBLE AS threshold, false AS ceiling FROM s UNION ALL SELECT 'long_share', long, 0.9::DOUBLE, false FROM s UNION ALL SELECT 'price_share', priced, 0.8::DOUBLE, false FROM s
+  UNION ALL SELECT 'place_share', placed, 0.7::DOUBLE, false FROM s UNION ALL SELECT 'target_rows', target, 3000.0::DOUBLE, false FROM s UNION ALL SELECT 'phones', called, 0.0::DOUBLE, true FROM s
+  UNION ALL SELECT 'phones_independent', plain, 0.0::DOUBLE, true FROM s)
+SELECT metric, round(value, 6) AS value, threshold, CASE WHEN ceiling THEN value <= threshold ELSE value >= threshold END AS passed FROM c"""
 )
 def qa_gate(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "lang", (F.length("text") >= 200).alias("long"), F.col("text").rlike(r"\+1 \(\d{3}\)").alias("phone"))
-    d = d.join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    stats = d.agg(F.count("*").alias("rows"), share(F.col("long")).alias("long_share"), share(F.col("quality") == 1).alias("price_share"), share(F.col("quality").isNotNull()).alias("place_share"), F.count_if(F.col("lang") == "en").alias("target_rows"), F.count_if("phone").alias("phones"))
-    return pipeline.gate(stats, [c for c in pipeline.GATE if c[0] != "phones_independent"])
+    """Gateway records and pages through their views: a called number is one that both detectors see, thirteen digits in a row
+    only the plain one."""
+    c = read(spark, sf, "customer").selectExpr(
+        "c_custkey AS k",
+        "concat(repeat('a ', CASE WHEN c_custkey % 3 = 0 THEN 125 ELSE 25 END)) AS words",
+        "CASE WHEN c_custkey % 50 = 7 THEN 'LH 0901234567' WHEN c_custkey % 50 = 8 THEN '8490123456789' ELSE 'x' END AS note",
+        "CASE c_custkey % 6 WHEN 0 THEN 'Tân Bình' WHEN 1 THEN 'Quận 12' WHEN 2 THEN 'Quận 1' ELSE NULL END AS place",
+    )
+    gateway = c.filter("k % 2 = 0").selectExpr(
+        "words AS body", "note AS subject", "CASE WHEN k % 4 <> 0 THEN 5e9 END AS price", "CASE WHEN k % 5 = 0 THEN 'P.1' END AS ward_name", "CASE WHEN k % 5 = 1 THEN 'P.2' END AS ward_name_v3",
+        "CASE WHEN k % 5 = 2 THEN 10.5 END AS latitude", "CASE WHEN k % 5 = 2 THEN 106.5 ELSE 0.0 END AS longitude", "place AS area_name",
+    )
+    pages = c.filter("k % 2 = 1").selectExpr(
+        "words AS description", "note AS title", "CASE WHEN k % 3 = 0 THEN 5e9 END AS price_vnd_ld", "CASE WHEN k % 3 = 0 THEN '' ELSE '5 tỷ' END AS price_text",
+        "concat(CASE WHEN k % 5 < 2 THEN 'Phường 1, ' ELSE '' END, coalesce(place, 'Gò Vấp')) AS address", "CASE WHEN k % 5 = 2 THEN 10.5 ELSE 0.0 END AS latitude", "106.5 AS longitude",
+    )
+    stats, _ = gate.collect([gate.gateway_view(gateway, "gateway"), gate.page_view(pages, "pages")])
+    return pipeline.gate(stats).withColumn("value", F.round("value", 6))
+
+
+def _gold(spark, sf):
+    """Listings with labels, some of which the text does not state, states otherwise or states in words that are not read."""
+    p = read(spark, sf, "part").selectExpr(
+        "p_partkey AS list_id", "'Bán' AS subject",
+        """concat('Nhà ', p_size % 5 + 2, CASE WHEN p_partkey % 7 = 0 THEN ' phòng khách' ELSE ' phòng ngủ' END, '. Hẻm thông thoáng, yên tĩnh, an ninh, sạch sẽ. Nhà ', p_size % 5 + 7, ' tầng. Gần chợ, gần trường, gần công viên xanh. DT ',
+        p_size + 20, 'm2') AS body""",
+        "CAST(p_size + 20 + CASE WHEN p_partkey % 3 = 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS size", "p_size % 5 + 2 + CASE WHEN p_partkey % 5 = 0 THEN 60 ELSE 0 END AS rooms",
+        "CASE WHEN p_partkey % 2 = 0 THEN p_size % 5 + 7 ELSE 0 END AS floors", "CAST(NULL AS INT) AS toilets",
+    )
+    return gold.judged(gold.build(p, "list_id", size=1 << 30))
+
+
+_GOLD = """WITH g AS (SELECT 'area_m2' AS field, p_partkey % 3 <> 0 AS stated, true AS said, true AS ok FROM part
+  UNION ALL SELECT 'bedrooms', p_partkey % 5 <> 0, p_partkey % 7 <> 0, p_partkey % 5 <> 0 FROM part UNION ALL SELECT 'floors', true, true, true FROM part WHERE p_partkey % 2 = 0)"""
 
 
 @query(
-    """WITH d AS (SELECT quality AS gold, CAST(n_chars >= 400 AS INTEGER) AS said FROM documents JOIN labels USING (doc_id)),
-a AS (SELECT count(*) FILTER (gold = 1 AND said = 1) AS tp, count(*) FILTER (said = 1) AS said, count(*) FILTER (gold = 1) AS gold FROM d)
-SELECT tp, said, gold, round(tp / said, 6) AS precision_, round(tp / gold, 6) AS recall_, round(2 * tp / (said + gold), 6) AS f1 FROM a"""
+    _GOLD
+    + """, n AS (SELECT field, count(*) FILTER (stated AND said AND ok) AS tp, count(*) FILTER (stated AND said) AS said, count(*) FILTER (stated) AS gold, count(*) AS n FROM g GROUP BY ALL)
+SELECT field, round(tp / said, 6) AS precision_, round(tp / gold, 6) AS recall_, round(2 * tp / (said + gold), 6) AS f1, gold AS n_gold_verbatim, n AS n_gold_total FROM n"""
 )
 def gold_scores(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", (F.col("n_chars") >= 400).cast("int").alias("said")).join(read(spark, sf, "labels").select("doc_id", F.col("quality").alias("gold")), "doc_id")
-    a = d.agg(F.count_if((F.col("gold") == 1) & (F.col("said") == 1)).alias("tp"), F.count_if(F.col("said") == 1).alias("said"), F.count_if(F.col("gold") == 1).alias("gold"))
-    ratio = lambda x, y: F.round(F.try_divide(x, y), 6)
-    return a.select("tp", "said", "gold", ratio(F.col("tp"), F.col("said")).alias("precision_"), ratio(F.col("tp"), F.col("gold")).alias("recall_"), ratio(2 * F.col("tp"), F.col("said") + F.col("gold")).alias("f1"))
+    m = gold.measure(_gold(spark, sf))
+    return m.select("field", F.round("precision", 6).alias("precision_"), F.round("recall", 6).alias("recall_"), F.round("f1", 6).alias("f1"), "n_gold_verbatim", "n_gold_total")
+
+
+@query(_GOLD + " SELECT field, count(*) FILTER (stated AND said AND ok) AS correct, count(*) FILTER (stated AND NOT said) AS missed, 0::BIGINT AS off_by_one, 0::BIGINT AS off_by_more FROM g GROUP BY ALL")
+def gold_errors(spark, sf):
+    return gold.error_breakdown(_gold(spark, sf))
 
 
 _STRATA = """
@@ -402,7 +532,11 @@ def capped_sample(spark, sf):
     return modeling.capped_sample(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 600)
 
 
-@query()
+@query(
+    """WITH s AS (SELECT CAST(sum(CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS a,
+  CAST(sum(CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS b, CAST(count(*) AS VARCHAR) AS n FROM orders)
+SELECT substr(sha256(a || '|' || b || '|' || n), 1, 16) AS fingerprint FROM s"""
+)
 def split_fingerprint(spark, sf):
     return modeling.fingerprint(read(spark, sf, "orders"), "o_orderkey")
 
@@ -412,18 +546,15 @@ def split_fingerprint(spark, sf):
 SELECT strftime(m, '%Y-%m') AS month, s AS status, round(v, 4) AS median_price, n, coalesce(date_diff('month', lag(m) OVER (PARTITION BY s ORDER BY m), m) > 1, false) AS after_gap FROM m"""
 )
 def monthly_median(spark, sf):
-    m = read(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").alias("m"), F.col("o_orderstatus").alias("status")).agg(F.round(F.median("o_totalprice"), 4).alias("median_price"), F.count("*").alias("n")).filter("n >= 15")
-    before = F.lag("m").over(Window.partitionBy("status").orderBy("m"))
-    return m.select(F.date_format("m", "yyyy-MM").alias("month"), "status", "median_price", "n", F.coalesce(F.months_between("m", before) > 1, F.lit(False)).alias("after_gap"))
+    m = tables.medians_by_month(read(spark, sf, "orders"), "o_orderdate", F.col("o_totalprice"), "o_orderstatus")
+    return m.select("month", F.col("by").alias("status"), F.round("median", 4).alias("median_price"), "n", "after_gap")
 
 
 @query(
     """SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source NOT IN ('src0', 'src1')) AS others FROM documents GROUP BY ALL"""
 )
 def pivot_by_source(spark, sf):
-    s = F.when(F.col("source").isin("src0", "src1"), F.col("source")).otherwise("others")
-    rows = read(spark, sf, "documents").select("lang", s.alias("s"))
-    return rows.groupBy("lang").pivot("s", ["src0", "src1", "others"]).count().na.fill(0)
+    return tables.counts_by(read(spark, sf, "documents"), "lang", F.col("source"), ["src0", "src1"])
 
 
 @query(
@@ -431,22 +562,7 @@ def pivot_by_source(spark, sf):
 SELECT CAST(least(floor((v - lo) / (hi - lo) * 60), 59) AS BIGINT) AS bin, count(*) AS n FROM b, r GROUP BY ALL"""
 )
 def price_histogram(spark, sf):
-    v = read(spark, sf, "orders").select(F.log("o_totalprice").alias("v"))
-    r = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 60), F.lit(59))
-    return v.join(F.broadcast(r)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))  # one row
-
-
-@query(
-    """WITH t AS (SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL ORDER BY n DESC, p_brand LIMIT 5),
-d AS (SELECT l_extendedprice / l_quantity AS u, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT t.p_brand, t.n, round(median(u), 4) AS median_elsewhere FROM t JOIN d ON d.p_brand <> t.p_brand GROUP BY ALL"""
-)
-def leave_one_out(spark, sf):
-    d = listings(spark, sf).select("p_brand", (F.col("l_extendedprice") / F.col("l_quantity")).alias("u"))
-    top = d.groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand").limit(5)
-    others = d.select(F.col("p_brand").alias("other"), "u").join(F.broadcast(top), F.col("other") != F.col("p_brand"))  # five rows
-    return others.groupBy("p_brand", "n").agg(F.round(F.median("u"), 4).alias("median_elsewhere"))
+    return tables.histogram(read(spark, sf, "orders"), F.log("o_totalprice")).select("bin", "n")
 
 
 _RESULTS = "(SELECT p_brand AS model, round(avg(p_retailprice), 6) AS mae, round(stddev_samp(p_retailprice), 6) AS std FROM part GROUP BY ALL)"
@@ -463,8 +579,7 @@ def leading_models(spark, sf):
 
 @query(f"WITH r AS {_RESULTS} SELECT model, mae, round(mae - first_value(mae) OVER (ORDER BY model), 6) AS to_first, round(mae - lag(mae) OVER (ORDER BY model), 6) AS to_previous FROM r")
 def delta_table(spark, sf):
-    w = Window.orderBy("model")  # one row per model
-    return _results(spark, sf).select("model", "mae", F.round(F.col("mae") - F.first("mae").over(w), 6).alias("to_first"), F.round(F.col("mae") - F.lag("mae").over(w), 6).alias("to_previous"))
+    return tables.changes(_results(spark, sf), "mae", "model").select("model", "mae", "to_first", "to_previous")
 
 
 @query(
@@ -499,7 +614,7 @@ def model_errors(spark, sf):
 
 
 def _dated_listings(spark, sf):
-    line = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    line = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     part = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("fold", (F.col("l_orderkey") % 5).cast("int"))
 
@@ -552,17 +667,42 @@ def feature_ablation(spark, sf):
     return experiments.catalogue(models, _dated_listings(spark, sf), "l_extendedprice")
 
 
-@query()
+@query(
+    f"WITH k AS (SELECT unnest({list(experiments.FRACTIONS)}) AS k)"
+    + _CASES.format(train="l_orderkey % 5 > 0 AND CAST(CAST('0x' || substr(md5('42|' || l_orderkey), 1, 15) AS BIGINT) AS DOUBLE) / 1152921504606846976.0 < k", test="l_orderkey % 5 = 0")
+    + f", z AS (SELECT CAST(k AS DOUBLE) AS fraction, {_ERRORS}, median(abs(p - l_extendedprice) / l_extendedprice) * 100 AS m FROM x GROUP BY ALL) SELECT * EXCLUDE m, round(m - lag(m) OVER (ORDER BY fraction), 5) AS change FROM z"
+)
 def learning_curve(spark, sf):
     d = _dated_listings(spark, sf)
-    return experiments.learning_curve(_BROKER, d.filter("fold > 0"), d.filter("fold = 0"), "l_orderkey", "l_extendedprice")
+    c = experiments.learning_curve(_BROKER, d.filter("fold > 0"), d.filter("fold = 0"), "l_orderkey", "l_extendedprice")
+    return _rounded(c.withColumn("change", F.round("change", 5)), "fraction", "change")
+
+
+def _importance_sql() -> str:
+    """The back-off median's error with one column of the test rows dealt anew, by md5 order of seed and id, five times."""
+    parts = []
+    for seed in range(42, 47):
+        for c in ("l_quantity", "p_brand", "p_type"):
+            own = ", ".join(f"v.{x}" if x == c else f"e.{x}" for x in ("l_quantity", "p_brand", "p_type"))
+            parts.append(f"SELECT '{c}' AS c, {seed} AS seed, e.l_extendedprice, {own} FROM e JOIN (SELECT *, row_number() OVER (ORDER BY md5('{seed}|' || id), id) AS at FROM e) v ON e.place = v.at")
+    return (
+        """WITH d AS (SELECT l_orderkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_extendedprice, l_quantity, p_brand, p_type, l_extendedprice / l_quantity AS u FROM lineitem JOIN part ON l_partkey = p_partkey),
+t AS (SELECT * FROM d WHERE l_orderkey % 5 > 0), e AS (SELECT *, row_number() OVER (ORDER BY id) AS place FROM d WHERE l_orderkey % 5 = 0),
+m2 AS (SELECT p_brand, p_type, median(u) AS m2 FROM t GROUP BY ALL), m1 AS (SELECT p_brand, median(u) AS m1 FROM t GROUP BY ALL), m0 AS (SELECT median(u) AS m0 FROM t),
+s AS (SELECT '' AS c, 0 AS seed, l_extendedprice, l_quantity, p_brand, p_type FROM e UNION ALL """
+        + " UNION ALL ".join(parts)
+        + """), r AS (SELECT c, seed, median(abs(coalesce(m2, m1, m0) * l_quantity - l_extendedprice) / l_extendedprice) * 100 AS mdape
+  FROM s LEFT JOIN m2 USING (p_brand, p_type) LEFT JOIN m1 USING (p_brand), m0 GROUP BY ALL)
+SELECT c AS "column", round(avg(mdape - (SELECT mdape FROM r WHERE c = '')), 5) AS importance, round(stddev_samp(mdape), 5) AS std FROM r WHERE c <> '' GROUP BY ALL"""
+    )
 
 
-@query()
+@query(_importance_sql())
 def permutation_importance(spark, sf):
-    d = _dated_listings(spark, sf).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    d = _dated_listings(spark, sf).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     test = d.filter("fold = 0")
-    return experiments.permutation_importance(lambda t: _BROKER(d.filter("fold > 0"), t), test, ["l_quantity", "p_brand", "p_type"], "id", "l_extendedprice")
+    found = experiments.permutation_importance(lambda t: _BROKER(d.filter("fold > 0"), t), test, ["l_quantity", "p_brand", "p_type"], "id", "l_extendedprice")
+    return found.select("column", F.round("importance", 5).alias("importance"), F.round("std", 5).alias("std"))
 
 
 @query()
@@ -608,3 +748,36 @@ def gateway_listings(spark, sf):
     mapping = _mapping(spark, sf).withColumn("new_ward", F.col("new_ward").cast("string"))
     out = sources.unified([sources.from_gateway(records, mapping, "g")]).withColumns({"day": F.date_format("published_at", "yyyy-MM-dd"), "total": F.col("total_price_vnd")})
     return out.select("listing_id", "day", "total", "price_kind", "area_m2", "bedrooms", "bedrooms_from_text", "position", "legal_status", "direction", "property_type", "ward", "district", "ward_frame")
+
+
+@query(
+    """SELECT 'p-' || p_partkey AS listing_id, '2024-12-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS day, CASE WHEN p_partkey % 2 = 0 THEN 5000000000.0::DOUBLE ELSE p_size * 1e9::DOUBLE END AS total,
+  CASE WHEN p_partkey % 2 = 0 THEN 'structured' ELSE 'total' END AS price_kind, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + 20 AS DOUBLE) ELSE CAST(p_size + 30 AS DOUBLE) END AS area_m2, p_partkey % 3 <> 0 AS area_from_text,
+  CASE WHEN p_partkey % 5 = 0 THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END AS bedrooms, 3.0::DOUBLE AS floors, true AS floors_from_text, CASE WHEN p_partkey % 2 = 0 THEN 'sổ đỏ' ELSE 'sổ hồng' END AS legal_status, 'Lê Lợi' AS street,
+  'Phường ' || (p_size % 9 + 1) AS ward, 'Quận ' || (p_size % 5 + 3) AS district, 'old' AS ward_frame FROM part"""
+)
+def page_listings(spark, sf):
+    records = read(spark, sf, "part").selectExpr(
+        "CAST(p_partkey AS STRING) AS listing_id", "'Nhà 1 trệt 2 lầu' AS title", "concat('Sổ hồng, 2 phòng ngủ, dt ', p_size + 30, 'm2') AS description", "CASE WHEN p_partkey % 2 = 0 THEN '5000000000' END AS price_vnd_ld",
+        "concat(p_size, ' tỷ') AS price_text", "CASE WHEN p_partkey % 3 = 0 THEN concat(p_size + 20, ' m2') ELSE '' END AS usable_area_text", "CAST(NULL AS STRING) AS land_area_text", "CAST(NULL AS STRING) AS area_text",
+        "CASE WHEN p_partkey % 5 = 0 THEN '3' END AS bedrooms_text", "CAST(NULL AS STRING) AS floors_text", "CAST(NULL AS STRING) AS bathrooms_text", "CAST(NULL AS STRING) AS frontage_text",
+        "CASE WHEN p_partkey % 2 = 0 THEN 'sổ đỏ' ELSE ' ' END AS legal_status", "'Đông' AS direction", "'House' AS property_type_ld", "concat('Lê Lợi, Phường ', p_size % 9 + 1, ', Quận ', p_size % 5 + 3, ', TPHCM') AS address",
+        "concat(lpad(CAST(p_partkey % 28 + 1 AS STRING), 2, '0'), '/12/2024') AS posted_at_text", "CAST(NULL AS DOUBLE) AS latitude", "CAST(NULL AS DOUBLE) AS longitude", "CAST(NULL AS TIMESTAMP) AS _collected_at",
+    )
+    mapping = _mapping(spark, sf).withColumn("new_ward", F.col("new_ward").cast("string"))
+    out = sources.unified([sources.from_pages(records, mapping, "p")]).withColumns({"day": F.date_format("published_at", "yyyy-MM-dd"), "total": F.col("total_price_vnd")})
+    return out.select("listing_id", "day", "total", "price_kind", "area_m2", "area_from_text", "bedrooms", "floors", "floors_from_text", "legal_status", "street", "ward", "district", "ward_frame")
+
+
+@query(
+    """SELECT 'h-' || p_partkey AS listing_id, p_retailprice * 1000000 AS total, CAST(p_size AS DOUBLE) AS area_m2, CASE WHEN p_partkey % 2 = 0 THEN 5.0::DOUBLE ELSE 3.0::DOUBLE END AS floors, p_partkey % 2 = 1 AS floors_from_text,
+  CASE WHEN p_partkey % 3 = 0 THEN 'Đông' ELSE 'không rõ' END AS direction, 'Biệt thự' AS property_type, 'Phường ' || (p_size % 9 + 1) AS ward, 'Quận ' || (p_size % 5 + 3) AS district, 'không rõ' AS street FROM part"""
+)
+def history_listings(spark, sf):
+    table = read(spark, sf, "part").selectExpr(
+        "p_partkey AS k", "'Nhà 3 tầng' AS name", "CAST(NULL AS STRING) AS description", "p_retailprice * 1000000 AS price", "CAST(NULL AS TIMESTAMP) AS published_at", "CAST(p_size AS DOUBLE) AS area", "2 AS bedroom_count", "1 AS bathroom_count",
+        "CASE WHEN p_partkey % 2 = 0 THEN 5 END AS floor_count", "CAST(NULL AS DOUBLE) AS frontage_width", "CAST(NULL AS DOUBLE) AS road_width", "CASE WHEN p_partkey % 3 = 0 THEN 'Đông' END AS house_direction", "'Biệt thự' AS property_type_name",
+        "CAST(NULL AS STRING) AS street_name", "concat('P.', p_size % 9 + 1) AS ward_name", "concat('Q.', p_size % 5 + 3) AS district_name",
+    )
+    out = sources.unified([sources.from_history(table, "h", "k")]).withColumn("total", F.col("total_price_vnd"))
+    return out.select("listing_id", "total", "area_m2", "floors", "floors_from_text", "direction", "property_type", "ward", "district", "street")

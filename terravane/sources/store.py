@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from terravane.operators.shared import placed
+from terravane.operators.shared import placed, remove
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -48,6 +49,32 @@ def append(records: DataFrame, path: str, id_: str, source: str, url: Column | N
     return int(seen_rows.get["n"])
 
 
+class Checkpoint:
+    """A small state by name, as one JSON text in a folder that Spark can write. What can't be read counts as empty."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.data = self._load()
+
+    def _load(self) -> dict:
+        try:
+            found = json.loads("".join(r["value"] for r in self.spark.read.text(self.path).collect()))
+        except Exception:  # absent, cut off or no JSON: the crawl starts anew, and known ids keep it from writing twice
+            return {}
+        return found if isinstance(found, dict) else {}
+
+    def get(self, key: str, default: object = None) -> object:
+        return self.data.get(key, default)
+
+    def save(self, **values: object) -> None:
+        self.data |= values
+        self.spark.createDataFrame([(json.dumps(self.data, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+
+    def reset(self) -> None:
+        self.data = {}
+        remove(self.spark, self.path)
+
+
 def stop_after_known(rows: DataFrame, seen: DataFrame, id_: str, order: str, limit: int = 120) -> DataFrame:
     """Rows of a listing in its order up to the point where ``limit`` consecutive ones are known; only the new ones.
 
@@ -94,6 +121,11 @@ class _PagedReader(DataSourceReader):
         yield from self.fetch(partition.partition, partition.offset, int(self.options.get("page_size", 20)))
 
 
+def first_seen(records: DataFrame, id_: str, at: Column) -> DataFrame:
+    """(id, first): when each id came first. A partial minimum, so ids of many records meet in no task."""
+    return records.groupBy(F.col(id_).alias("id")).agg(F.min(at).alias("first"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Per column: type, share of non-null rows and an example (40 characters, the smallest), in one pass."""
     aggs = [x for i, c in enumerate(df.columns) for x in (F.count(F.col(c)).alias(f"n{i}"), F.substring(F.min(F.col(c).cast("string")), 1, 40).alias(f"e{i}"))]
