@@ -108,21 +108,29 @@ def learning_curve(model: Model, train: DataFrame, test: DataFrame, id_: str, la
     return found.withColumn("change", F.col("mdape") - F.lag("mdape").over(Window.orderBy("fraction")))  # one row per share
 
 
+def _dealt(df: DataFrame, columns: Sequence[str], id_: str, seed: int) -> DataFrame:
+    """(_at, columns): values in a hash order of the ids."""
+    order = [F.md5(modeling.seeded(F.col(id_), seed)).asc(), F.col(id_).asc()]
+    return placed(df.select(F.col(id_), *(F.col(c).alias(f"_new_{c}") for c in columns if c != id_)), [], order, "_at", "_all").drop(id_, "_all")
+
+
 def shuffled(df: DataFrame, column: str, id_: str, seed: int) -> DataFrame:
     """The table with one column dealt anew: the row at a place in the ids' order takes the value of the row at that place in a hash
     order. Both places come from range partitionings, so rows never meet in one task."""
-    order = [F.md5(modeling.seeded(F.col(id_), seed)).asc(), F.col(id_).asc()]
-    values = placed(df.select(id_, F.col(column).alias("_value")), [], order, "_at", "_all").select("_at", "_value")
     rows = placed(df, [], [F.col(id_).asc()], "_place", "_all")
-    return rows.join(values, F.col("_place") == F.col("_at")).withColumn(column, F.col("_value")).select(*df.columns)
+    joined = rows.join(_dealt(df, [column], id_, seed), F.col("_place") == F.col("_at"))
+    return joined.withColumn(column, F.col(f"_new_{column}")).select(*df.columns)
 
 
 def permutation_importance(predict: Callable[[DataFrame], DataFrame], test: DataFrame, columns: Sequence[str], id_: str, label: str, repeats: int = 5, seed: int = modeling.SEED) -> DataFrame:
-    """How much the MdAPE of a fitted model rises when a column is dealt anew: mean and deviation over the repeats, largest first."""
+    """How much the MdAPE of a fitted model rises when a column is dealt anew: mean and deviation over the repeats, largest first. Rows
+    are placed once, and once for each repeat in a hash order that all columns share."""
     plain = errors({"": predict(test)}, label, "column").select(F.col("mdape").alias("plain"))
-    out = None
-    for c in columns:
-        own = errors({k: predict(shuffled(test, c, id_, seed + k)) for k in range(repeats)}, label, "repeat").select(F.lit(c).alias("column"), "mdape")
-        out = own if out is None else out.unionByName(own)
+    rows, out = cut(placed(test, [], [F.col(id_).asc()], "_place", "_all")), None
+    for k in range(repeats):
+        both = cut(rows.join(_dealt(test, columns, id_, seed + k), F.col("_place") == F.col("_at")))
+        for c in columns:
+            own = errors({c: predict(both.withColumn(c, F.col(f"_new_{c}")).select(*test.columns))}, label, "column").select("column", "mdape")
+            out = own if out is None else out.unionByName(own)
     rise = out.join(F.broadcast(plain)).withColumn("rise", F.col("mdape") - F.col("plain"))  # one row
     return rise.groupBy("column").agg(F.avg("rise").alias("importance"), F.stddev_samp("rise").alias("std")).orderBy(F.desc("importance"), "column")

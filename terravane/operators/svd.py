@@ -38,7 +38,7 @@ def _gram_times(rows: DataFrame, column: str, basis: np.ndarray) -> np.ndarray:
             a = np.stack(p[column].to_numpy()) if len(p) else np.zeros((0, len(basis)))
             total += a.T @ (a @ basis)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pd.DataFrame({"feature": used, "sums": list(total[used])})
+        yield pd.DataFrame({"feature": used, "sums": pd.Series(list(total[used]), dtype=object)})
 
     sums = rows.select(column).mapInPandas(run, "feature long, sums array<double>")
     added = sums.groupBy("feature").agg(F.array(*(F.sum(F.col("sums")[k]) for k in range(width))).alias("sums"))
@@ -94,6 +94,6 @@ class TruncatedSVDModel(Model, _Params):
 
         @F.pandas_udf("array<double>")
         def project(x: pd.Series) -> pd.Series:
-            return pd.Series(list(np.stack(x.to_numpy()) @ basis)) if len(x) else pd.Series([], dtype=object)
+            return pd.Series(list(np.stack(x.to_numpy()) @ basis) if len(x) else [], dtype=object)
 
         return dataset.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))

@@ -605,6 +605,7 @@ def stream_dedup(spark, sf):
 def model_errors(spark, sf):
     d = read(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", F.when(F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0, "test").otherwise("train").alias("role"))
     prep = modeling.feature_pipeline(["l_quantity", "l_discount"], ["l_returnflag"]).fit(d.filter("role = 'train'")).transform(d)
+    prep = shared.cut(prep.select("l_extendedprice", "features", "role"))  # six models read it, some of them many times
     train, test = prep.filter("role = 'train'"), prep.filter("role = 'test'")
     out = None
     for name, model in modeling.registry().items():
@@ -701,7 +702,8 @@ SELECT c AS "column", round(avg(mdape - (SELECT mdape FROM r WHERE c = '')), 5)
 def permutation_importance(spark, sf):
     d = _dated_listings(spark, sf).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     test = d.filter("fold = 0")
-    found = experiments.permutation_importance(lambda t: _BROKER(d.filter("fold > 0"), t), test, ["l_quantity", "p_brand", "p_type"], "id", "l_extendedprice")
+    levels = [shared.cut(level) for level in modeling.fit_backoff(d.filter("fold > 0"), GROUPS, "l_extendedprice", "l_quantity")]
+    found = experiments.permutation_importance(lambda t: modeling.predict_backoff(t, levels, GROUPS, "l_quantity"), test, ["l_quantity", "p_brand", "p_type"], "id", "l_extendedprice")
     return found.select("column", F.round("importance", 5).alias("importance"), F.round("std", 5).alias("std"))
 
 

@@ -58,7 +58,8 @@ def leaders(payload: Payload) -> list[dict]:
     """Models that the folds can't tell from the best one: within one deviation of it, baselines left out."""
     own = [m for m in payload["models"] if m["tier"] != TIERS[0]]
     best = min(own, key=lambda m: m["cv_mean"]["mdape"])
-    return [m for m in own if m["cv_mean"]["mdape"] <= best["cv_mean"]["mdape"] + (best["cv_std"]["mdape"] or 0)]
+    near = [m for m in own if m["cv_mean"]["mdape"] <= best["cv_mean"]["mdape"] + (best["cv_std"]["mdape"] or 0)]
+    return sorted(near, key=lambda m: m["cv_mean"]["mdape"])
 
 
 def budget_note(payload: Payload) -> str:

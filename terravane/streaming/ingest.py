@@ -12,20 +12,17 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: Fixed value: the provider that keeps state on disk, so that ids need not fit in memory.
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, id_: str) -> StreamingQuery:
-    """Append each id once to ``path``: what the batch repeats goes, what the store knows goes (anti-join). One run takes all that
-    is there and ends; the checkpoint remembers it, and a batch that is tried again adds nothing."""
-
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([id_])
-        known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            fresh = fresh.join(known.parquet(path).select(id_), id_, "left_anti")
-        fresh.select(*batch.columns).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append each id once to ``path``. The ids are the query's state, dealt by hash: a batch meets only its own ids there, and the
+    store is never read again. One run takes all that is there and ends; the checkpoint remembers files and ids, and a batch that
+    is tried again adds nothing, as the files of a sink count once. ``path`` belongs to this query alone."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    out = stream.dropDuplicates([id_]).writeStream.format("parquet").option("path", path)
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, id_: str, time: str, lateness: str = "1 day") -> DataFrame:

@@ -21,7 +21,7 @@ OTHER = [
     "Đăng ngày 01.02.2026, sổ hồng riêng", "Hẻm 6m thông, cách chợ 300m, xây năm 2018", "Mặt tiền đường Trường Chinh, ngang 4m dài 15m", "Căn hộ 2PN 2WC, 68m2, ban công hướng Đông Nam", "", "OO lll",
 ]
 AREAS = [
-    ("nha 50mx dt 50m", 50.0), ("dt 50m", 50.0), ("ban nha 60mat, dien tich 60m gia tot", 60.0), ("dt 55m2, cong nhan 48,5 m2, xay 50m2", 48.5), ("cach cho 500m, nha 4x16", 64.0), ("4m x 15m", 60.0),
+    ("nha 50mx dt 50m", 50.0), ("dt 50m", 50.0), ("ban nha 60mat, dien tich 60m gia tot", 60.0), ("dt 55m2, cong nhan 48,5 m2, xay 50m2", 55.0), ("dt 55m2 xay dung kien co va thoang mat, cong nhan 48,5 m2", 48.5), ("cach cho 500m, nha 4x16", 64.0), ("4m x 15m", 60.0),
     ("100m2 5x20", 100.0), ("hem 6m", None), ("dt: 9 m2", None), ("cong nhan 40m2 va cong nhan 45m2", 40.0), ("dt 70mx 20, dt 80 mv", 80.0), ("", None), (None, None), ("50m2 50m2 dtcn 50m2x", 50.0),
 ]
 
