@@ -136,15 +136,17 @@ def _templates(texts: dict[tuple[str, str], str]) -> list[Template]:
 
 def starts(words: list[str], template: Template) -> Iterator[int]:
     """Places of one of the template's first words from which the next ``reach`` words hold enough of the template, counted as sets
-    with repeats: no passage starts anywhere else. One pass with a sliding window."""
+    with repeats: no passage starts anywhere else. One pass with a sliding window over the template's words alone."""
+    places = [i for i, w in enumerate(words) if w in template.count]
     have: Counter = Counter()
     shared, end = 0, 0
-    for i, w in enumerate(words):
-        while end < min(len(words), i + template.reach):
-            new = words[end]
+    for i in places:
+        while end < len(places) and places[end] < i + template.reach:
+            new = words[places[end]]
             have[new] += 1
             shared += have[new] <= template.count[new]
             end += 1
+        w = words[i]
         if shared >= template.need and w in template.first:
             yield i
         shared -= have[w] <= template.count[w]
@@ -189,6 +191,8 @@ def scan(text: str, templates: list[Template]) -> list[tuple[str, str, float, in
     if not able:
         return []
     words = _TOKEN.findall(low)
+    have = Counter(words)
+    able = [t for t in able if sum(min(n, have[w]) for w, n in t.count.items() if w in have) >= t.need]  # the whole text has enough of it
     return best_apart([f for t in able for f in passages(words, t)])
 
 
