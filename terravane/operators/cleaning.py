@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.text import UNKNOWN
+from terravane.operators.shared import cut, quantiles
 
 #: Fixed values.
 VALID_AREA, VALID_PRICE = (10.0, 1000.0), (3e8, 1e11)
@@ -49,11 +50,11 @@ def hard_rules(area: str = "area_m2", price: str = "total_price_vnd", rental: st
 def fit_fences(df: DataFrame, group: str, value: Column, min_rows: int = IQR_MIN_ROWS, factor: float = IQR_FACTOR) -> DataFrame:
     """Tukey fences of a value by group: (group, n, lo, hi, basis, keep_share), with a row of null group for all rows. Groups below
     ``min_rows`` get the fence of all rows."""
-    rows = df.select(F.col(group).alias("grp"), value.alias("v")).filter(F.col("v").isNotNull())
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = lambda d: d.select("*", (F.col("q")[0] - factor * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + factor * (F.col("q")[1] - F.col("q")[0])).alias("hi")).drop("q")
-    every = bounds(rows.agg(F.count("*").alias("all_n"), q.alias("q"))).withColumnsRenamed({"lo": "all_lo", "hi": "all_hi"})
-    own = bounds(rows.groupBy("grp").agg(F.count("*").alias("n"), q.alias("q")))
+    rows = cut(df.select(F.col(group).alias("grp"), value.alias("v")).filter(F.col("v").isNotNull()))
+    lo, hi = (F.col("q0") - factor * (F.col("q1") - F.col("q0"))), (F.col("q1") + factor * (F.col("q1") - F.col("q0")))
+    every = rows.agg(F.count("*").alias("all_n")).join(F.broadcast(quantiles(rows, [], F.col("v"), [0.25, 0.75]))).select("all_n", lo.alias("all_lo"), hi.alias("all_hi"))  # one row
+    own = quantiles(rows, ["grp"], F.col("v"), [0.25, 0.75]).select(F.col("grp").alias("of"), lo.alias("lo"), hi.alias("hi"))
+    own = rows.groupBy("grp").agg(F.count("*").alias("n")).join(own, F.col("grp").eqNullSafe(F.col("of"))).drop("of")
     enough = F.col("n") >= min_rows
     fences = own.join(F.broadcast(every)).select(  # one row
         "grp",
@@ -62,6 +63,7 @@ def fit_fences(df: DataFrame, group: str, value: Column, min_rows: int = IQR_MIN
         F.when(enough, F.col("hi")).otherwise(F.col("all_hi")).alias("hi"),
         F.when(enough, F.lit("group")).otherwise(F.lit("all")).alias("basis"),
     )
+    fences = cut(fences)
     shares = rows.join(fences.select(F.col("grp").alias("g"), "lo", "hi"), F.col("grp").eqNullSafe(F.col("g")))
     shares = shares.groupBy("grp").agg(F.avg(F.col("v").between(F.col("lo"), F.col("hi")).cast("int")).alias("keep_share"))
     joined = fences.join(shares.withColumnRenamed("grp", "g"), F.col("grp").eqNullSafe(F.col("g"))).drop("g")
@@ -79,9 +81,12 @@ def within_fences(df: DataFrame, fences: DataFrame, group: str, value: Column) -
 
 
 def fit_medians(df: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Medians by group and of all rows."""
-    agg = [F.median(c).alias(f"median_{c}") for c in columns]
-    return df.groupBy(*groups).agg(*agg), df.agg(*(a.alias(f"all_{c}") for a, c in zip((F.median(c) for c in columns), columns, strict=True)))
+    """Medians by group and of all rows, of all columns at once."""
+    long = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns)))
+    rows = cut(df.select(*groups, long.alias("_c")).select(*groups, F.col("_c.name").alias("_name"), F.col("_c.value").alias("_value")))
+    wide = lambda prefix: [F.max(F.when(F.col("_name") == c, F.col("q0"))).alias(f"{prefix}_{c}") for c in columns]
+    by_group = quantiles(rows, [*groups, "_name"], F.col("_value"), [0.5]).groupBy(*groups).agg(*wide("median"))
+    return by_group, quantiles(rows, ["_name"], F.col("_value"), [0.5]).agg(*wide("all"))
 
 
 def impute(df: DataFrame, fitted: tuple[DataFrame, DataFrame], columns: Sequence[str], groups: Sequence[str]) -> DataFrame:

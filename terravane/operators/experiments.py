@@ -56,7 +56,7 @@ def errors(parts: Mapping[object, DataFrame], label: str, name: str, scale: floa
     for key, df in parts.items():
         own = df.select(F.lit(key).alias(name), F.col(label).alias("true"), F.col("prediction").alias("predicted"))
         out = own if out is None else out.unionByName(own)
-    return out.groupBy(name).agg(*modeling.metrics("true", "predicted", scale))
+    return modeling.measure(cut(out), "true", "predicted", scale, [name])
 
 
 def cross_validate(model: Model, rows: DataFrame, label: str, fold: str = "fold", folds: int = modeling.FOLDS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.functions.text import UNKNOWN
-from terravane.operators.shared import placed
+from terravane.operators.shared import cut, placed, quantiles
 
 WEAK_SHARE, FOLDS, TEST_SHARE, SEED = 0.60, 5, 0.20, 42
 #: Columns that hold the label.
@@ -53,11 +53,10 @@ def resolve_wards(df: DataFrame, mapping: DataFrame, old: str, new: str, distric
 
 def fit_backoff(train: DataFrame, groups: Sequence[str], price: str, area: str) -> list[DataFrame]:
     """Medians of the unit price by all groups, then by fewer and fewer, then of all rows (u<k> with k groups)."""
-    unit = F.median(F.col(price) / F.col(area))
-    levels = []
+    rows, levels = cut(train.select(*groups, (F.col(price) / F.col(area)).alias("_unit"))), []
     for k in range(len(groups), -1, -1):
-        named = [F.col(g).alias(f"l{k}_{g}") for g in groups[:k]]
-        levels.append(train.groupBy(*named).agg(unit.alias(f"u{k}")) if k else train.agg(unit.alias("u0")))
+        found = quantiles(rows, groups[:k], F.col("_unit"), [0.5])
+        levels.append(found.select(*(F.col(g).alias(f"l{k}_{g}") for g in groups[:k]), F.col("q0").alias(f"u{k}")))
     return levels
 
 
@@ -69,20 +68,22 @@ def predict_backoff(df: DataFrame, levels: list[DataFrame], groups: Sequence[str
     return out.withColumn("prediction", F.coalesce(*(F.col(f"u{k}") for k in range(top, -1, -1))) * F.col(area)).select(*df.columns, "prediction")
 
 
-def metrics(true: str, predicted: str, scale: float = 1e9) -> list[Column]:
-    """n, n_non_finite, rmse, mae (both over ``scale``), mdape (percent, true above 0) and r2 over finite pairs."""
+def measure(df: DataFrame, true: str, predicted: str, scale: float = 1e9, by: Sequence[str] = ()) -> DataFrame:
+    """By group, or of all rows: n, n_non_finite, rmse, mae (both over ``scale``), mdape (percent, true above 0) and r2 over finite pairs."""
     t, p = F.col(true).cast("double"), F.col(predicted).cast("double")
     ok = t.isNotNull() & p.isNotNull() & ~F.isnan(t) & ~F.isnan(p) & (F.abs(t) < float("inf")) & (F.abs(p) < float("inf"))
-    tt, err = F.when(ok, t), F.when(ok, p - t)
-    n = F.count(err)
-    return [
+    rows = df.select(*by, F.when(ok, t).alias("_t"), F.when(ok, p - t).alias("_e"))
+    n = F.count("_e")
+    sums = rows.groupBy(*by).agg(
         n.alias("n"),
         (F.count("*") - n).alias("n_non_finite"),
-        (F.sqrt(F.avg(err * err)) / scale).alias("rmse"),
-        (F.avg(F.abs(err)) / scale).alias("mae"),
-        (F.median(F.when(tt > 0, F.abs(err) / tt)) * 100).alias("mdape"),
-        F.when(n > 1, 1 - F.try_divide(F.sum(err * err), F.var_pop(tt) * n)).alias("r2"),
-    ]
+        (F.sqrt(F.avg(F.col("_e") * F.col("_e"))) / scale).alias("rmse"),
+        (F.avg(F.abs("_e")) / scale).alias("mae"),
+        F.when(n > 1, 1 - F.try_divide(F.sum(F.col("_e") * F.col("_e")), F.var_pop("_t") * n)).alias("r2"),
+    )
+    middle = quantiles(rows, by, F.when(F.col("_t") > 0, F.abs("_e") / F.col("_t")), [0.5]).select(*(F.col(g).alias(f"{g}_of") for g in by), (F.col("q0") * 100).alias("mdape"))
+    joined = sums.join(middle, [F.col(g).eqNullSafe(F.col(f"{g}_of")) for g in by], "left") if by else sums.join(F.broadcast(middle))  # one row
+    return joined.select(*by, "n", "n_non_finite", "rmse", "mae", "mdape", "r2")
 
 
 def price_bin(price: Column, edges: Sequence[float] = (0, 2e9, 5e9, 1e10)) -> Column:
@@ -95,10 +96,9 @@ def price_bin(price: Column, edges: Sequence[float] = (0, 2e9, 5e9, 1e10)) -> Co
 
 def with_strata(df: DataFrame, place: str, price: str, min_rows: int = 10) -> DataFrame:
     """Column stratum: place and price quartile (a, b]; strata below ``min_rows`` are pooled."""
-    cuts = df.agg(F.percentile(price, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
-    rows = df.join(F.broadcast(cuts))  # one row
-    q = F.when(F.col(price) <= F.col("cuts")[0], 0).when(F.col(price) <= F.col("cuts")[1], 1).when(F.col(price) <= F.col("cuts")[2], 2).otherwise(3)
-    rows = rows.withColumn("own", F.concat_ws("|", F.col(place), q.cast("string"))).drop("cuts")
+    rows = df.join(F.broadcast(quantiles(df, [], F.col(price), [0.25, 0.5, 0.75])))  # one row
+    q = F.when(F.col(price) <= F.col("q0"), 0).when(F.col(price) <= F.col("q1"), 1).when(F.col(price) <= F.col("q2"), 2).otherwise(3)
+    rows = rows.withColumn("own", F.concat_ws("|", F.col(place), q.cast("string"))).drop("q0", "q1", "q2")
     sizes = rows.groupBy("own").agg(F.count("*").alias("own_rows"))
     return rows.join(sizes, "own").withColumn("stratum", F.when(F.col("own_rows") >= min_rows, F.col("own")).otherwise("other")).drop("own", "own_rows")
 
@@ -176,7 +176,7 @@ def evaluate(model: object, train: DataFrame, test: DataFrame, label: str, name:
     """Fit on the logarithm of the label; errors of the test rows on its own scale."""
     fitted = model.fit(train.withColumn("log_label", F.log(label)))
     scored = fitted.transform(test).withColumn("predicted", F.exp("log_prediction"))
-    return scored.agg(*metrics(label, "predicted", 1.0)).withColumn("model", F.lit(name))
+    return measure(scored, label, "predicted", 1.0).withColumn("model", F.lit(name))
 
 
 def right_closed(splits: Sequence[float], column: str, out: str) -> Bucketizer:

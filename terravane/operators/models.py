@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators import experiments, modeling
 from terravane.operators.experiments import Model
-from terravane.operators.shared import cut
+from terravane.operators.shared import cut, quantiles
 
 TIERS = ("0 · mốc", "1 · tuyến tính", "2 · chủ lực", "3 · mở rộng")
 #: Test rows that the nearest-neighbour model answers at once: they are sent to all tasks.
@@ -47,7 +47,7 @@ class ModelSpec:
 
 def constant_median(label: str) -> Model:
     """The training rows' median for every row."""
-    return lambda train, test: test.join(F.broadcast(train.agg(F.median(label).alias("prediction"))))  # one row
+    return lambda train, test: test.join(F.broadcast(quantiles(train, [], F.col(label), [0.5]).withColumnRenamed("q0", "prediction")))  # one row
 
 
 def _fitted(features: Pipeline, train: DataFrame, test: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:

@@ -86,6 +86,46 @@ def placed(df: DataFrame, groups: Sequence[str], order: Sequence[Column], place:
     return joined.withColumn(place, F.col("_index") + F.col("_shift")).select(*df.columns, place, total)
 
 
+#: Relative error of the ranks that bracket a quantile, and the half width of the bracket.
+ACCURACY, MARGIN = 10_000, 2e-4
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], value: Column, shares: Sequence[float]) -> DataFrame:
+    """(groups, q0, q1 ..): exact quantiles of a value by group, between two values in proportion; nulls don't count, a group of nulls
+    has no row. No groups give one row.
+
+    An exact percentile keeps every distinct value of a group in one task. Here approximate ones, whose error is bounded,
+    bracket each quantile first; then rows below a bracket are counted, and those inside it, some ten-thousandths of all,
+    counted by value. Both are partial sums, and only the values inside brackets meet.
+    """
+    names = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(*(F.col(g).alias(n) for g, n in zip(groups, names, strict=True)), value.cast("double").alias("_v"))
+    ends = [min(max(p + e, 0.0), 1.0) for p in shares for e in (-MARGIN, MARGIN)]
+    known = F.count("_v").alias("_n")
+    brackets = rows.groupBy(*names).agg(known, F.percentile_approx("_v", ends, ACCURACY).alias("_ends"))
+    one = F.array(*(F.struct(F.lit(i).alias("i"), F.col("_ends")[2 * i].alias("lo"), F.col("_ends")[2 * i + 1].alias("hi"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank")) for i, p in enumerate(shares)))
+    brackets = brackets.select(*(F.col(n).alias(f"{n}b") for n in names), F.explode(one).alias("_b"))
+    on = [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in names]
+    both = rows.filter("_v IS NOT NULL").join(brackets, on) if names else rows.filter("_v IS NOT NULL").join(F.broadcast(brackets))  # a row per share
+    zone = F.when(F.col("_v") < F.col("_b.lo"), -1).when(F.col("_v") > F.col("_b.hi"), 1).otherwise(0)
+    counted = both.groupBy(*names, F.col("_b.i").alias("_i"), zone.alias("_zone"), F.when(zone == 0, F.col("_v")).alias("_in"))
+    counted = counted.agg(F.count("*").alias("_k"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("_b.rank").alias("_rank"))
+    own = Window.partitionBy(*names, "_i").orderBy("_zone", "_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed_ = counted.withColumn("_to", F.sum("_k").over(own))  # the rows below, each value inside, the rows above
+    # places from 0: of a run of rows the last below the bracket and the first above it are known
+    first = F.when(F.col("_zone") < 0, F.col("_to") - 1).otherwise(F.col("_to") - F.col("_k"))
+    last = F.when(F.col("_zone") > 0, first).otherwise(F.col("_to") - 1)
+    stands = F.when(F.col("_zone") < 0, F.col("_max")).otherwise(F.col("_min"))
+    at = lambda place: F.max(F.when(place.between(first, last), stands))
+    low, part = F.floor("_rank"), F.col("_rank") - F.floor("_rank")
+    found = placed_.groupBy(*names, "_i").agg(at(low).alias("_a"), at(F.ceil("_rank")).alias("_c"), F.max(part).alias("_part"))
+    found = found.withColumn("_q", F.when(F.col("_part") == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_c") - F.col("_a")) * F.col("_part")))
+    wide = found.groupBy(*names).agg(*(F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(shares))))
+    if not names:
+        return wide
+    return wide.select(*(F.col(n).alias(g) for g, n in zip(groups, names, strict=True)), *(f"q{i}" for i in range(len(shares))))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, group) of the ids in ``pairs`` (a, b), the group being the smallest id that pairs reach. Null ids have no pair.
 

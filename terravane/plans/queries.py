@@ -68,7 +68,7 @@ def broker_baseline(spark, sf):
   round(1 - sum((prediction - l_extendedprice) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM p"""
 )
 def broker_metrics(spark, sf):
-    m = predictions(spark, sf).agg(*modeling.metrics("l_extendedprice", "prediction", 1.0))
+    m = modeling.measure(shared.cut(predictions(spark, sf).select("l_extendedprice", "prediction")), "l_extendedprice", "prediction", 1.0)
     return m.select("n", F.col("n_non_finite").cast("int").alias("n_non_finite"), F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mdape", 6).alias("mdape"), F.round("r2", 6).alias("r2"))
 
 
@@ -79,8 +79,8 @@ def broker_metrics(spark, sf):
 )
 def error_slices(spark, sf):
     p = predictions(spark, sf).withColumn("price_bin", modeling.price_bin(F.col("l_extendedprice"), (0, 20000, 50000)))
-    out = p.groupBy("price_bin").agg(F.count("*").alias("n"), F.round(F.median(F.abs(F.col("prediction") - F.col("l_extendedprice")) / F.col("l_extendedprice")) * 100, 6).alias("mdape"))
-    return out.filter("n >= 20")
+    out = modeling.measure(shared.cut(p.select("price_bin", "l_extendedprice", "prediction")), "l_extendedprice", "prediction", 1.0, ["price_bin"])
+    return out.filter("n >= 20").select("price_bin", "n", F.round("mdape", 6).alias("mdape"))
 
 
 def _customer_orders(spark, sf):

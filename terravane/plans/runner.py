@@ -124,7 +124,7 @@ def leakage_checklist(frame: DataFrame) -> dict[str, Any]:
 
 
 def metrics_of(predicted: DataFrame) -> dict[str, float]:
-    return predicted.agg(*modeling.metrics(LABEL, "prediction", SCALE)).first().asDict()
+    return modeling.measure(predicted, LABEL, "prediction", SCALE).first().asDict()
 
 
 def with_splits(frame: DataFrame, id_: str = "listing_id", group: str = "duplicate_group") -> DataFrame:
@@ -282,10 +282,9 @@ BINS = ("< 2 tỷ", "2–5 tỷ", "5–10 tỷ", "> 10 tỷ")
 
 def error_analysis(predicted: DataFrame) -> dict[str, Any]:
     """MdAPE of predictions by district (20 rows at least) and by price, and all metrics."""
-    rows = predicted.withColumns({"bin": modeling.price_bin(F.col(LABEL)), "ape": F.abs(F.col("prediction") - F.col(LABEL)) / F.col(LABEL) * 100})
-    sums = [F.count("*").alias("n"), F.median("ape").alias("mdape")]
-    by_place = rows.groupBy("district").agg(*sums).filter("n >= 20").orderBy(F.desc("mdape"), "district").collect()
-    by_bin = rows.filter("bin IS NOT NULL").groupBy("bin").agg(*sums).orderBy("bin").collect()
+    rows = predicted.withColumn("bin", modeling.price_bin(F.col(LABEL)))
+    by_place = modeling.measure(rows, LABEL, "prediction", SCALE, ["district"]).filter("n >= 20").select("district", "n", "mdape").orderBy(F.desc("mdape"), "district").collect()
+    by_bin = modeling.measure(rows.filter("bin IS NOT NULL"), LABEL, "prediction", SCALE, ["bin"]).select("bin", "n", "mdape").orderBy("bin").collect()
     return {"by_district": [r.asDict() for r in by_place], "by_price_bin": [r.asDict() | {"bin": BINS[r["bin"]]} for r in by_bin], "overall": metrics_of(predicted)}
 
 
@@ -364,7 +363,9 @@ def explanation(spark: SparkSession, values: Mapping[str, Any], root: str, specs
     spec = next(s for s in specs if s.name == bundle["model_name"])
     own = spec.make(**{k: coerce(v) for k, v in bundle["best_params"].items()})
     model, stated = own if spec.raw else imputed(own), [c for c in columns if values.get(c) is not None]
-    typical = rows.agg(*(F.median(c).alias(c) if c not in CATEGORICAL else F.mode(c).alias(c) for c in stated)).first()
+    numbers = [c for c in stated if c not in CATEGORICAL]
+    typical = cleaning.fit_medians(rows, numbers, [])[1].first().asDict() if numbers else {}
+    typical = {c: typical.get(f"all_{c}") for c in numbers} | {c: r[c] for c in stated if c in CATEGORICAL for r in [rows.groupBy(c).count().orderBy(F.desc("count"), c).first()]}
     asked = input_row(spark, values, rows).withColumn("_left_out", F.lit(""))
     for c in stated:
         asked = asked.unionByName(input_row(spark, {**values, c: typical[c]}, rows).withColumn("_left_out", F.lit(c)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.operators.models import TIERS
+from terravane.operators.shared import quantiles
 from terravane.plans.pipeline import formatted_number
 from terravane.plans.runner import CONFIGURATIONS, read_results
 
@@ -214,7 +215,9 @@ def counts_by(df: DataFrame, row: str, column: Column, names: Sequence[str], res
 
 def medians_by_month(df: DataFrame, at: str, value: Column, by: str, least: int = 15) -> DataFrame:
     """(month, by, median, n, after_gap) of groups with enough rows; after_gap: the month before has no such row."""
-    m = df.groupBy(F.trunc(at, "month").alias("m"), F.col(by).alias("by")).agg(F.median(value).alias("median"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    rows = df.select(F.trunc(at, "month").alias("m"), F.col(by).alias("by"), value.alias("v"))
+    middle = quantiles(rows, ["m", "by"], F.col("v"), [0.5]).select(F.col("m").alias("_m"), F.col("by").alias("_by"), F.col("q0").alias("median"))
+    m = rows.groupBy("m", "by").agg(F.count("*").alias("n")).filter(F.col("n") >= least).join(middle, F.col("m").eqNullSafe(F.col("_m")) & F.col("by").eqNullSafe(F.col("_by")), "left").drop("_m", "_by")
     before = F.lag("m").over(Window.partitionBy("by").orderBy("m"))  # one row a month
     return m.select(F.date_format("m", "yyyy-MM").alias("month"), "by", "median", "n", F.coalesce(F.months_between("m", before) > 1, F.lit(False)).alias("after_gap"))
 

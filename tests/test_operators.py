@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.operators import dedup, modeling, shared
+from terravane.operators import cleaning, dedup, modeling, shared
 from terravane.plans import queries
 from terravane.sources import store
 
@@ -128,3 +128,22 @@ def test_survivors_of_documents_of_all_lengths(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["duplicate_group"]) for r in queries.QUERIES["near_dup_survivors"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0), (2, 2), (5, 3), (6, 6), (7, 7), (8, 8)}
+
+
+def test_exact_quantiles(spark):
+    rng, rows = random.Random(1), []
+    for g, n in (("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 8), ("g", 102), ("h", 101), (None, 57), ("big", 30_000), ("ties", 4000)):
+        rows += [(g, rng.choice([1.0, 2.0, 2.0, 7.5]) if g == "ties" else None if n > 10 and rng.random() < 0.05 else rng.gauss(0, 1)) for _ in range(n)]
+    rows.append(("none", None))
+    df, shares = spark.createDataFrame(rows, "g string, v double").repartition(5), [0.25, 0.5, 0.75, 0.0, 1.0]
+    want = {r["g"]: r["p"] for r in df.filter("v IS NOT NULL").groupBy("g").agg(F.percentile("v", shares).alias("p")).collect()}
+    got = {r["g"]: list(r)[1:] for r in shared.quantiles(df, ["g"], F.col("v"), shares).collect()}
+    assert want.keys() == got.keys() and all(abs(a - b) < 1e-12 for k in want for a, b in zip(want[k], got[k], strict=True))
+    assert abs(shared.quantiles(df, [], F.col("v"), [0.5]).first()["q0"] - df.agg(F.median("v")).first()[0]) < 1e-12
+    assert shared.quantiles(df.limit(0), [], F.col("v"), [0.5]).first()["q0"] is None and shared.quantiles(df.limit(0), ["g"], F.col("v"), [0.5]).count() == 0
+
+
+def test_medians_of_several_columns(spark):
+    df = spark.createDataFrame([("x", 1.0, None), ("x", 3.0, 5.0), ("y", None, None), (None, 7.0, 1.0)], "g string, a double, b double")
+    out = cleaning.impute(df, cleaning.fit_medians(df, ["a", "b"], ["g"]), ["a", "b"], ["g"]).collect()
+    assert {(r["g"], r["a"], r["b"]) for r in out} == {("x", 1.0, 5.0), ("x", 3.0, 5.0), ("y", 3.0, 3.0), (None, 7.0, 1.0)}
