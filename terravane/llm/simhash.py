@@ -23,8 +23,9 @@ SEGMENTS = RADIUS + 2
 BLOCK = 1 << 15
 #: Groups up to this size are compared by offsets, all at once; larger ones from member to member.
 SMALL = 16
-#: Groups beyond this size are divided by further segments of the bits that do not yet agree.
-DIVIDE = 4096
+#: Groups beyond this size are divided by further segments of the bits that do not yet agree, inside a task; beyond GROUP rows they
+#: are dealt to other tasks.
+DIVIDE, GROUP = 4096, 1 << 18
 
 _U = np.uint64
 
@@ -142,38 +143,64 @@ def link_sorted(key: np.ndarray, fps: np.ndarray, table: np.ndarray, free: int)
     return out
 
 
-def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, key, fp, unnamed, least, table), sorted: each run of a key is a group; the last run of a batch waits for the
-    next batch. Links come with the names of both sides."""
-    masks = segment_masks((1 << 64) - 1)
-    names = ["u_unnamed", "u_least", "u", "v_unnamed", "v_least", "v"]
+def _link_partition(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.RecordBatch]:
+    """Rows (free, key, fp, unnamed, least, table), sorted: each run of a key is a group, whose rows agree outside the bits ``free``; the
+    last run of a batch waits for the next batch. Links come with the names of both sides. Of a group beyond ``group`` rows, which no
+    task should hold, the rows come back alone (v is null) with their ``free``, to be dealt on."""
+    names = ["free", "u_unnamed", "u_least", "u", "v_unnamed", "v_least", "v"]
 
     def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        choice, key, fps = (rows.column(i).to_numpy() for i in range(3))
-        key, fps, table = key.view(np.uint64), fps.view(np.uint64), _tables(rows.column(5))
-        named = [rows.column(i).combine_chunks() for i in (3, 4, 2)]
-        for c in np.unique(choice):
-            own = np.flatnonzero(choice == c)
-            for u, v in link_sorted(key[own], fps[own], table[own], ((1 << 64) - 1) & ~masks[c]):
-                yield pa.RecordBatch.from_arrays([n.take(pa.array(own[x])) for x in (u, v) for n in named], names)
-
+        free, key, fps = (rows.column(i).to_numpy().view(np.uint64) for i in range(3))
+        table, named = _tables(rows.column(5)), [rows.column(i).combine_chunks() for i in (3, 4, 2)]
+        for f in np.unique(free):
+            own = np.flatnonzero(free == f)
+            for u, v in link_sorted(key[own], fps[own], table[own], int(f)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), *(n.take(pa.array(own[x])) for x in (u, v) for n in named)], names)
+
+    def alone(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = [b.column(i) for i in (3, 4, 2)]
+        return pa.RecordBatch.from_arrays([b.column(0), *own, *(pa.nulls(b.num_rows, c.type) for c in own)], names)
+
+    group_of = lambda b, i: (b.column(0)[i].as_py(), b.column(1)[i].as_py())
     held: list[pa.RecordBatch] = []
+    too_large = None  # the group whose first rows were given back
     for b in batches:
+        if too_large is not None and b.num_rows:
+            at = np.flatnonzero((b.column(0).to_numpy() != too_large[0]) | (b.column(1).to_numpy() != too_large[1]))
+            cut = int(at[0]) if len(at) else b.num_rows
+            yield alone(b.slice(0, cut))
+            b = b.slice(cut)
         if not b.num_rows:
             continue
+        too_large = None
         held.append(b)
-        ends = [(x.column(0)[i].as_py(), x.column(1)[i].as_py()) for x, i in ((held[0], 0), (b, b.num_rows - 1))]
-        if ends[0] == ends[1]:
-            continue  # still one group
-        rows = pa.Table.from_batches(held)
-        choice, key = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        cut = int(np.flatnonzero((choice != choice[-1]) | (key != key[-1]))[-1]) + 1
-        yield from links(rows.slice(0, cut))
-        held = rows.slice(cut).combine_chunks().to_batches()
+        if group_of(held[0], 0) != group_of(b, b.num_rows - 1):  # else it is still one group
+            rows = pa.Table.from_batches(held)
+            free, key = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            cut = int(np.flatnonzero((free != free[-1]) | (key != key[-1]))[-1]) + 1
+            yield from links(rows.slice(0, cut))
+            held = rows.slice(cut).combine_chunks().to_batches()
+        if sum(x.num_rows for x in held) > group and int(held[0].column(0)[0].as_py() & (1 << 64) - 1).bit_count() >= 2 * SEGMENTS:
+            too_large = group_of(held[0], 0)
+            yield from map(alone, held)
+            held = []
     if held:
         yield from links(pa.Table.from_batches(held))
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (free, unnamed, least, fp, table) of groups that were too large, once for each choice among the segments of their free bits."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for b in batches:
+        free, fps = b.column(0).to_numpy(), b.column(3).to_numpy()
+        for f in np.unique(free):
+            own = b.take(pa.array(np.flatnonzero(free == f)))
+            for mask in segment_masks(int(f) & (1 << 64) - 1):
+                key = fps[free == f] & np.int64(signed(~int(f) & (1 << 64) - 1 | mask))
+                left = np.full(len(key), signed(int(f) & (1 << 64) - 1 & ~mask), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(key), own.column(3), own.column(1), own.column(2), own.column(4)], ["free", "key", "fp", "unnamed", "least", "table"])
+
+
 def _tables(column: pa.ChunkedArray) -> np.ndarray:
     """Binaries of one byte per reference as a matrix."""
     column = pa.concat_arrays(column.chunks)
@@ -193,22 +220,34 @@ def with_tables(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("table", T.BinaryType())]))
 
 
-def links_between(classes: DataFrame) -> DataFrame:
+def links_between(classes: DataFrame, group: int = GROUP) -> DataFrame:
     """Links (u, v) between classes (fp, least) that connect them exactly as all pairs within RADIUS would. u and v are nodes: structs
     (unnamed, least, fp), which are ordered by the smallest id of a class, null last.
 
     No choice of references fetches few candidates: unrelated fingerprints are all about 32 bits from each of them. So
     pairs come from groups that agree in two of six segments, which every linked pair does for one of the 15 choices. In a
     group, pairs are discarded by their pivot tables, which are computed once for each class and come with its rows, and the
-    rest verified. Large groups are walked from member to member, so a group of n near copies gives n - 1 links.
+    rest verified. Groups are walked from member to member, so a group of n near copies gives n - 1 links. A group beyond
+    ``group`` rows is dealt on by the segments of the bits in which its rows may still differ, as often as it takes: three
+    rounds leave too few bits for a large group, as a group's fingerprints are distinct.
     """
-    masks = [m - (1 << 64) if m >> 63 else m for m in segment_masks((1 << 64) - 1)]
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
-    rows = with_tables(classes).select("fp", F.col("least").isNull().alias("unnamed"), "least", "table", keys.alias("k")).select("k.choice", "k.key", "fp", "unnamed", "least", "table")
+    every = (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    choices = [F.struct(F.lit(signed(every & ~m)).alias("free"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for m in segment_masks(every)]
+    rows = with_tables(classes).select("fp", F.col("least").isNull().alias("unnamed"), "least", "table", F.explode(F.array(*choices)).alias("k")).select("k.free", "k.key", "fp", "unnamed", "least", "table")
     kind = classes.schema["least"].dataType.simpleString()
-    found = rows.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_link_partition, f"u_unnamed boolean, u_least {kind}, u long, v_unnamed boolean, v_least {kind}, v long")
+    side = lambda x: f"{x}_unnamed boolean, {x}_least {kind}, {x} long"
     node = lambda x: F.struct(F.col(f"{x}_unnamed").alias("unnamed"), F.col(f"{x}_least").alias("least"), F.col(x).alias("fp"))
-    return found.select(node("u").alias("u"), node("v").alias("v"))
+    links = None
+    while True:
+        found, _ = written(rows.repartition("free", "key").sortWithinPartitions("free", "key").mapInArrow(lambda b: _link_partition(b, group), f"free long, {side('u')}, {side('v')}"), "links")
+        own = found.filter("v IS NOT NULL").select(node("u").alias("u"), node("v").alias("v"))
+        links = own if links is None else links.unionByName(own)
+        large = found.filter("v IS NULL")
+        if large.isEmpty():
+            return links
+        again = with_tables(large.select("free", F.col("u_unnamed").alias("unnamed"), F.col("u_least").alias("least"), F.col("u").alias("fp")))
+        rows = again.mapInArrow(_deal, f"free long, key long, fp long, unnamed boolean, least {kind}, table binary")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

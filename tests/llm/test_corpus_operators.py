@@ -248,6 +248,25 @@ def test_links_connect_like_all_pairs(divide, monkeypatch):
     assert {frozenset(f for f in fps if name[f] == n) for n in set(name.values())} == {frozenset(f for f in fps if want[f] == n) for n in set(want.values())}
 
 
+def test_large_groups_are_dealt_on(spark):
+    rng, fps = np.random.default_rng(9), set()
+    for center in rng.integers(0, 1 << 63, 3, dtype=np.uint64):
+        for _ in range(150):
+            fps.add(int(center) ^ sum(1 << int(b) for b in set(rng.integers(0, 63, rng.integers(0, 6)))))
+    classes = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(fps))], "fp long, least long").repartition(3)
+    plan, want = simhash.links_between(classes), plain_components(fps)
+
+    def names(links):
+        found = {r["node"]["fp"]: r["root"]["fp"] for r in simhash.connected_components(links).collect()}
+        return {frozenset(f for f in fps if found.get(f, f) == n) for n in {found.get(f, f) for f in fps}}
+
+    assert names(plan) == {frozenset(f for f in fps if want[f] == n) for n in set(want.values())}
+    every = (1 << 64) - 1
+    sizes = Counter(f & m for f in fps for m in simhash.segment_masks(every))
+    assert max(sizes.values()) > 40
+    assert names(simhash.links_between(classes, group=12)) == names(plan)  # groups come in rounds now
+
+
 def test_pivots_discard_but_lose_no_link():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 20_000, dtype=np.uint64)
