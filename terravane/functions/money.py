@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +51,22 @@ FLAGS = {
     "so_chung": r"so\s*chung|chung\s*so",
 }
 
-#: Words without meaning for a price.
-STOPWORDS = """và của có các được cho với là trong này đã khi một những để tại từ hay hoặc nếu thì mà nên vì cũng rất sẽ đang bị ra vào
-lên xuống về theo như liên hệ lh chính chủ xem nhà 24 7 alo zalo call hotline em anh chị ạ nhé nha ib inbox quan tâm sđt sdt gọi ngay
-tel phone ms mr giatien""".split()
+#: Function words; words of advertisements; words that tell of a price and always stay.
+BASE_STOPWORDS = {
+    "và", "của", "có", "các", "được", "cho", "với", "là", "trong", "này", "đã", "khi",
+    "một", "những", "để", "tại", "từ", "hay", "hoặc", "nếu", "thì", "mà", "nên", "vì",
+    "cũng", "rất", "sẽ", "đang", "bị", "ra", "vào", "lên", "xuống", "về", "theo", "như",
+}
+AD_STOPWORDS = {
+    "liên", "hệ", "lh", "chính", "chủ", "xem", "nhà", "24", "7", "alo", "zalo", "call",
+    "hotline", "em", "anh", "chị", "ạ", "nhé", "nha", "ib", "inbox", "quan", "tâm",
+    "sđt", "sdt", "gọi", "ngay", "tel", "phone", "ms", "mr", "giatien",
+}
+PRICE_SIGNAL_WORDS = {
+    "gấp", "ngộp", "kẹt", "giảm", "lỗ", "rẻ", "cắt", "thiện", "chí", "bank", "nợ",
+    "thương", "lượng", "bao", "sang", "tên",
+}
+STOPWORDS = sorted((BASE_STOPWORDS | AD_STOPWORDS) - PRICE_SIGNAL_WORDS)
 
 
 def strip_money(text: Column, passes: int = 4) -> Column:
@@ -74,8 +88,23 @@ def flags(text: Column) -> dict[str, Column]:
     return {k: t.rlike(p).cast("int") for k, p in FLAGS.items()}
 
 
-def tokenize(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
-    """Lower-case words split at white space, without punctuation, stop words and single characters."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")
-    words = F.transform(F.split(squeeze(plain), " "), lambda w: F.trim(w, F.lit("_")))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(stopwords))
+def normalise(text: Column) -> Column:
+    """Lower case, single-spaced; punctuation stays, as a segmenter needs it."""
+    return squeeze(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def tokenize(text: Column, stopwords: Sequence[str] = STOPWORDS, segment: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Words without punctuation, stop words and single characters. ``segment`` joins the syllables of a word by underscores, if a
+    segmenter is at hand; without one, words end at white space."""
+    words = F.transform(F.split(segment(normalise(text)), " "), lambda w: F.trim(F.regexp_replace(w, r"(?U)[^\w\s]", ""), F.lit("_")))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(list(stopwords)))
+
+
+def pretokenize(text: Column, segment: Callable[[Column], Column] = lambda c: c) -> Column:
+    """The words as one text, so that they are found once and not in every fit."""
+    return F.array_join(tokenize(text, segment=segment), " ")
+
+
+def analyzer(tokens: Column) -> Column:
+    """The words of such a text."""
+    return F.filter(F.split(F.coalesce(tokens, F.lit("")), " "), lambda w: w != "")

@@ -54,7 +54,7 @@ def prepare(listings: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]
     numeric = [c for c in ("bedrooms", "bathrooms", "floors", "frontage_m", "alley_width_m") if c in one.columns]
     marked = cleaning.mark_missing(one, numeric, ["legal_status", "direction", "position"])
     clean = marked.withColumn("description_clean", money.strip_money(F.concat_ws(" ", "title", "description")))
-    tokens = F.array_join(money.tokenize(F.col("description_clean")), " ")
+    tokens = money.pretokenize(F.col("description_clean"))
     out = clean.withColumn("description_tokens", money.strip_money(tokens)).withColumn("price_per_m2", F.col("total_price_vnd") / F.col("area_m2"))
     return out, [("read", listings), ("labels", labelled), ("rules", ruled), ("duplicates", one)]
 

@@ -334,9 +334,9 @@ def money_scrub(spark, sf):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g')), '\s+')) AS w FROM documents)
-SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(w, '_') AS w FROM t) WHERE length(w) > 1 AND w NOT IN ('the', 'of', 'and') GROUP BY ALL
-ORDER BY n DESC, token LIMIT 50"""
+    r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '\s+')) AS w FROM documents)
+SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(regexp_replace(w, '[^\p{L}\p{N}\p{M}_]', '', 'g'), '_') AS w FROM t)
+WHERE length(w) > 1 AND w NOT IN ('the', 'of', 'and') GROUP BY ALL ORDER BY n DESC, token LIMIT 50"""
 )
 def top_tokens(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.explode(money.tokenize(F.col("text"), ["the", "of", "and"])).alias("token"))

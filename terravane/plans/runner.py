@@ -50,7 +50,7 @@ def feature_frame(df: DataFrame) -> DataFrame:
             "listing_month": F.month(at),
             "listing_quarter_index": (F.year(at) - 2025) * 4 + F.quarter(at) - 1,
             "description_length": F.length(F.coalesce(F.col("description"), F.lit(""))),
-            "words": F.filter(F.split(F.coalesce(F.col("description_tokens"), F.lit("")), " "), lambda w: w != ""),
+            "words": money.analyzer(F.col("description_tokens")),
         }
     ).withColumns(money.flags(clean))
     return out.withColumns({c: (F.col(c) if c in out.columns else F.lit(None)).cast("double") for c in NUMERIC})
@@ -342,7 +342,7 @@ def input_row(spark: SparkSession, values: Mapping[str, Any], frame: DataFrame)
     row = spark.createDataFrame([(values.get("description") or "",)], "description string")
     given = {c: F.lit(values.get(c)).cast(known[c]) for c in (AREA, *MISSING, *CATEGORICAL) if c in known}
     row = row.withColumns({**given, **{f"{c}_missing": F.lit(0) for c in MISSING}, "published_at": F.current_timestamp(), "description_clean": money.strip_money(F.col("description"))})
-    row = row.withColumn("description_tokens", money.strip_money(F.array_join(money.tokenize(F.col("description_clean")), " ")))
+    row = row.withColumn("description_tokens", money.strip_money(money.pretokenize(F.col("description_clean"))))
     own = feature_frame(row)
     return own.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in own.columns}).select(*known)
 
