@@ -1,4 +1,4 @@
-"""Commands: gate, prepare, gold, experiments, analyse, tables, price. ``python -m terravane.cli --help``."""
+"""Commands: crawl, gate, prepare, gold, experiments, analyse, tables, price. ``python -m terravane.cli --help``."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from terravane.operators import gold
 from terravane.plans import gate, pipeline, runner, tables
-from terravane.sources import listings, wards
+from terravane.sources import crawl, listings, wards
 from terravane.sources.store import read_jsonl
 
 
@@ -41,6 +41,14 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="terravane", description=__doc__)
     p.add_argument("--results", default="results", help="folder of results and reports")
     sub = p.add_subparsers(dest="command", required=True)
+    c = sub.add_parser("crawl")
+    c.add_argument("kind", choices=["gateway", "pages"])
+    c.add_argument("--url", required=True, help="of the gateway, or of the site without a path")
+    c.add_argument("--areas", nargs="+", required=True, help="codes of areas, or paths of their lists")
+    c.add_argument("--out", default="store")
+    c.add_argument("--max-per-area", type=int, default=300)
+    c.add_argument("--no-resume", action="store_true", help="don't stop at known records")
+    c.add_argument("--dry-run", action="store_true", help="show the first records, store nothing")
     for name in ("gate", "prepare", "gold"):
         c = sub.add_parser(name)
         c.add_argument("--gateway", help="folder of gateway records, JSON lines")
@@ -72,11 +80,33 @@ def _raw(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {k: read_jsonl(spark, path, schema) for k, path, schema in (("gateway", a.gateway, GATEWAY_SCHEMA), ("pages", a.pages, PAGES_SCHEMA)) if path}
 
 
-def run(spark: SparkSession, argv: Sequence[str] | None = None) -> str:
-    """Run a command; what it printed or wrote as a report."""
+def _crawl(spark: SparkSession, a: argparse.Namespace, manifest: pipeline.RunManifest, fetch: crawl.Fetch) -> str:
+    """Crawl area by area; what was written by area, as JSON."""
+    with crawl.PoliteSession(fetch) as session:
+        if a.dry_run:
+            if a.kind == "pages":
+                return json.dumps([item for item, _ in crawl.page_items(session, a.url, a.areas[0], 6)], ensure_ascii=False)
+            return json.dumps(crawl.dry_run(session, a.url, a.areas[0]), ensure_ascii=False)
+        found = {}
+        for area in a.areas:
+            if a.kind == "pages":
+                found[area] = crawl.crawl_pages(spark, session, a.url, area, a.out, a.max_per_area, a.sources[0])
+            else:
+                found[area] = crawl.crawl_gateway(spark, session, a.url, area, a.out, a.max_per_area, a.sources[0], not a.no_resume)
+            for k, v in found[area].items():
+                manifest.count(f"{area}__{k}", v)
+        for k, v in session.stats.items():
+            manifest.count(f"http_{k}", v)
+    return json.dumps(found)
+
+
+def run(spark: SparkSession, argv: Sequence[str] | None = None, fetch: crawl.Fetch = crawl.urllib_fetch) -> str:
+    """Run a command; what it printed or wrote as a report. Crawls go through the transport ``fetch``."""
     a = parser().parse_args(argv)
     log, newest = logger(a.command), a.sources[0]
     with pipeline.RunManifest(spark, a.command, f"{a.results}/manifests", commit=revision(), **{k: v for k, v in vars(a).items() if k != "command"}) as manifest:
+        if a.command == "crawl":
+            return _crawl(spark, a, manifest, fetch)
         if a.command == "gate":
             raw = _raw(spark, a)
             return gate.run([(gate.gateway_view if k == "gateway" else gate.page_view)(d, k) for k, d in raw.items()])[1]

@@ -63,6 +63,11 @@ def parse_address(c: Column) -> Column:
     )
 
 
+def resolved(parsed: Column) -> Column:
+    """Whether a parsed address names its district."""
+    return parsed["district"] != UNKNOWN
+
+
 def property_type(c: Column) -> Column:
     """One of five types by its accent-free name; others are unknown."""
     table = F.create_map(*(F.lit(x) for kind, names in PROPERTY_TYPES.items() for n in names for x in (n, kind)))

@@ -86,6 +86,11 @@ def _read_price(t: Column, area: Column) -> Column:
     )
 
 
+def has_total(parsed: Column) -> Column:
+    """Whether a parsed price has a total."""
+    return parsed["total"].isNotNull()
+
+
 def numeric_price(c: Column) -> Column:
     """A price given as a number; 0 and 1 stand for undisclosed, infinite ones are none."""
     value = F.replace(c.cast("string"), F.lit(","), F.lit("")).try_cast("double")

@@ -222,6 +222,24 @@ def medians_by_month(df: DataFrame, at: str, value: Column, by: str, least: int
     return m.select(F.date_format("m", "yyyy-MM").alias("month"), "by", "median", "n", F.coalesce(F.months_between("m", before) > 1, F.lit(False)).alias("after_gap"))
 
 
+def figures(listings: DataFrame, label: str = "total_price_vnd", area: str = "area_m2") -> dict[str, DataFrame]:
+    """The numbers of the figures that describe listings, a small table each: distributions of the price's logarithm and of the area
+    by source, rows by district and source, monthly medians of the unit price by source."""
+    sources = sorted(r["source"] for r in listings.select("source").distinct().collect())  # a handful
+    return {
+        "price_distribution": histogram(listings, F.log10(label), by=F.col("source")),
+        "area_distribution": histogram(listings, F.col(area), by=F.col("source")),
+        "count_by_district": counts_by(listings, "district", F.col("source"), sources),
+        "unit_price_by_month": medians_by_month(listings, "published_at", F.col(label) / F.col(area), "source"),
+    }
+
+
+def save_figures(listings: DataFrame, root: str) -> None:
+    """Each figure's numbers as one CSV folder."""
+    for name, table_ in figures(listings).items():
+        table_.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
+
+
 def changes(results: DataFrame, value: str, order: str, digits: int = 6) -> DataFrame:
     """Columns to_first and to_previous: a result's difference to the first and to the one before, in order."""
     w = Window.orderBy(order)  # one row per result

@@ -156,6 +156,21 @@ def from_pages(records: DataFrame, mapping: DataFrame, source: str) -> DataFrame
     )
 
 
+#: The columns of the history table that are kept.
+HISTORY = (
+    "name", "description", "property_type_name", "province_name", "district_name", "ward_name", "street_name", "project_name", "price", "area", "floor_count",
+    "frontage_width", "house_depth", "road_width", "bedroom_count", "bathroom_count", "house_direction", "balcony_direction", "published_at",
+)
+
+
+def history_rows(table: DataFrame, province: str, cutoff: str | None = None, columns: Sequence[str] = HISTORY) -> DataFrame:
+    """Rows of a province up to a day (None: all days), absent columns null. Both filters and the columns reach the scan."""
+    rows = table.filter(F.col("province_name") == province)
+    if cutoff is not None:
+        rows = rows.filter(F.col("published_at") <= F.lit(cutoff).cast("timestamp"))
+    return rows.select(*((F.col(c) if c in table.columns else F.lit(None)).alias(c) for c in columns))
+
+
 def from_history(table: DataFrame, source: str, id_: str, sample: int | None = None, seed: int = modeling.SEED) -> DataFrame:
     """A history table with numeric columns, in the old wards; floors come from the text where the column is null. ``sample``: that
     many rows, the first by a hash of the id."""

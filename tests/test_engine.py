@@ -273,6 +273,14 @@ def test_leakage_is_refused(spark, listings):
     assert [runner.coerce(v) for v in ("3", "0.5", "None", "(128, 64)", "sqrt", 7)] == [3, 0.5, None, (128, 64), "sqrt", 7]
 
 
+def test_numbers_of_figures(spark, listings, tmp_path):
+    found = tables.figures(listings)
+    assert found["count_by_district"].count() == 2 and found["unit_price_by_month"].count() == 2
+    assert found["area_distribution"].agg(F.sum("n")).first()[0] == 1300 and found["price_distribution"].filter("bin < 0 OR bin > 59").count() == 0
+    tables.save_figures(listings, f"file://{tmp_path}/figures")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/figures/count_by_district").columns == ["district", "new", "old", "others"]
+
+
 def test_tables_follow_the_numbers():
     row = lambda name, mdape, std=1.0, tier="1 · tuyến tính": {"name": name, "tier": tier, "cv_mean": {"rmse": 1.0, "mae": 0.5, "mdape": mdape, "r2": 0.5}, "cv_std": {"rmse": 0.9, "mae": 0.1, "mdape": std, "r2": 0.1}, "holdout": {"rmse": 1.0, "mae": 0.5, "mdape": mdape, "r2": None, "n_non_finite": 2}, "search_budget": 5}
     e1 = {"models": [row("Ridge", 20.0), row("Lasso", 20.5), row("Random Forest", 30.0), row(tables.BASELINE, 25.0, tier="0 · mốc")], "label": "a — b", "n_rows": 1234, "holdout_test_size": 0.2, "cv_folds": 5, "seed": 42, "search_iterations": 40}
@@ -294,6 +302,9 @@ def test_commands(spark, tmp_path):
     rows = [{"list_id": i, "subject": "Bán nhà", "body": f"{i % 3 + 1} phòng ngủ, dt {50 + i}m2", "price": (3 + i) * 1e9, "size": 50.0 + i, "rooms": i % 3 + 1, "ward_name": "P.1", "ward_name_v3": "Mới", "area_name": "Tân Bình", "latitude": 1.0, "longitude": 1.0} for i in range(6)]
     (raw / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
     own = ["--results", f"file://{tmp_path}/results"]
+    crawled = json.loads(cli.run(spark, [*own, "crawl", "gateway", "--url", "u", "--areas", "1", "--out", f"file://{tmp_path}/store", "--max-per-area", "4"], gateway(9)))
+    assert crawled == {"1": {"written": 4, "skipped_duplicate": 0, "pii_redactions": 4}}
+    assert len(json.loads(cli.run(spark, [*own, "crawl", "gateway", "--url", "u", "--areas", "1", "--dry-run"], gateway(9)))) == 3
     assert "Nguồn thô: gateway 6." in cli.run(spark, [*own, "gate", "--gateway", str(raw)])
     assert "| read | 6 |" in cli.run(spark, [*own, "prepare", "--gateway", str(raw), "--out", f"file://{tmp_path}/listings"])
     assert spark.read.parquet(f"file://{tmp_path}/listings").count() == 6

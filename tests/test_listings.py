@@ -48,3 +48,11 @@ def test_pages_and_history(spark, mapping):
     assert (a["street"], a["ward"], a["district"], a["published_at"].date()) == ("Lê Lợi", "Phường 5", "Quận 3", datetime.date(2024, 12, 31))
     assert (b["floors"], b["floors_from_text"], out["h-0"]["floors"], b["ward"], b["district"], b["property_type"], b["direction"]) == (3, True, 5, "Phường 13", "Quận 3", "Biệt thự", "không rõ")
     assert len(out) == 6 and listings.from_history(spark.createDataFrame(rows, table), "h", "k", sample=2).count() == 2
+
+
+def test_history_rows_of_a_province_up_to_a_day(spark, tmp_path):
+    day = lambda d: datetime.datetime(2025, 6, d)
+    spark.createDataFrame([("a", "X", 1.0, day(1)), ("b", "X", 2.0, day(30)), ("c", "Y", 3.0, day(1))], "name string, province_name string, price double, published_at timestamp").write.parquet(f"{tmp_path}/h")
+    table = spark.read.parquet(f"{tmp_path}/h")
+    out = listings.history_rows(table, "X", "2025-06-15")
+    assert out.columns == list(listings.HISTORY) and [(r["name"], r["area"]) for r in out.collect()] == [("a", None)] and listings.history_rows(table, "X").count() == 2
