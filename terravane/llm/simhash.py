@@ -255,25 +255,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each joins the edges with the smallest neighbour of every node, so the
     number of edges never grows beyond their first count and no neighbourhood is gathered. Every step is written to the
-    shared folder; it ends when a round changes nothing.
+    shared folder, the smallest neighbours too: a join of two written tables is one whose skewed partitions, such as the
+    edges of a hub, Spark splits. It ends when a round changes nothing.
     """
     spark = edges.sparkSession
 
-    def smallest(e: DataFrame, with_self: bool) -> DataFrame:
+    def smallest(e: DataFrame, with_self: bool) -> tuple[DataFrame, str]:
         m = F.min("b")
-        return e.groupBy("a").agg((F.least(F.col("a"), m) if with_self else m).alias("m"))
+        return written(e.groupBy("a").agg((F.least(F.col("a"), m) if with_self else m).alias("m")), "smallest")
 
     e, path = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(smallest(both, True), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low, low_path = smallest(both, True)
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large, large_path = written(large.filter("a <> b").distinct(), "large-star")
-        least = smallest(large, False)
+        least, least_path = smallest(large, False)
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         star, star_path = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        remove(spark, path)
-        remove(spark, large_path)
+        for done in (path, low_path, large_path, least_path):
+            remove(spark, done)
         e, path = star, star_path
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
