@@ -318,4 +318,4 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     texts = rows.select(F.struct(F.col(id_column).isNull().alias("unnamed"), F.col(id_column).alias("id"), F.col(name).alias("row")).alias("rank"), F.col(text_column).alias("text"))
     prints, _ = written(fingerprints(texts, id_column="rank"), "simhash")
     best = _named_classes(prints, F.col("rank")).filter("least = name").select(F.col("least.row").alias(name))
-    return rows.join(best, name, "left_semi").select(*docs.columns)
+    return rows.join(best.hint("merge"), name, "left_semi").select(*docs.columns)  # grows with the corpus: never sent to all tasks
