@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from terravane.operators import shared
 
 MAX_BLOCK, AREA_WIDTH, COSINE, PRICE_GAP, MIN_TEXT = 400, 5, 0.85, 0.03, 30
-#: Columns that n-grams are folded into, and characters of the texts whose n-grams are held at once.
-FOLD, PART = 8192, 1 << 20
+#: N-grams that are multiplied at once, and characters of the texts whose n-grams are held at once.
+COLUMNS, PART = 16384, 1 << 20
 
 
 def area_bucket(area: Column, width: float = AREA_WIDTH) -> Column:
@@ -55,28 +55,39 @@ def grams(text: str, low: int = 3, high: int = 5) -> Grams:
     return hashes, counts.astype(float)
 
 
-def _cosines(x: list[Grams], y: list[Grams], threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs (place in x, place in y) of at least the threshold. Folding n-grams into fewer columns only adds to a product of
-    counts, so pairs below the threshold by folded columns are none; the others are computed exactly."""
-
-    def folded(rows: list[Grams]) -> np.ndarray:
-        out = np.zeros((len(rows), FOLD), dtype=np.float32)
-        for i, (h, c) in enumerate(rows):
-            out[i] = np.bincount((h % _U(FOLD)).astype(np.int64), c, FOLD) / max((c * c).sum(), 1) ** 0.5
-        return out
-
-    able, out = folded(x) @ folded(y).T >= threshold - 1e-3, []
-    for i in np.flatnonzero(able.any(axis=1)):
-        h, c = x[i]
-        own = (c * c).sum()
-        for j in np.flatnonzero(able[i]):
-            g, d = y[j]
-            at = np.searchsorted(h, g)
-            at[at == len(h)] = 0
-            same = h[at] == g if len(h) else np.zeros(len(g), dtype=bool)
-            cos = float((c[at[same]] * d[same]).sum() / max(own * (d * d).sum(), 1) ** 0.5)
-            if cos >= threshold:
-                out.append((int(i), int(j), cos))
+def _cosines(x: list[Grams], y: list[Grams] | None, threshold: float) -> list[tuple[int, int, float]]:
+    """Pairs (place in x, place in y, cosine) of at least the threshold; without y, pairs i < j of x. All cosines come from products of
+    matrices, a slice of the n-grams at a time; n-grams of one text alone add nothing and are left out. Single precision settles who
+    is near the threshold, and these are computed exactly."""
+    rows = x if y is None else x + y
+    hashes = np.concatenate([h for h, _ in rows]) if rows else np.zeros(0, np.uint64)
+    if not len(hashes):
+        return []
+    values = np.concatenate([c / max((c * c).sum(), 1) ** 0.5 for _, c in rows]).astype(np.float32)
+    owner = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows])
+    order = np.argsort(hashes)
+    hashes, values, owner = hashes[order], values[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    size = np.diff(np.append(first, len(hashes)))
+    shared_ = np.repeat(size > 1, size)
+    values, owner, column = values[shared_], owner[shared_], np.repeat(np.arange((size > 1).sum()), size[size > 1])
+    cos = np.zeros((len(x), len(rows) if y is None else len(y)), dtype=np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        dense = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+        dense[owner[part], column[part] - low] = values[part]
+        cos += dense[: len(x)] @ (dense if y is None else dense[len(x) :]).T
+    able, out = cos >= threshold - 1e-3, []
+    if y is None:
+        able = np.triu(able, 1)
+    for i, j in zip(*np.nonzero(able), strict=True):
+        (h, c), (g, d) = x[i], (x if y is None else y)[j]
+        at = np.searchsorted(h, g)
+        at[at == len(h)] = 0
+        same = h[at] == g
+        exact = float((c[at[same]] * d[same]).sum() / ((c * c).sum() * (d * d).sum()) ** 0.5)
+        if exact >= threshold:
+            out.append((int(i), int(j), exact))
     return out
 
 
@@ -99,8 +110,9 @@ def text_pairs(x: list[str], y: list[str] | None, threshold: float) -> list[tupl
         for c, d in _parts(x if y is None else y):
             if y is None and c < a:
                 continue
-            right = left if y is None and c == a else [grams(t) for t in (x if y is None else y)[c:d]]
-            out += [(a + i, c + j, cos) for i, j, cos in _cosines(left, right, threshold) if y is not None or a + i < c + j]
+            alone = y is None and c == a
+            right = None if alone else [grams(t) for t in (x if y is None else y)[c:d]]
+            out += [(a + i, c + j, cos) for i, j, cos in _cosines(left, right, threshold)]
     return out
 
 

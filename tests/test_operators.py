@@ -1,7 +1,7 @@
 """Table operators against plain Python."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,17 +107,30 @@ def test_pairs_and_copies_across_the_runs_of_a_block(spark):
     assert sides(dedup.duplicate_links(*args, max_block=5)) == sides(spark.createDataFrame(sorted(want), "a int, b int"))
 
 
-@pytest.mark.parametrize("limit", [10, 1 << 20])
-def test_folded_cosines_lose_no_pair(limit, monkeypatch):
+def plain_cosine(a, b):
+    def grams(t):
+        out = Counter()
+        for w in t.lower().split():
+            w = f" {w} "
+            out.update(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))
+        return out
+
+    x, y = grams(a), grams(b)
+    norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    return sum(v * y[g] for g, v in x.items()) / norm if norm else 0.0
+
+
+@pytest.mark.parametrize(("part", "columns"), [(10, 16384), (1 << 20, 16384), (1 << 20, 100)])
+def test_cosines_by_brute_force(part, columns, monkeypatch):
     rng = random.Random(4)
     base = [" ".join(f"{rng.randrange(10**6):06}" for _ in range(40)) for _ in range(12)]
-    texts = [" ".join(w if rng.random() > 0.03 else "other" for w in b.split()) for b in base for _ in range(3)]
-    monkeypatch.setattr(dedup, "PART", limit)
-    exact = dedup.chunk_pairs(texts, 0.85)
-    monkeypatch.setattr(dedup, "FOLD", 512)
-    folded = dedup.chunk_pairs(texts, 0.85)
-    assert [p[:2] for p in folded] == [p[:2] for p in exact] and len(exact) > 10
-    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(folded, exact, strict=True))
+    texts = [" ".join(w if rng.random() > 0.03 else "other" for w in b.split()) for b in base for _ in range(3)] + ["", " ", "a", "A b", "é中 x"]
+    monkeypatch.setattr(dedup, "PART", part)
+    monkeypatch.setattr(dedup, "COLUMNS", columns)
+    want = [(i, j, plain_cosine(texts[i], texts[j])) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    want = [w for w in want if w[2] >= 0.85]
+    for got in (dedup.chunk_pairs(texts, 0.85), sorted((i, j, c) for i, j, c in dedup.text_pairs(texts, texts, 0.85) if i < j)):
+        assert [p[:2] for p in got] == [w[:2] for w in want] and len(want) > 10 and all(abs(p[2] - w[2]) < 1e-9 for p, w in zip(got, want, strict=True))
 
 
 def test_survivors_of_documents_of_all_lengths(spark, tmp_path):
