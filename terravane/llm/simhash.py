@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terravane.llm.storage import remove, written
+from terravane.llm.storage import files_for, remove, written
 from terravane.llm.tokens import rows_of
 
 #: Words of a shingle, seed of its hash, and the most differing bits of a link.
@@ -256,24 +256,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each joins the edges with the smallest neighbour of every node, so the
     number of edges never grows beyond their first count and no neighbourhood is gathered. Every step is written to the
     shared folder, the smallest neighbours too: a join of two written tables is one whose skewed partitions, such as the
-    edges of a hub, Spark splits. It ends when a round changes nothing.
+    edges of a hub, Spark splits. Files are as many as edges ask for. It ends when a round changes nothing.
     """
     spark = edges.sparkSession
 
+    e, path = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
+    files, before = files_for(e.count()), None
+
     def smallest(e: DataFrame, with_self: bool) -> tuple[DataFrame, str]:
         m = F.min("b")
-        return written(e.groupBy("a").agg((F.least(F.col("a"), m) if with_self else m).alias("m")), "smallest")
+        return written(e.groupBy("a").agg((F.least(F.col("a"), m) if with_self else m).alias("m")), "smallest", files=files)
 
-    e, path = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low, low_path = smallest(both, True)
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large, large_path = written(large.filter("a <> b").distinct(), "large-star")
+        large, large_path = written(large.filter("a <> b").distinct(), "large-star", files=files)
         least, least_path = smallest(large, False)
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star, star_path = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        star, star_path = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star", files=files)
         for done in (path, low_path, large_path, least_path):
             remove(spark, done)
         e, path = star, star_path
