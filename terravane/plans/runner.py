@@ -288,7 +288,7 @@ def error_analysis(predicted: DataFrame) -> dict[str, Any]:
     return {"by_district": [r.asDict() for r in by_place], "by_price_bin": [r.asDict() | {"bin": BINS[r["bin"]]} for r in by_bin], "overall": metrics_of(predicted)}
 
 
-def analyse(spark: SparkSession, frame: DataFrame, specs: Sequence[ModelSpec], root: str, source: str) -> None:
+def analyse(spark: SparkSession, frame: DataFrame, specs: Sequence[ModelSpec], root: str, source: str, fractions: Sequence[float] = experiments.FRACTIONS) -> None:
     """Errors and learning curve of the champion on the rows held out."""
     spec, params = champion_of(spark, root, f"e1_{source}", specs)
     if spec is None:
@@ -296,7 +296,7 @@ def analyse(spark: SparkSession, frame: DataFrame, specs: Sequence[ModelSpec], r
     split, model = with_splits(cut(feature_frame(frame.filter(F.col("source") == source)))), build_model(spec, params)
     train, test = split.filter("role = 'train'"), split.filter("role = 'test'")
     save_results(spark, root, "error_analysis", error_analysis(cut(model(train, test))))
-    points, n = experiments.learning_curve(model, train, test, "listing_id", LABEL).orderBy("fraction").collect(), train.count()
+    points, n = experiments.learning_curve(model, train, test, "listing_id", LABEL, fractions).orderBy("fraction").collect(), train.count()
     rows = [{"fraction": p["fraction"], "n_train": round(n * p["fraction"]), **{m: p[m] for m in experiments.METRICS}} for p in points]
     save_results(spark, root, "learning_curve", {"model": spec.name, "points": rows})
 

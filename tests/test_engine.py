@@ -257,9 +257,9 @@ def test_experiments_end_to_end(spark, listings, one_partition, tmp_path):
     by = {m["name"]: m for m in e1["models"]}
     assert runner.read_results(spark, root, "e1_none") is None and len(by) == 3 and by["Cây quyết định"]["best_params"] == {"maxDepth": "4"} and by["Cây quyết định"]["search_budget"] == 2
     assert by["Trung vị giá/m² theo nhóm"]["holdout"]["mdape"] < 12 < by["Dummy (trung vị)"]["holdout"]["mdape"] and runner.pick_champion(e1)["name"] == "Cây quyết định"
-    runner.run_e2(spark, listings, few(), root, "old", "new", "2025", 1)
+    runner.run_e2(spark, listings, few()[-1:], root, "old", "new", "2025", 1)
     runner.run_e3(spark, listings, few(), root, "new")
-    runner.analyse(spark, listings, few(), root, "new")
+    runner.analyse(spark, listings, few(), root, "new", (0.5, 1.0))
     card = runner.export_champion(spark, listings, root, "new", few())
     assert card.startswith("# Model card: Cây quyết định") and "03/2025" in card
     texts = tables.render_all(spark, root, ["new", "old"], "new")
