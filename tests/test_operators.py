@@ -160,3 +160,26 @@ def test_medians_of_several_columns(spark):
     df = spark.createDataFrame([("x", 1.0, None), ("x", 3.0, 5.0), ("y", None, None), (None, 7.0, 1.0)], "g string, a double, b double")
     out = cleaning.impute(df, cleaning.fit_medians(df, ["a", "b"], ["g"]), ["a", "b"], ["g"]).collect()
     assert {(r["g"], r["a"], r["b"]) for r in out} == {("x", 1.0, 5.0), ("x", 3.0, 5.0), ("y", 3.0, 3.0), (None, 7.0, 1.0)}
+
+
+#: A number after a plus sign, alone and beside addresses, other digits and letters like digits; its count of hits, and the text without it.
+WRITTEN = [
+    ("call +1 (743) 555-3824 now", 1, "call +[SDT_DA_XOA] now"),
+    ("12.158.146.20 +1 (743) 555-3824", 1, "12.158.146.20 +[SDT_DA_XOA]"),
+    ("157.212.123.28 +1 (043) 155-3824", 1, "157.212.123.28 +[SDT_DA_XOA]"),
+    ("+1 (743) 555-3824l +1 (743) 555-38245", 2, "+[SDT_DA_XOA]l +[SDT_DA_XOA]5"),
+    ("1 (743) 555-3824 +1 (743) 555", 0, "[SDT_DA_XOA] +1 (743) 555"),
+    ("+1 (743) 555 3824, +1 (٧43) 555-3824", 0, "+1 (743) 555 3824, +1 (٧43) 555-3824"),
+    ("17432555382", None, None),
+    (None, None, None),
+]
+
+
+def written(spark, at):
+    spark.createDataFrame([(i, w[0]) for i, w in enumerate(WRITTEN)], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+def test_numbers_after_a_plus_sign_are_counted_as_written(spark, tmp_path):
+    got = {r["doc_id"]: r["hits"] for r in queries.QUERIES["phone_counts"](spark, written(spark, tmp_path)).collect()}
+    assert got == {i: hits for i, (_, hits, _) in enumerate(WRITTEN) if hits}
