@@ -183,3 +183,8 @@ def written(spark, at):
 def test_numbers_after_a_plus_sign_are_counted_as_written(spark, tmp_path):
     got = {r["doc_id"]: r["hits"] for r in queries.QUERIES["phone_counts"](spark, written(spark, tmp_path)).collect()}
     assert got == {i: hits for i, (_, hits, _) in enumerate(WRITTEN) if hits}
+
+
+def test_numbers_after_a_plus_sign_are_cut_as_written(spark, tmp_path):
+    got = {r["doc_id"]: (r["hits"], r["text"]) for r in queries.QUERIES["phone_scrub"](spark, written(spark, tmp_path)).collect()}
+    assert got == {i: (hits, clean) for i, (_, hits, clean) in enumerate(WRITTEN) if hits is not None}
