@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from terravane.operators import shared
 
-MAX_BLOCK, AREA_WIDTH, COSINE, PRICE_GAP, MIN_TEXT = 400, 5, 0.85, 0.03, 30
-#: N-grams that are multiplied at once, and characters of the texts whose n-grams are held at once.
-COLUMNS, PART = 16384, 1 << 20
+MAX_BLOCK, AREA_WIDTH, COSINE, PRICE_GAP, MIN_TEXT = 2048, 5, 0.85, 0.03, 30
+#: N-grams that are multiplied at once; characters and texts of a side that are compared at once; n-grams that are held for the next.
+COLUMNS, PART, ROWS, HELD = 4096, 1 << 20, 512, 4 << 20
+#: Mean characters of texts whose n-grams are sorted at once.
+SHORT = 300
 
 
 def area_bucket(area: Column, width: float = AREA_WIDTH) -> Column:
@@ -33,14 +35,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def grams(text: str, low: int = 3, high: int = 5) -> Grams:
-    """Character n-grams inside words padded by a space on either side, lower-cased; a padded word of fewer than n characters has none
-    of that n. All windows of the text with single spaces are hashed at once; those with a space inside span two words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    code = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    inner, found, value = code == _SPACE, [], code + _U(1)
+def _windows(words: list[list[str]], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of texts, and the place of the text of each. All windows of the texts with single spaces are hashed at once;
+    those with a space inside span two words, or two texts, as these have a space each at their ends."""
+    whole = [f" {' '.join(w)} " if w else "" for w in words]
+    code = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(whole), dtype=np.int32), [len(w) for w in whole])
+    inner, found, owners, value = code == _SPACE, [], [], code + _U(1)
     for n in range(2, high + 1):
         size = len(code) - n + 1
         if size <= 0:
@@ -51,69 +52,165 @@ def grams(text: str, low: int = 3, high: int = 5) -> Grams:
             for k in range(1, n - 1):
                 crosses |= inner[k : k + size]
             found.append(value[~crosses] ^ _U(n))
-    hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+            owners.append(owner[:size][~crosses])
+    return (np.concatenate(found), np.concatenate(owners)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+
+def grams(text: str, low: int = 3, high: int = 5) -> Grams:
+    """Character n-grams inside words padded by a space on either side, lower-cased; a padded word of fewer than n characters has none
+    of that n."""
+    hashes, counts = np.unique(_windows([text.lower().split()], low, high)[0], return_counts=True)
     return hashes, counts.astype(float)
 
 
-def _cosines(x: list[Grams], y: list[Grams] | None, threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs (place in x, place in y, cosine) of at least the threshold; without y, pairs i < j of x. All cosines come from products of
-    matrices, a slice of the n-grams at a time; n-grams of one text alone add nothing and are left out. Single precision settles who
-    is near the threshold, and these are computed exactly."""
+def grams_of(texts: list[str]) -> list[Grams]:
+    """N-grams of each text; short texts are sorted at once."""
+    if not texts or sum(map(len, texts)) > SHORT * len(texts):
+        return [grams(t) for t in texts]
+    hashes, owner = _windows([t.lower().split() for t in texts], 3, 5)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))) if len(hashes) else np.zeros(0, np.int64)
+    counts, cuts = np.diff(np.append(first, len(hashes))).astype(float), np.searchsorted(owner[first], np.arange(1, len(texts)))
+    return list(zip(np.split(hashes[first], cuts), np.split(counts, cuts), strict=True))
+
+
+#: Places of pairs in x and in y, and their cosines.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+_NONE: Found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _cosines(x: list[Grams], y: list[Grams] | None, threshold: float, able: np.ndarray) -> Found:
+    """Those of the able pairs (place in x, place in y; without y, i < j of x) whose cosine is at least the threshold.
+
+    Products of count matrices add up a slice of the n-grams at a time, those that weigh most first. What is left of two texts adds at
+    most the product of its lengths, so pairs that can no longer reach the threshold are out, and the rest of the slices is
+    left out with the last of them. N-grams of one text alone add nothing. Sums of counts are whole numbers, so single precision
+    is exact below 2^24."""
     rows = x if y is None else x + y
     hashes = np.concatenate([h for h, _ in rows]) if rows else np.zeros(0, np.uint64)
-    if not len(hashes):
-        return []
-    values = np.concatenate([c / max((c * c).sum(), 1) ** 0.5 for _, c in rows]).astype(np.float32)
-    owner = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows])
+    if not len(hashes) or not able.any():
+        return _NONE
+    counts = np.concatenate([c for _, c in rows])
+    square = np.array([(c * c).sum() for _, c in rows])
+    kind = np.float32 if square.max() < 1 << 24 else np.float64
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h, _ in rows])
     order = np.argsort(hashes)
-    hashes, values, owner = hashes[order], values[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    size = np.diff(np.append(first, len(hashes)))
+    hashes, counts, owner = hashes[order], counts[order], owner[order]
+    starts = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    size = np.diff(np.append(np.flatnonzero(starts), len(hashes)))
     shared_ = np.repeat(size > 1, size)
-    values, owner, column = values[shared_], owner[shared_], np.repeat(np.arange((size > 1).sum()), size[size > 1])
-    cos = np.zeros((len(x), len(rows) if y is None else len(y)), dtype=np.float32)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+    column = (np.cumsum(size > 1) - 1)[np.repeat(np.arange(len(size)), size)[shared_]]
+    counts, owner, n = counts[shared_], owner[shared_], int((size > 1).sum())
+    rank = np.empty(n, np.uint16 if n <= 1 << 16 else np.int64)
+    rank[np.argsort(-np.bincount(column, counts * counts / np.maximum(square, 1)[owner], n))] = np.arange(n)
+    column = rank[column]
+    order = np.argsort(column, kind="stable")
+    counts, owner, column = counts[order], owner[order], column[order].astype(np.int64)
+    norm = np.maximum(square, 1) ** 0.5
+    m = len(x)
+    scale = norm[:m, None] * (norm if y is None else norm[m:])[None]
+    left, dot = np.bincount(owner, counts * counts, len(rows)), np.zeros(able.shape)
+    for low in range(0, n, COLUMNS):
         part = slice(*np.searchsorted(column, (low, low + COLUMNS)))
-        dense = np.zeros((len(rows), COLUMNS), dtype=np.float32)
-        dense[owner[part], column[part] - low] = values[part]
-        cos += dense[: len(x)] @ (dense if y is None else dense[len(x) :]).T
-    able, out = cos >= threshold - 1e-3, []
-    if y is None:
-        able = np.triu(able, 1)
-    for i, j in zip(*np.nonzero(able), strict=True):
-        (h, c), (g, d) = x[i], (x if y is None else y)[j]
-        at = np.searchsorted(h, g)
-        at[at == len(h)] = 0
-        same = h[at] == g
-        exact = float((c[at[same]] * d[same]).sum() / ((c * c).sum() * (d * d).sum()) ** 0.5)
-        if exact >= threshold:
-            out.append((int(i), int(j), exact))
-    return out
+        dense = np.zeros((len(rows), min(COLUMNS, n - low)), dtype=kind)
+        dense[owner[part], column[part] - low] = counts[part]
+        dot += dense[:m] @ (dense if y is None else dense[m:]).T
+        left = np.maximum(left - np.bincount(owner[part], counts[part] ** 2, len(rows)), 0)
+        rest = left**0.5
+        able = able & (dot + rest[:m, None] * (rest if y is None else rest[m:])[None] >= (threshold - 1e-9) * scale)
+        if not able.any():
+            return _NONE
+    i, j = np.nonzero(able)
+    cos = dot[i, j] / scale[i, j]
+    good = cos >= threshold
+    return i[good], j[good], cos[good]
 
 
 def _parts(texts: list[str]) -> list[tuple[int, int]]:
-    """Runs of places of at most PART characters, or one text."""
+    """Runs of places of at most PART characters and ROWS texts, or one text."""
     out, begin, size = [], 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > PART:
+        if i > begin and (size + len(t) > PART or i - begin >= ROWS):
             out.append((begin, i))
             begin, size = i, 0
         size += len(t)
     return [*out, (begin, len(texts))] if texts else []
 
 
+def _near(p: np.ndarray, q: np.ndarray, gap: float) -> np.ndarray:
+    """Whether prices agree: a missing one with any, those of 0 and less with each other."""
+    a, b = p[:, None], q[None]
+    top = np.maximum(a, b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.isnan(top) | (top <= 0) | (np.abs(a - b) / top <= gap)
+
+
+def _tree(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of a spanning forest of a symmetric matrix."""
+    seen, a, b = np.zeros(len(linked), dtype=bool), [], []
+    for s in np.flatnonzero(linked.any(axis=1)).tolist():
+        todo = [] if seen[s] else [s]
+        seen[s] = True
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(linked[i] & ~seen)
+            seen[new] = True
+            a += [i] * len(new)
+            b += new.tolist()
+            todo += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _compared(x: list[str], y: list[str] | None, threshold: float, p: np.ndarray, q: np.ndarray, gap: float, group: np.ndarray | None) -> Iterator[Found]:
+    """Pairs (i, j, cosine) of x and y, or i < j of x alone, whose n-gram counts have at least the threshold's cosine and whose prices p
+    and q agree, a part of each side at a time. ``group``: the number of each text's component (x, then y), which is brought up
+    to date; pairs of one component are not compared."""
+    alone, shift, held = y is None, 0 if y is None else len(x), {}
+    y = x if alone else y
+
+    def counted(t: list[str], side: bool, a: int, b: int) -> list[Grams]:
+        if (side, a) not in held:
+            if sum(len(g) for own in held.values() for g, _ in own) > HELD:
+                held.clear()
+            held[side, a] = grams_of(t[a:b])
+        return held[side, a]
+
+    work = [(*u, *v) for u in _parts(x) for v in _parts(y) if not alone or u <= v]
+    for a, b, c, d in sorted(work, key=lambda w: (abs(w[0] - w[2]), w)) if group is not None else work:
+        able = _near(p[a:b], q[c:d], gap)
+        own = alone and a == c
+        if own:
+            able = np.triu(able, 1)
+        if group is not None:
+            able &= group[a:b, None] != group[None, shift + c : shift + d]
+        if not able.any():
+            continue
+        left = counted(x, False, a, b)
+        i, j, cos = _cosines(left, None if own else counted(y, not alone, c, d), threshold, able)
+        if group is not None and len(i):
+            n = b - a
+            linked = np.zeros((n if own else n + d - c,) * 2, dtype=bool)
+            linked[i, j if own else j + n] = linked[j if own else j + n, i] = True
+            at = np.concatenate((np.arange(a, b), shift + np.arange(c, d)))
+            for k, m in zip(*(at[e] for e in _tree(linked)), strict=True):
+                if group[k] != group[m]:
+                    group[group == group[k]] = group[m]
+        yield a + i, c + j, cos
+
+
+def components_of(x: list[str], y: list[str] | None, threshold: float, p: np.ndarray, q: np.ndarray, gap: float = PRICE_GAP) -> np.ndarray:
+    """A number for each text of x and then y, equal for those that pairs of x and y, or of x alone, connect."""
+    group = np.arange(len(x) + len(y or []))
+    for _ in _compared(x, y, threshold, p, q, gap, group):
+        pass
+    return group
+
+
 def text_pairs(x: list[str], y: list[str] | None, threshold: float) -> list[tuple[int, int, float]]:
     """Pairs (i, j, cosine) of x and y, or i < j of x alone, whose n-gram counts have at least the threshold's cosine."""
-    out = []
-    for a, b in _parts(x):
-        left = [grams(t) for t in x[a:b]]
-        for c, d in _parts(x if y is None else y):
-            if y is None and c < a:
-                continue
-            alone = y is None and c == a
-            right = None if alone else [grams(t) for t in (x if y is None else y)[c:d]]
-            out += [(a + i, c + j, cos) for i, j, cos in _cosines(left, right, threshold)]
-    return out
+    p, q = (np.full(len(t or []), np.nan) for t in (x, y))
+    return [(int(i), int(j), float(c)) for found in _compared(x, y, threshold, p, p if y is None else q, PRICE_GAP, None) for i, j, c in zip(*found, strict=True)]
 
 
 def chunk_pairs(texts: list[str], threshold: float) -> list[tuple[int, int, float]]:
@@ -150,8 +247,8 @@ def _classes(df: DataFrame, id_: str, text: Column, block: list[Column], price:
 
 def _class_pairs(reps: DataFrame, threshold: float, gap: float, max_block: int, forest: bool) -> DataFrame:
     """(a, b, cosine) of likely duplicates among classes. A block's runs by price are compared with themselves and with each
-    following run that reaches into the price gap, so no pair is lost and a task holds two runs at a time. ``forest``: only as many
-    of a task's pairs as connect the same ids."""
+    following run that reaches into the price gap, so no pair is lost and a task holds two runs at a time. ``forest``: (a, b, 1) that
+    connect the same ids as a task's pairs, each id with the smallest one of its component."""
     kind = reps.schema["id"].dataType.simpleString()
     rows = chunks(reps, "id", [F.col("b")], F.col("price"), max_block).filter("block_rows > 1").select("block", "chunk", "id", "text", "price")
     runs = rows.groupBy("block", "chunk").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.bool_or(F.col("price").isNull()).alias("missing"))
@@ -161,30 +258,22 @@ def _class_pairs(reps: DataFrame, threshold: float, gap: float, max_block: int,
     work = shared.cut(one.join(two, (F.col("block") == F.col("_block")) & (F.col("c1") <= F.col("c2")) & ((F.col("c1") == F.col("c2")) | reach)).select("block", "c1", "c2"))
     legs = work.select("block", F.col("c1").alias("chunk"), "c1", "c2").unionByName(work.filter("c1 < c2").select("block", F.col("c2").alias("chunk"), "c1", "c2"))
 
-    def pairs(g: pd.DataFrame) -> list[tuple]:
-        first = g["chunk"] == g["c1"]
+    def pairs(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        first = (g["chunk"] == g["c1"]).to_numpy()
         x, y = g[first], g[~first]
         alone = not len(y)
-        y = x if alone else y
-        found = text_pairs(x["text"].tolist(), None if alone else y["text"].tolist(), threshold)
-        ids, others, p, q, out, root = x["id"].tolist(), y["id"].tolist(), x["price"].to_numpy(float), y["price"].to_numpy(float), [], {}
-
-        def find(v: object) -> object:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for i, j, cos in found:
-            a, b = p[i], q[j]
-            if np.isnan(a) or np.isnan(b) or max(a, b) <= 0 or abs(a - b) / max(a, b) <= gap:
-                if forest:
-                    u, v = find(ids[i]), find(others[j])
-                    if u == v:
-                        continue
-                    root[u] = v
-                out.append((*sorted((ids[i], others[j])), cos))
-        return out
+        texts = x["text"].tolist(), None if alone else y["text"].tolist()
+        p, q = x["price"].to_numpy(float), (x if alone else y)["price"].to_numpy(float)
+        ids, others = x["id"].to_numpy(), (x if alone else y)["id"].to_numpy()
+        if forest:  # each component's ids with its smallest one
+            every = pd.Series(ids if alone else np.concatenate((ids, others)))
+            least = every.groupby(components_of(*texts, threshold, p, q, gap)).transform("min")
+            yield pd.DataFrame({"a": least, "b": every, "cosine": 1.0})[(least != every).to_numpy()]
+            return
+        for i, j, cos in _compared(*texts, threshold, p, q, gap, None):
+            a, b = ids[i], others[j]
+            less = (a < b).astype(bool)
+            yield pd.DataFrame({"a": np.where(less, a, b), "b": np.where(less, b, a), "cosine": cos})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of runs are runs of sorted rows; a batch's last one may go on in the next."""
@@ -196,13 +285,14 @@ def _class_pairs(reps: DataFrame, threshold: float, gap: float, max_block: int,
             last = rows.iloc[-1]
             goes_on = (rows["block"] == last["block"]) & (rows["c1"] == last["c1"]) & (rows["c2"] == last["c2"])
             held = rows[goes_on]
-            yield found(rows[~goes_on])
+            yield from found(rows[~goes_on])
         if held is not None:
-            yield found(held)
+            yield from found(held)
 
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [x for _, g in rows.groupby(["block", "c1", "c2"], sort=False) if len(g) > 1 for x in pairs(g)]
-        return pd.DataFrame(out, columns=["a", "b", "cosine"])
+    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, g in rows.groupby(["block", "c1", "c2"], sort=False):
+            if len(g) > 1:
+                yield from pairs(g.sort_values("price", na_position="first", kind="stable"))
 
     tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes are much work here
     both = rows.join(legs, ["block", "chunk"]).repartition(tasks, "block", "c1", "c2").sortWithinPartitions("block", "c1", "c2")

@@ -1,8 +1,10 @@
 """Table operators against plain Python."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,18 @@ def test_numbers_after_a_plus_sign_are_counted_as_written(spark, tmp_path):
 def test_numbers_after_a_plus_sign_are_cut_as_written(spark, tmp_path):
     got = {r["doc_id"]: (r["hits"], r["text"]) for r in queries.QUERIES["phone_scrub"](spark, written(spark, tmp_path)).collect()}
     assert got == {i: (hits, clean) for i, (_, hits, clean) in enumerate(WRITTEN) if hits is not None}
+
+
+@pytest.mark.parametrize("rows", [7, 512])
+def test_components_without_comparing_what_is_connected(rows, monkeypatch):
+    rng = random.Random(6)
+    words = [f"{rng.randrange(10**5):05}" for _ in range(60)]
+    texts = [" ".join(w if rng.random() > 0.04 else "other" for w in words[k % 4 * 15 : k % 4 * 15 + 15]) for k in range(60)] + ["", "é 中"]
+    p = np.array([rng.choice([100.0, 102.0, 104.5, 0.0, float("nan")] if k % 4 else [100.0, 150.0]) for k in range(62)])
+    want = {(i, j) for i, j, _ in dedup.text_pairs(texts, None, 0.85) if np.isnan(p[i] + p[j]) or max(p[i], p[j]) <= 0 or abs(p[i] - p[j]) / max(p[i], p[j]) <= 0.03}
+    monkeypatch.setattr(dedup, "ROWS", rows)
+    for x, y, q, edges in ((texts, None, p, want), (texts[:30], texts[30:], p[30:], {(i, j) for i, j in want if i < 30 <= j})):
+        group, plain = dedup.components_of(x, y, 0.85, p[: len(x)], q), list(range(62))
+        for i, j in list(edges) * 3:
+            plain = [min(plain[i], plain[j]) if g in (plain[i], plain[j]) else g for g in plain]
+        assert len(set(zip(group.tolist(), plain, strict=True))) == len(set(group.tolist())) == len(set(plain)) < 50
