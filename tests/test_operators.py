@@ -205,3 +205,9 @@ def test_components_without_comparing_what_is_connected(rows, monkeypatch):
         for i, j in list(edges) * 3:
             plain = [min(plain[i], plain[j]) if g in (plain[i], plain[j]) else g for g in plain]
         assert len(set(zip(group.tolist(), plain, strict=True))) == len(set(group.tolist())) == len(set(plain)) < 50
+
+
+def test_grams_of_short_texts_at_once():
+    for a, b in zip(dedup.grams_of(texts := ["", "a", "a b  a b", "abc abc d", " ", "中é x"]), map(dedup.grams, texts), strict=True):
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+    assert dedup.grams_of([]) == [] and len(dedup.grams_of([""])[0][0]) == 0
