@@ -211,3 +211,13 @@ def test_grams_of_short_texts_at_once():
     for a, b in zip(dedup.grams_of(texts := ["", "a", "a b  a b", "abc abc d", " ", "中é x"]), map(dedup.grams, texts), strict=True):
         assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
     assert dedup.grams_of([]) == [] and len(dedup.grams_of([""])[0][0]) == 0
+
+
+def test_many_near_copies_are_compared_at_once():
+    rng = random.Random(5)
+    texts = [f"Nhà STANDARD Bán nhà mặt tiền giá {rng.randrange(10**5)} triệu, sổ hồng Brand#{k % 3} {'x' * (k % 3 * 30)}" for k in range(900)]
+    began = time.perf_counter()
+    pairs = dedup.text_pairs(texts, None, 0.85)
+    assert time.perf_counter() - began < 5 and len(pairs) > 100_000  # one at a time: more than that
+    for i, j, cos in rng.sample(pairs, 50):
+        assert abs(plain_cosine(texts[i], texts[j]) - cos) < 1e-12
