@@ -138,14 +138,43 @@ def _parts(texts: list[str]) -> list[tuple[int, int]]:
     return [*out, (begin, len(texts))] if texts else []
 
 
-def _near(p: np.ndarray, q: np.ndarray, gap: float) -> np.ndarray:
+def _agree(a: np.ndarray, b: np.ndarray, gap: float) -> np.ndarray:
     """Whether prices agree: a missing one with any, those of 0 and less with each other."""
-    a, b = p[:, None], q[None]
     top = np.maximum(a, b)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.isnan(top) | (top <= 0) | (np.abs(a - b) / top <= gap)
 
 
+def _near(p: np.ndarray, q: np.ndarray, gap: float) -> np.ndarray:
+    return _agree(p[:, None], q[None], gap)
+
+
+def _next_cosines(texts: list[str]) -> np.ndarray:
+    """The cosine of each text and the one after it."""
+    n = len(texts)
+    hashes, owner = _windows([t.lower().split() for t in texts], 3, 5)
+    key = np.sort(np.unique(hashes, return_inverse=True)[1].astype(np.int64) * n + owner)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    key, counts = key[first], np.diff(np.append(first, len(key))).astype(float)
+    owner = key % n
+    norm = np.maximum(np.bincount(owner, counts * counts, n), 1) ** 0.5
+    both = np.flatnonzero((key[1:] == key[:-1] + 1) & (owner[1:] > 0))  # an n-gram of a text and of the next
+    return np.bincount(owner[both], counts[both] * counts[both + 1], n)[: n - 1] / (norm[:-1] * norm[1:])
+
+
+def chained(texts: list[str], threshold: float, p: np.ndarray, gap: float = PRICE_GAP) -> np.ndarray:
+    """A number for each text, equal for runs in which each text is linked to the next one. It only spares comparisons: where fewer
+    than half of a part's neighbours are linked, the rest stays apart."""
+    linked = np.zeros(max(len(texts) - 1, 0), dtype=bool)
+    for a, b in _parts(texts):
+        a = max(a - 1, 0)
+        own = (_next_cosines(texts[a:b]) >= threshold) & _agree(p[a : b - 1], p[a + 1 : b], gap)
+        linked[a : b - 1] = own
+        if 2 * own.sum() < len(own):
+            break
+    return np.concatenate(([0], np.cumsum(~linked)))[: len(texts)]
+
+
 def _tree(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) of a spanning forest of a symmetric matrix."""
     seen, a, b = np.zeros(len(linked), dtype=bool), [], []
@@ -199,9 +228,20 @@ def _compared(x: list[str], y: list[str] | None, threshold: float, p: np.ndarray
         yield a + i, c + j, cos
 
 
-def components_of(x: list[str], y: list[str] | None, threshold: float, p: np.ndarray, q: np.ndarray, gap: float = PRICE_GAP) -> np.ndarray:
-    """A number for each text of x and then y, equal for those that pairs of x and y, or of x alone, connect."""
-    group = np.arange(len(x) + len(y or []))
+def _settled(p: np.ndarray, group: np.ndarray, gap: float) -> bool:
+    """Whether no pair of two runs of ``group`` has prices that agree: so if prices ascend, none is missing, and the ends of runs that
+    meet don't agree; or if there is but one run."""
+    ends = np.flatnonzero(group[1:] != group[:-1])
+    return not len(ends) or bool((p[1:] >= p[:-1]).all() and not _agree(p[ends], p[ends + 1], gap * (1 + 1e-9)).any())
+
+
+def components_of(x: list[str], y: list[str] | None, threshold: float, p: np.ndarray, q: np.ndarray, gap: float = PRICE_GAP, group: np.ndarray | None = None) -> np.ndarray:
+    """A number for each text of x and then y, equal for those that pairs of x and y, or of x alone, connect. ``group``: numbers of
+    those that are known to be connected."""
+    if group is None:
+        group = np.arange(len(x) + len(y or []))
+    elif _settled(p if y is None else np.concatenate((p, q)), group, gap):
+        return group
     for _ in _compared(x, y, threshold, p, q, gap, group):
         pass
     return group
@@ -248,7 +288,8 @@ def _classes(df: DataFrame, id_: str, text: Column, block: list[Column], price:
 def _class_pairs(reps: DataFrame, threshold: float, gap: float, max_block: int, forest: bool) -> DataFrame:
     """(a, b, cosine) of likely duplicates among classes. A block's runs by price are compared with themselves and with each
     following run that reaches into the price gap, so no pair is lost and a task holds two runs at a time. ``forest``: (a, b, 1) that
-    connect the same ids as a task's pairs, each id with the smallest one of its component."""
+    connect the same ids as all pairs do, each id with the smallest one of its component in the task. Neighbours by price are linked
+    first; only what they leave apart is compared."""
     kind = reps.schema["id"].dataType.simpleString()
     rows = chunks(reps, "id", [F.col("b")], F.col("price"), max_block).filter("block_rows > 1").select("block", "chunk", "id", "text", "price")
     runs = rows.groupBy("block", "chunk").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.bool_or(F.col("price").isNull()).alias("missing"))
@@ -267,7 +308,8 @@ def _class_pairs(reps: DataFrame, threshold: float, gap: float, max_block: int,
         ids, others = x["id"].to_numpy(), (x if alone else y)["id"].to_numpy()
         if forest:  # each component's ids with its smallest one
             every = pd.Series(ids if alone else np.concatenate((ids, others)))
-            least = every.groupby(components_of(*texts, threshold, p, q, gap)).transform("min")
+            known = chained(texts[0] + (texts[1] or []), threshold, p if alone else np.concatenate((p, q)), gap)  # both runs, by price
+            least = every.groupby(components_of(*texts, threshold, p, q, gap, known)).transform("min")
             yield pd.DataFrame({"a": least, "b": every, "cosine": 1.0})[(least != every).to_numpy()]
             return
         for i, j, cos in _compared(*texts, threshold, p, q, gap, None):

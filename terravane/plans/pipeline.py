@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from terravane.functions import money
 from terravane.functions.text import deaccent
-from terravane.operators import cleaning, dedup
+from terravane.operators import cleaning, dedup, shared
 
 #: The gate's checks as (metric, threshold, whether it is a ceiling).
 GATE = [("rows", 8000, False), ("long_share", 0.90, False), ("price_share", 0.80, False), ("place_share", 0.70, False), ("target_rows", 3000, False), ("phones", 0, True), ("phones_independent", 0, True)]
@@ -48,6 +48,7 @@ def prepare(listings: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]
     indicators, text without money (before and after tokens), unit price."""
     labelled = cleaning.drop_missing(listings, ["total_price_vnd", "area_m2"])
     ruled = cleaning.apply_rules(labelled, cleaning.hard_rules()).filter("reason IS NULL").drop("reason")
+    ruled = shared.cut(ruled.repartition("listing_id"))  # read four times, by all cores however few files there are
     text = F.concat_ws(" ", "title", "description")
     pairs = dedup.duplicate_links(ruled, "listing_id", text, [F.col("district"), F.col("ward"), dedup.area_bucket(F.col("area_m2"))], F.col("total_price_vnd"))
     one = dedup.survivors(ruled, dedup.groups_of(pairs), "listing_id", F.col("published_at"), F.length(F.coalesce("description", F.lit(""))))

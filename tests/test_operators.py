@@ -221,3 +221,30 @@ def test_many_near_copies_are_compared_at_once():
     assert time.perf_counter() - began < 5 and len(pairs) > 100_000  # one at a time: more than that
     for i, j, cos in rng.sample(pairs, 50):
         assert abs(plain_cosine(texts[i], texts[j]) - cos) < 1e-12
+
+
+def test_neighbours_by_price_connect_without_a_comparison(monkeypatch):
+    rng = random.Random(7)
+    p = np.array([float("nan")] * 2 + sorted(rng.uniform(900, 3000) for _ in range(1500)))
+    texts = [f"Nhà LARGE Bán nhà mặt tiền giá {rng.randrange(10**5)} triệu, sổ hồng Brand#14" for _ in p]
+    assert all(abs(a - plain_cosine(x, y)) < 1e-12 for a, x, y in zip(dedup._next_cosines(texts[:40] + ["", "é 中"]), texts[:40], texts[1:40] + [""]))
+    p[700:] += 500  # a step beyond the gap; missing prices agree with any
+    monkeypatch.setattr(dedup, "_cosines", None)
+    group = dedup.chained(texts[2:], 0.85, p[2:])
+    assert len(set(dedup.components_of(texts[2:], None, 0.85, p[2:], p[2:], group=group).tolist())) == 2
+    assert not dedup._settled(p, np.concatenate(([0, 0], group)), 0.03)
+    monkeypatch.undo()
+    assert len(set(dedup.components_of(texts, None, 0.85, p, p, group=np.concatenate(([0, 0], group + 1))).tolist())) == 1
+    other = [t if k % 2 else "another text that shares no word at all with these" for k, t in enumerate(texts[2:])]
+    assert len(set(dedup.components_of(other, None, 0.85, p[2:], p[2:], group=dedup.chained(other, 0.85, p[2:])).tolist())) == 4
+
+
+@pytest.mark.parametrize("edges", [0, 1 << 22])
+def test_components_in_one_task_and_in_rounds(spark, edges, monkeypatch):
+    monkeypatch.setattr(shared, "EDGES", edges)
+    pairs = [(9, 2), (2, 7), (7, 5), (5, 30), (30, 31), (40, 41), (50, 51), (50, 52), (60, 61), (61, 62), (60, 62), (70, 70)]
+    want = {2: 2, 9: 2, 7: 2, 5: 2, 30: 2, 31: 2, 40: 40, 41: 40, 50: 50, 51: 50, 52: 50, 60: 60, 61: 60, 62: 60}
+    for kind in ("long", "string"):
+        of = (lambda x: f"{x:02}") if kind == "string" else (lambda x: x)
+        got = shared.components(spark.createDataFrame([(of(a), of(b)) for a, b in pairs], f"a {kind}, b {kind}")).collect()
+        assert sorted((r["id"], r["group"]) for r in got) == [(of(k), of(v)) for k, v in sorted(want.items())]
