@@ -14,6 +14,8 @@ from terravane.operators import shared
 MAX_BLOCK, AREA_WIDTH, COSINE, PRICE_GAP, MIN_TEXT = 2048, 5, 0.85, 0.03, 30
 #: N-grams that are multiplied at once; characters and texts of a side that are compared at once; n-grams that are held for the next.
 COLUMNS, PART, ROWS, HELD = 4096, 1 << 20, 512, 4 << 20
+#: Products of two dense counts that take as long as an n-gram of a pair that is finished alone.
+APIECE = 1000
 #: Mean characters of texts whose n-grams are sorted at once.
 SHORT = 300
 
@@ -80,12 +82,19 @@ Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 _NONE: Found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def _dot(x: Grams, y: Grams) -> float:
+    if len(x[0]) > len(y[0]):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    return float((x[1] * y[1][at])[y[0][at] == x[0]].sum())
+
+
 def _cosines(x: list[Grams], y: list[Grams] | None, threshold: float, able: np.ndarray) -> Found:
     """Those of the able pairs (place in x, place in y; without y, i < j of x) whose cosine is at least the threshold.
 
     Products of count matrices add up a slice of the n-grams at a time, those that weigh most first. What is left of two texts adds at
     most the product of its lengths, so pairs that can no longer reach the threshold are out, and the rest of the slices is
-    left out with the last of them. N-grams of one text alone add nothing. Sums of counts are whole numbers, so single precision
+    left out with the last of them; as soon as they are few, they are finished one by one. N-grams of one text alone add nothing. Sums of counts are whole numbers, so single precision
     is exact below 2^24."""
     rows = x if y is None else x + y
     hashes = np.concatenate([h for h, _ in rows]) if rows else np.zeros(0, np.uint64)
@@ -110,7 +119,7 @@ def _cosines(x: list[Grams], y: list[Grams] | None, threshold: float, able: np.n
     norm = np.maximum(square, 1) ** 0.5
     m = len(x)
     scale = norm[:m, None] * (norm if y is None else norm[m:])[None]
-    left, dot = np.bincount(owner, counts * counts, len(rows)), np.zeros(able.shape)
+    left, dot, lengths = np.bincount(owner, counts * counts, len(rows)), np.zeros(able.shape), np.array([len(h) for h, _ in rows])
     for low in range(0, n, COLUMNS):
         part = slice(*np.searchsorted(column, (low, low + COLUMNS)))
         dense = np.zeros((len(rows), min(COLUMNS, n - low)), dtype=kind)
@@ -119,8 +128,12 @@ def _cosines(x: list[Grams], y: list[Grams] | None, threshold: float, able: np.n
         left = np.maximum(left - np.bincount(owner[part], counts[part] ** 2, len(rows)), 0)
         rest = left**0.5
         able = able & (dot + rest[:m, None] * (rest if y is None else rest[m:])[None] >= (threshold - 1e-9) * scale)
-        if not able.any():
+        i, j = np.nonzero(able)
+        if not len(i):
             return _NONE
+        if APIECE * (lengths[i] + lengths[j + (0 if y is None else m)]).sum() < able.size * (n - low - COLUMNS):
+            dot[i, j] = [_dot(x[a], (x if y is None else y)[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            break
     i, j = np.nonzero(able)
     cos = dot[i, j] / scale[i, j]
     good = cos >= threshold

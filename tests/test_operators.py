@@ -248,3 +248,20 @@ def test_components_in_one_task_and_in_rounds(spark, edges, monkeypatch):
         of = (lambda x: f"{x:02}") if kind == "string" else (lambda x: x)
         got = shared.components(spark.createDataFrame([(of(a), of(b)) for a, b in pairs], f"a {kind}, b {kind}")).collect()
         assert sorted((r["id"], r["group"]) for r in got) == [(of(k), of(v)) for k, v in sorted(want.items())]
+
+
+def test_few_pairs_left_are_finished_one_by_one(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.randrange(10**6):06}" for _ in range(40)) for _ in range(60)] + ["", "é"]
+    texts += [t + " end" for t in texts[:20]]
+    grams, able = dedup.grams_of(texts), np.triu(np.ones((len(texts),) * 2, dtype=bool), 1)
+    monkeypatch.setattr(dedup, "COLUMNS", 200)
+    monkeypatch.setattr(dedup, "APIECE", 1 << 40)
+    want = dedup._cosines(grams, None, 0.85, able)
+    ones, dot = [], dedup._dot
+    monkeypatch.setattr(dedup, "APIECE", 1)
+    monkeypatch.setattr(dedup, "_dot", lambda x, y: ones.append(1) or dot(x, y))
+    got = dedup._cosines(grams, None, 0.85, able)
+    assert [g.tolist() for g in got] == [w.tolist() for w in want] and len(got[0]) == 20 and 20 <= len(ones) < 800
+    half = dedup._cosines(grams[:30], grams[30:], 0.85, np.ones((30, len(texts) - 30), dtype=bool))
+    assert len(half[0]) == 20 and all(abs(dot(grams[3], grams[62 + 3]) - d) < 1e-9 for d in [dot(grams[62 + 3], grams[3])]) and dot(grams[60], grams[60]) == 0
