@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Bucketizer, CountVectorizer, IDF, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,9 +175,35 @@ def registry(fast: bool = False) -> dict[str, object]:
 
 def evaluate(model: object, train: DataFrame, test: DataFrame, label: str, name: str) -> DataFrame:
     """Fit on the logarithm of the label; errors of the test rows on its own scale."""
-    fitted = model.fit(train.withColumn("log_label", F.log(label)))
-    scored = fitted.transform(test).withColumn("predicted", F.exp("log_prediction"))
-    return measure(scored, label, "predicted", 1.0).withColumn("model", F.lit(name))
+    return evaluate_all({name: model}, train, test, label)
+
+
+def moments(train: DataFrame, label: str) -> DataFrame:
+    """(features, log_label, weight): two rows for all rows of equal features, a deviation of the label below and above its mean. They
+    keep the number of rows and the sums of the label and of its square, all that fits by squared error take from rows."""
+    rows = train.select(vector_to_array("features").alias("x"), F.log(label).alias("y"))
+    known = F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"), F.count("y").alias("known")
+    sums = rows.groupBy("x").agg(*known)
+    ends = F.explode(F.when(F.col("known") < F.col("n"), F.array(F.lit(None).cast("double"))).otherwise(F.array(F.col("mean") - F.col("sd"), F.col("mean") + F.col("sd"))))
+    return sums.select(array_to_vector("x").alias("features"), ends.alias("log_label"), (F.col("n") / 2).alias("weight"))
+
+
+def evaluate_all(models: Mapping[str, object], train: DataFrame, test: DataFrame, label: str) -> DataFrame:
+    """The same of several models, a row each. Those that draw no rows are fitted on the moments of the training rows; each distinct
+    vector of features is scored once, and all errors are measured together."""
+    few, every, fitted = cut(moments(train, label)), train.withColumn("log_label", F.log(label)), {}
+    for name, model in models.items():
+        draws = isinstance(model, RandomForestRegressor) or (isinstance(model, GBTRegressor) and model.getSubsamplingRate() < 1)
+        fitted[name] = model.fit(every) if draws else model.copy({model.weightCol: "weight"}).fit(few)
+    asked = cut(test.select(vector_to_array("features").alias("x")).distinct()).withColumn("features", array_to_vector("x"))
+    scores = None
+    for name, model in fitted.items():
+        own = model.transform(asked).select("x", F.lit(name).alias("model"), F.exp("log_prediction").alias("predicted"))
+        scores = own if scores is None else scores.unionByName(own)
+    rows = test.select(vector_to_array("features").alias("_x"), F.col(label).alias("true"))
+    scored = rows.join(scores, F.col("_x") == F.col("x")).select("model", "true", "predicted")
+    found = measure(cut(scored), "true", "predicted", 1.0, ["model"])
+    return found.select(*(c for c in found.columns if c != "model"), "model")
 
 
 def right_closed(splits: Sequence[float], column: str, out: str) -> Bucketizer:

@@ -69,3 +69,14 @@ def test_importance_rests_on_the_operators_repeats(spark, monkeypatch):
     monkeypatch.setattr(e, "permutation_importance", lambda *a, repeats=5, **k: (seen.append(repeats), own(*a, repeats=1, **k))[1])
     queries.QUERIES["permutation_importance"](spark, "/root/testdata/sf0.001")
     assert seen == [5]
+
+
+def test_moments_of_equal_features_fit_as_their_rows_do(spark):
+    rows = spark.createDataFrame([(float(k % 7), "ab"[k % 2], float(1 + (k * 37) % 101), k) for k in range(700)], "a double, c string, price double, k int")
+    prep = modeling.feature_pipeline(["a"], ["c"]).fit(rows).transform(rows).select("features", "price")
+    few, every = modeling.moments(prep, "price"), prep.withColumn("log_label", F.log("price"))
+    assert few.count() == 28 and few.agg(F.sum("weight")).first()[0] == 700
+    for name in ("ols", "ridge", "lasso"):
+        model = modeling.registry()[name]
+        x, y = model.fit(every), model.copy({model.weightCol: "weight"}).fit(few)
+        assert all(abs(a - b) < 1e-9 for a, b in zip([*x.coefficients, x.intercept], [*y.coefficients, y.intercept], strict=True))
