@@ -47,11 +47,16 @@ def hard_rules(area: str = "area_m2", price: str = "total_price_vnd", rental: st
     ]
 
 
+def tukey(q1: Column, q3: Column, factor: float = IQR_FACTOR) -> tuple[Column, Column]:
+    """The bounds of the fence around two quartiles."""
+    return q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
+
+
 def fit_fences(df: DataFrame, group: str, value: Column, min_rows: int = IQR_MIN_ROWS, factor: float = IQR_FACTOR) -> DataFrame:
     """Tukey fences of a value by group: (group, n, lo, hi, basis, keep_share), with a row of null group for all rows. Groups below
     ``min_rows`` get the fence of all rows."""
     rows = cut(df.select(F.col(group).alias("grp"), value.alias("v")).filter(F.col("v").isNotNull()))
-    lo, hi = (F.col("q0") - factor * (F.col("q1") - F.col("q0"))), (F.col("q1") + factor * (F.col("q1") - F.col("q0")))
+    lo, hi = tukey(F.col("q0"), F.col("q1"), factor)
     every = rows.agg(F.count("*").alias("all_n")).join(F.broadcast(quantiles(rows, [], F.col("v"), [0.25, 0.75]))).select("all_n", lo.alias("all_lo"), hi.alias("all_hi"))  # one row
     own = quantiles(rows, ["grp"], F.col("v"), [0.25, 0.75]).select(F.col("grp").alias("of"), lo.alias("lo"), hi.alias("hi"))
     own = rows.groupBy("grp").agg(F.count("*").alias("n")).join(own, F.col("grp").eqNullSafe(F.col("of"))).drop("of")

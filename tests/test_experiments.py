@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravane.operators import experiments as e
-from terravane.operators import modeling
+from terravane.operators import modeling, shared
 from terravane.plans import queries
 
 
@@ -80,3 +80,28 @@ def test_moments_of_equal_features_fit_as_their_rows_do(spark):
         model = modeling.registry()[name]
         x, y = model.fit(every), model.copy({model.weightCol: "weight"}).fit(few)
         assert all(abs(a - b) < 1e-9 for a, b in zip([*x.coefficients, x.intercept], [*y.coefficients, y.intercept], strict=True))
+
+
+def test_folds_learn_at_once_what_each_learns_alone(spark, rows, monkeypatch):
+    odd = spark.createDataFrame([(900, "c", 9.0, 50.0, 0), (901, "a", 8.0, 9.0, -1), (902, "b", 7.0, 900.0, None), (903, None, 6.0, 70.0, 1)], rows.schema)
+    d = rows.withColumn("price", F.col("price") * (1 + F.col("id") * 37 % 101 / 50)).unionByName(odd)
+    broker, ridge = e.backoff(["place"], "price", "area"), modeling.registry()["ridge"]
+    models = {"linear": e.linear(["area"], ["place"], ridge, "price"), "number": e.linear(["area"], [], ridge, "price"), "broker": broker, "fenced": e.fenced(broker, "place", F.log(F.col("price") / F.col("area")))}
+    alone = {r["model"]: r for r in e.catalogue({name: m.model for name, m in models.items()}, d, "price", folds=3).collect()}
+    for owner, name in ((modeling, "fit_backoff"), (e.cleaning, "fit_fences"), (e, "cross_validate")):  # fits of one fold
+        monkeypatch.setattr(owner, name, lambda *a, name=name, **k: pytest.fail(f"{name} was called"))
+    together = e.catalogue(models, d, "price", folds=3).collect()
+    assert [r["model"] for r in together] == [*models] and together[0].asDict().keys() == alone["linear"].asDict().keys()
+    for r in together:
+        assert all(v == (want if c == "model" else pytest.approx(want, rel=1e-9)) for (c, v), want in zip(r.asDict().items(), alone[r["model"]], strict=True))
+
+
+def test_quantiles_of_sets_are_those_of_each_set(spark):
+    data = [("ab"[k % 2] if k % 11 else None, "xyz"[k % 3], None if k % 13 == 0 else float(k * 37 % 101) if k % 5 else float("nan") if k % 25 == 0 else 7.0, k % 8) for k in range(1500)]
+    d = spark.createDataFrame(data, "g string, h string, v double, bits int")
+    levels, shares = [["g", "h"], ["g"], []], [0.25, 0.5]
+    for ends in (shared.bucket_ends(d, F.col("v")), [7.0]):
+        for level, found in zip(levels, shared.quantiles_of_sets(d, levels, F.col("v"), shares, ends, F.col("bits"), 2), strict=True):
+            for k in range(2):
+                want = shared.quantiles(d.filter(F.getbit("bits", F.lit(k)) == 1), level, F.col("v"), shares)
+                assert sorted(map(str, found.filter(F.col("set") == k).select(*want.columns).collect())) == sorted(map(str, want.collect()))
